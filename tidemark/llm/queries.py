@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.near_dedup import op10_query
 from tidemark.llm.substring_dedup import op5_query
 from tidemark.llm.suffix_dedup import op1_query
 
-QUERIES = {"op1_suffix_dedup": op1_query, "op5_substring_dedup": op5_query}
+QUERIES = {
+    "op1_suffix_dedup": op1_query,
+    "op5_substring_dedup": op5_query,
+    "op10_near_dedup": op10_query,
+}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe_automaton import op7_query
 from tidemark.llm.near_dedup import op10_query
 from tidemark.llm.substring_dedup import op5_query
 from tidemark.llm.suffix_dedup import op1_query
@@ -9,6 +10,7 @@ from tidemark.llm.suffix_dedup import op1_query
 QUERIES = {
     "op1_suffix_dedup": op1_query,
     "op5_substring_dedup": op5_query,
+    "op7_bpe_automaton": op7_query,
     "op10_near_dedup": op10_query,
 }
 ORACLES: dict[str, str] = {}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tidemark.llm.bpe_automaton import op7_query
 from tidemark.llm.near_dedup import op10_query
+from tidemark.llm.quality_rules import op2_query
 from tidemark.llm.substring_dedup import op5_query
 from tidemark.llm.suffix_dedup import op1_query
 from tidemark.llm.token_shards import op3_query
 
 QUERIES = {
     "op1_suffix_dedup": op1_query,
+    "op2_quality_rules": op2_query,
     "op3_token_shards": op3_query,
     "op5_substring_dedup": op5_query,
     "op7_bpe_automaton": op7_query,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe_automaton import op7_query
 from tidemark.llm.near_dedup import op10_query
+from tidemark.llm.quality_classifier import op9_query
 from tidemark.llm.quality_rules import op2_query
 from tidemark.llm.substring_dedup import op5_query
 from tidemark.llm.suffix_dedup import op1_query
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_token_shards": op3_query,
     "op5_substring_dedup": op5_query,
     "op7_bpe_automaton": op7_query,
+    "op9_quality_classifier": op9_query,
     "op10_near_dedup": op10_query,
 }
 ORACLES: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe_automaton import op7_query
+from tidemark.llm.merkle import op4_query
 from tidemark.llm.near_dedup import op10_query
 from tidemark.llm.quality_classifier import op9_query
 from tidemark.llm.quality_rules import op2_query
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_query,
     "op2_quality_rules": op2_query,
     "op3_token_shards": op3_query,
+    "op4_merkle": op4_query,
     "op5_substring_dedup": op5_query,
     "op7_bpe_automaton": op7_query,
     "op9_quality_classifier": op9_query,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe_automaton import op7_query
+from tidemark.llm.license_scan import op6_query
 from tidemark.llm.merkle import op4_query
 from tidemark.llm.near_dedup import op10_query
 from tidemark.llm.quality_classifier import op9_query
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_token_shards": op3_query,
     "op4_merkle": op4_query,
     "op5_substring_dedup": op5_query,
+    "op6_license_scan": op6_query,
     "op7_bpe_automaton": op7_query,
     "op9_quality_classifier": op9_query,
     "op10_near_dedup": op10_query,

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tidemark.llm.exchange import Keys, ask, blocks_of, unpack
 from tidemark.llm.textops import BASE_2, BYTE_CODE, BYTE_CODE_2, SpanHash, U, cover, gram_hashes, mix, runs, slices, sliding_min, text_bytes
 
-GRAM = 16
+GRAM = 20
 NONE = np.iinfo(np.int64).min
 
 

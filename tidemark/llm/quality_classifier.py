@@ -7,8 +7,7 @@ score is one sparse dot product; the model is a fixed number of weights (2**BITS
 
 Training: the labelled rows are joined to their texts, and at most MOST_ROWS of them, the least by a hash
 of the id, are used: a documented sample, as one model of fixed size does not gain from more. They are dealt to
-SHARDS shards. In each epoch every shard continues FTRL from the model so far over its own rows, and what
-the shards added to the two sums of FTRL is added up.
+SHARDS shards; each shard follows the leader over its own rows EPOCHS times, and the shards' weights are averaged.
 """
 
 from __future__ import annotations
@@ -21,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import cut
 from tidemark.llm.textops import BYTE_CODE, LOWER, SpanHash, U, mix, slices, text_bytes
 
 BITS = 16
 MOST_ROWS = 20_000
 SHARDS = 4
-EPOCHS = 8
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.003, 0.02
 _KIND = np.zeros(256, np.uint8)  # 0 white, 1 letters and other high bytes, 2 digits, 3 symbols
 _KIND[33:] = 3
 _KIND[[*range(97, 123), *range(65, 91), *range(128, 256)]] = 1
@@ -76,18 +74,13 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def follow(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, z: np.ndarray, n: np.ndarray) -> None:
-    """One FTRL pass over rows in order; z and n change in place."""
-    ends = np.searchsorted(row, np.arange(len(label)), "right")
-    a = 0
-    for y, b in zip(label, ends, strict=True):
-        f, v = feature[a:b], value[a:b]
-        a = b
-        w = weights(z[f], n[f])
-        g = (1 / (1 + np.exp(-np.clip(v @ w, -35, 35))) - y) * v
-        s = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
-        z[f] += g - s * w
-        n[f] += g * g
+def follow(f: np.ndarray, v: np.ndarray, y: float, z: np.ndarray, n: np.ndarray) -> None:
+    """One FTRL step on a row's features f and values v; z and n change in place."""
+    w = weights(z[f], n[f])
+    g = (1 / (1 + np.exp(-np.clip(v @ w, -35, 35))) - y) * v
+    s = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
+    z[f] += g - s * w
+    n[f] += g * g
 
 
 def held_out(id_col: Column) -> Column:
@@ -95,37 +88,46 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
+def fit_shards(data: DataFrame, n_models: int) -> np.ndarray:
+    """Weights of n_models models, a row each; data is (shard, id, y array<int>, text), of bounded size."""
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        y = np.array([[v or 0 for v in r] for r in t.column("y").to_pylist()], float)
+        raw, offsets = text_bytes(t.column("text"))
+        known = []
+        for a, b in slices(offsets):
+            row, feature, value = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            ends = np.searchsorted(row, np.arange(b - a), "right")
+            known += [(feature[x:z].astype(np.int32), value[x:z].astype(np.float32)) for x, z in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        state = np.zeros((n_models, 2, 1 << BITS))
+        for epoch in range(EPOCHS):
+            for i in np.random.default_rng(epoch).permutation(len(known)):
+                for j in range(n_models):
+                    follow(*known[i], y[i, j], *state[j])
+        return pa.table({"w": [np.stack([weights(z, n) for z, n in state]).tobytes()], "n": pa.array([len(known)], pa.int64())})
+
+    got = data.groupBy("shard").applyInArrow(fit, "w binary, n long").collect()  # SHARDS rows of fixed size
+    if not got:
+        return np.zeros((n_models, 1 << BITS))
+    return sum(r.n * np.frombuffer(r.w).reshape(n_models, -1) for r in got) / sum(r.n for r in got)
+
+
+def training_rows(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(shard, id, y, text) of at most most_rows labelled rows; labelled is (id, y)."""
+    chosen = labelled.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return rows.select(F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(SHARDS)).cast("int").alias("shard"), "id", "y", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> np.ndarray:
     """The weights, learned from labelled rows that are not held out. Rows with a null label do not count.
 
     Without any labelled row all weights are 0 and every score is 0.5.
     """
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    chosen = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    data = cut(rows.select((F.abs(F.xxhash64("id")) % SHARDS).cast("int").alias("shard"), "id", "y", "text").repartition(SHARDS, "shard"))
-    state = np.zeros((2, 1 << BITS))
-    for epoch in range(EPOCHS):
-        held, turn = data.sparkSession.sparkContext.broadcast(state), epoch
-
-        def step(t: pa.Table) -> pa.Table:
-            t = t.sort_by("id")
-            z, n = held.value.copy()
-            order = np.random.default_rng(turn).permutation(t.num_rows)
-            raw, offsets = text_bytes(t.column("text"))
-            y = t.column("y").to_numpy()
-            for a in range(0, len(order), 200):
-                part = order[a : a + 200]
-                one = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in part])
-                at = np.concatenate(([0], np.cumsum(offsets[part + 1] - offsets[part])))
-                follow(*features(one, at), y[part].astype(float), z, n)
-            return pa.table({"z": [z.tobytes()], "n": [n.tobytes()]})
-
-        got = data.groupBy("shard").applyInArrow(step, "z binary, n binary").collect()  # SHARDS rows of 2 ** BITS weights
-        if not got:
-            break
-        state = state + sum(np.array([np.frombuffer(r.z), np.frombuffer(r.n)]) - state for r in got)
-    return weights(state[0], state[1])
+    labelled = known.select(F.col(id_col).alias("id"), F.array(F.col(label_col).cast("int")).alias("y"))
+    return fit_shards(training_rows(docs, labelled, id_col, text_col, most_rows), 1)[0]
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

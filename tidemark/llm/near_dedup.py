@@ -7,10 +7,12 @@ A set's sketch holds, for each of M independent exponential hashes, floor(1 - lo
 2. Bands of four registers are the keys of a keyed exchange; every document learns the least document of
    each of its bands, and is linked to that one alone: never all pairs of a band.
 3. Each such pair is estimated by maximum likelihood over all registers jointly, given the exact set
-   sizes. An estimate SLACK below the threshold is over six standard deviations away; the rest are
+   sizes. An estimate SLACK below the threshold is about five standard deviations away; the rest are
    verified on their full sets.
-4. Connected components. Bands whose members are still in different components are then opened: their
-   members meet across components, so no link is lost for not being to the least document.
+4. Connected components. Bands whose members are still in different components are then opened: inside a
+   task, members of different components are estimated against each other in blocks, and only the pairs that may
+   be links leave it, once for all bands they share. So no link is lost for not being to the least document,
+   and the pairs of a group of near copies are never written out.
 
 Two texts at the threshold share no band with a probability of 6e-9 (50 bands of 4 registers).
 """
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.exchange import Keys, ask, blocks_of, unpack
-from tidemark.llm.runtime import cut
+from tidemark.llm.exchange import Keys, ask, blocks_of, buckets, unpack
+from tidemark.llm.runtime import cut, shuffle_partitions
 from tidemark.llm.textops import BYTE_CODE, LOWER, U, gram_hashes, mix, slices, text_bytes, word_hashes, words
 
 M, BAND, BASE, Q = 200, 4, 1.001, 65534
-SLACK = 0.2
+SLACK = 0.15
+TILE = 500
 _R = np.random.default_rng(77)
 MUL_1 = _R.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 MUL_2 = _R.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -171,32 +174,94 @@ def _star(found: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(run, "a long, b long")
 
 
-def _open_bands(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label) of members of bands whose members have different labels."""
-    from tidemark.llm.exchange import buckets
-
-    n = buckets(blocks.sparkSession)
-    with_labels = blocks_of(labels)
+def _open_bands(labels: DataFrame) -> DataFrame:
+    """(key, band, id, label, n_shingles, regs) of members of bands whose members have different labels."""
 
     def keyed(payload: bytes, n: int):
         t = unpack(payload)
-        ids, label = t.column("id").to_numpy(), t.column("component_id").to_numpy()
-        k = band_keys(np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), M))
+        label, regs = t.column("component_id").to_numpy(), t.column("regs").to_pylist()
+        k = band_keys(np.frombuffer(b"".join(regs), np.uint16).reshape(len(label), M))
         each = np.repeat(label, k.shape[1])
-        return ids, label, k, Keys(k.ravel(), n, least=each, most=each)
+        return t, label, regs, k, Keys(k.ravel(), n, least=each, most=each)
 
     def send(block: int, payload: bytes, got: dict, n: int) -> Iterator[pa.RecordBatch]:
-        yield keyed(payload, n)[3].rows(block)
+        yield keyed(payload, n)[4].rows(block)
+
+    found = ask(blocks_of(labels), send)
+    n = buckets(labels.sparkSession)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, label, k, keys = keyed(row["payload"], n)
+                t, label, regs, k, keys = keyed(row["payload"], n)
                 differ, _, _ = keys.replies(row["r1"])
                 i, j = np.nonzero((differ | (keys.least != keys.most))[keys.of].reshape(k.shape))
-                yield pa.RecordBatch.from_arrays([pa.array(k[i, j].view(np.int64)), pa.array(ids[i]), pa.array(label[i])], names=["key", "id", "label"])
+                ids, size = t.column("id").to_numpy(), t.column("n_shingles").to_numpy()
+                for a in range(0, len(i), 5000):
+                    x, y = i[a : a + 5000], j[a : a + 5000]
+                    yield pa.RecordBatch.from_arrays([pa.array(k[x, y].view(np.int64)), pa.array(y, pa.int32()), pa.array(ids[x]), pa.array(label[x]), pa.array(size[x]), pa.array([regs[q] for q in x], pa.binary())], names=["key", "band", "id", "label", "n_shingles", "regs"])
+
+    return found.mapInArrow(pick, "key long, band int, id long, label long, n_shingles long, regs binary")
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of members of one band, in different components, whose estimate does not rule them out.
 
-    return ask(with_labels, send).mapInArrow(pick, "key long, id long, label long")
+    A band of over TILE members is dealt to pairs of tiles, so that a task holds two tiles at most at a time.
+    """
+    big = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    tiles = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    dealt = members.join(big, "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "band", "id", "label", "n_shingles", "regs")
+    n = shuffle_partitions(members.sparkSession)
+    sorted_ = dealt.repartition(n, "key", "t", "u").sortWithinPartitions("key", "t", "u")
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        """Of whole groups, which are consecutive."""
+        key, tt, u, own, band, ids, label, size = (t.column(c).to_numpy() for c in ("key", "t", "u", "own", "band", "id", "label", "n_shingles"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), M)
+        new = np.ones(len(ids), bool)
+        new[1:] = (key[1:] != key[:-1]) | (tt[1:] != tt[:-1]) | (u[1:] != u[:-1])
+        at = np.append(np.flatnonzero(new), len(ids))
+        out = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            for i in range(a, b):
+                j = np.arange(i + 1, b)
+                j = j[(label[j] != label[i]) & ((own[j] != own[i]) | (tt[i] == u[i]))]
+                j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
+                if not len(j):
+                    continue
+                eq = regs[j] == regs[i]
+                may = np.flatnonzero(eq.mean(1) >= similarity - SLACK - 0.1)  # the estimate is near this share
+                if not len(may):
+                    continue
+                first = eq[may].reshape(len(may), M // BAND, BAND).all(2).argmax(1)
+                may = may[first == band[i]]
+                j = j[may]
+                if len(j):
+                    est = estimate(regs[np.full(len(j), i)], regs[j], np.full(len(j), size[i]), size[j])
+                    out.append(np.stack([np.full((est >= similarity - SLACK).sum(), ids[i]), ids[j[est >= similarity - SLACK]]], 1))
+        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(got.max(1) if len(got) else got[:, 0]), pa.array(got.min(1) if len(got) else got[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = [t.column(c)[-1].as_py() for c in ("key", "t", "u")]
+            same = np.ones(t.num_rows, bool)
+            for c, v in zip(("key", "t", "u"), last, strict=True):
+                same &= t.column(c).to_numpy() == v
+            begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if begin:
+                yield pairs(t.slice(0, begin))
+            held = t.slice(begin).combine_chunks()
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -241,8 +306,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned with n_shingles and are their own group (component_id null, kept true). Rows that repeat an id
     are returned as often as they occur; their links add up. Other columns are not read.
     """
-    from tidemark.llm.exchange import buckets
-
     spark = docs.sparkSession
     n = buckets(spark)
     base = cut(sketch(docs, id_col, text_col, size))
@@ -252,17 +315,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = cut(member)
     reps = cut(real.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n_shingles", "regs"))
     blocks = blocks_of(reps)
-    tried = cut(_star(ask(blocks, _send, values=True), n).distinct())
     one = docs.where(F.col(id_col).isNotNull())
-    links = cut(_verified(_likely(tried, reps, percent / 100), one, id_col, text_col, size, percent))
+    star = _star(ask(blocks, _send, values=True), n).distinct()
+    links = cut(_verified(_likely(star, reps, percent / 100), one, id_col, text_col, size, percent))
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     label = components(links, reps.select("id").distinct())
-    labelled = reps.join(label, "id")
-    members = cut(_open_bands(blocks, labelled))
-    left = members.withColumnsRenamed({"id": "a", "label": "label_a"})
-    right = members.withColumnsRenamed({"id": "b", "label": "label_b"})
-    more = left.join(right, "key").where("label_a <> label_b and a > b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(_likely(more, reps, percent / 100))
+    more = cut(_across(_open_bands(reps.join(label, "id")), percent / 100))
     if not more.isEmpty():
         extra = cut(_verified(more, one, id_col, text_col, size, percent))
         if not extra.isEmpty():

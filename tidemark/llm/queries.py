@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.bpe_automaton import op7_query
 from tidemark.llm.license_scan import op6_query
 from tidemark.llm.merkle import op4_query
+from tidemark.llm.mixing import op8_query
 from tidemark.llm.near_dedup import op10_query
 from tidemark.llm.quality_classifier import op9_query
 from tidemark.llm.quality_rules import op2_query
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_substring_dedup": op5_query,
     "op6_license_scan": op6_query,
     "op7_bpe_automaton": op7_query,
+    "op8_mixing": op8_query,
     "op9_quality_classifier": op9_query,
     "op10_near_dedup": op10_query,
 }

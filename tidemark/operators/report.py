@@ -55,12 +55,12 @@ def summary(metrics: DataFrame, alerts: DataFrame, segments: DataFrame, kpis: li
     inside = lambda df: df.join(segments.select(*entity, "start_ts", "end_ts"), entity).where(in_segment(F.col("start_ts"), F.col("end_ts")))
     seg, normal = segment_stats(inside(metrics), kpis, entity), normal_stats(metrics, kpis, entity)
     dev = deviations(seg, normal, kpis, entity)
-    alert, top = alert_stats(inside(alerts), entity), top_triggers(inside(alerts), entity)
+    alert, top = alert_stats(inside(alerts), entity).withColumnRenamed("n_alerts", "alert_count"), top_triggers(inside(alerts), entity)
     dev_doc = dev.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("rank", "kpi", F.round("avg_dev", 2).alias("avg_dev"), F.round("max_dev", 2).alias("max_dev")))).alias("deviations"))
     top_doc = top.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("rank", "trigger", "n"))).alias("triggers"))
-    out = segments.join(alert, entity, "left").join(dev_doc, entity, "left").join(top_doc, entity, "left").join(fired(top, kpis, entity), entity, "left")
+    out = segments.select(*entity, "start_ts", "end_ts").join(alert, entity, "left").join(dev_doc, entity, "left").join(top_doc, entity, "left").join(fired(top, kpis, entity), entity, "left")
     doc = F.to_json(F.struct(F.col("start_ts"), F.col("end_ts"), F.coalesce(F.col("alert_count"), F.lit(0)).alias("n_alerts"), "first_alert", "deviations", "triggers", "fired", "not_fired"))
-    return out.withColumn("alert_count", F.col("n_alerts") if "n_alerts" not in segments.columns else alert["n_alerts"]).select(*entity, doc.alias("summary"))
+    return out.select(*entity, doc.alias("summary"))
 
 
 def narrative(row: dict) -> str:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AGGREGATES = {
     "mean": lambda c: F.avg(c),
@@ -107,7 +108,7 @@ def murmur2(data: bytes) -> int:
     return h ^ h >> 15
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _murmur2_positive(keys: pd.Series) -> pd.Series:
     known = {k: murmur2(str(k).encode()) & 0x7FFFFFFF for k in keys.dropna().unique()}
     return keys.map(known).astype("Int32")

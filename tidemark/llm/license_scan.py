@@ -113,11 +113,11 @@ class Index:
         out = []
         for name, pairs in hits.items():
             t = self.words[name]
-            end = -1
+            end = 0
             for i, j in sorted(pairs, key=lambda p: (p[0] - p[1], p[0])):
-                a = max(0, i - j - BAND)
-                if a + BAND < end:
+                if i < end:
                     continue
+                a = max(0, i - j - BAND, end)
                 b = min(len(words), i - j + len(t) + BAND)
                 matched, first, last = align(t, words[a:b], i - j - a)
                 if matched >= least * len(t):
@@ -132,26 +132,26 @@ class Index:
 
 
 def align(template: list[str], words: list[str], shift: int) -> tuple[int, int, int]:
-    """Most words matched in order within BAND words of the diagonal, and the first and last word matched."""
+    """Most words matched in order within BAND words of the diagonal, and the first and last word matched.
+
+    Of equal matches the shortest stretch counts, and of those the first.
+    """
     n = len(words)
-    best: dict[int, tuple[int, int, int]] = {}  # end in words -> (matched, -first, last)
+    best: dict[int, tuple[int, int]] = {}  # last word matched -> (matched, first word matched)
     for i, w in enumerate(template):
-        lo, hi = max(0, i + shift - BAND), min(n, i + shift + BAND + 1)
         new = dict(best)
-        for j in range(lo, hi):
+        for j in range(max(0, i + shift - BAND), min(n, i + shift + BAND + 1)):
             if words[j] == w:
-                before = max((v for e, v in best.items() if e < j), default=(0, -j, j))
-                got = (before[0] + 1, before[1] if before[0] else -j, j)
-                if got > new.get(j, (0, -n, 0)):
-                    new[j] = got
+                before = max((v for e, v in best.items() if e < j), default=(0, j))
+                new[j] = max(new.get(j, (0, 0)), (before[0] + 1, before[1] if before[0] else j))
         floor = i + shift - 2 * BAND
-        top = max((v for e, v in new.items() if e < floor), default=None)
+        old = max(((*v, e) for e, v in new.items() if e < floor), default=None)
         best = {e: v for e, v in new.items() if e >= floor}
-        if top is not None:
-            best[top[2]] = top
+        if old is not None:
+            best[old[2]] = old[:2]
     if not best:
         return 0, 0, 0
-    matched, first, last = max(best.values())
+    matched, _, first, last = max((m, f - e, -f, e) for e, (m, f) in best.items())
     return matched, -first, last
 
 

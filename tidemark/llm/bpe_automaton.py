@@ -85,39 +85,57 @@ class TokenAutomaton:
 
     def encode(self, piece: str) -> list[int]:
         """The ids of the one accepted path that spells the piece and its word end."""
+        whole = self.vocab.get(piece + self.end)
+        if whole is not None and (whole in self.beside or len(piece) == 1):
+            return [whole]  # one arc from the first state: paths are unique, so this is the path
         n = len(piece)
-        reach: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # (token, place in reach of its start)
-        came: list[list[int]] = [[] for _ in range(n + 1)]
-        table, arc = self.table, self.arc
-        for pos in range(n):
-            here = reach[pos]
-            if pos and not here:
-                continue
-            at, k = self.labels, pos
-            while k < n:
-                at = at.get(piece[k])
-                if at is None:
-                    break
-                k += 1
-                token = at.get("") if k < n else at.get("</w>")
-                if token is None:
+        arcs: list[list[tuple[int, int]] | None] = [None] * n  # labels that start at a place, longest first
+        out: list[int] = []
+        ends, tried = [0], [0]
+        state, dead = -1, set()
+        table = self.table
+        while ends[-1] < n:
+            pos = ends[-1]
+            here = arcs[pos]
+            if here is None:
+                here = arcs[pos] = self._labels_at(piece, pos)
+            i = tried[-1]
+            while i < len(here):
+                token, end = here[i]
+                i += 1
+                if state >= 0:
+                    ok = table.get(state << 20 | token)
+                    if ok is None:
+                        ok = self.arc(state, token)
+                    if not ok:
+                        continue
+                if dead and (end, token) in dead:
                     continue
-                if pos == 0:
-                    reach[k].append((token, -1))
-                    came[k].append(0)
-                else:
-                    for i, (state, _) in enumerate(here):
-                        ok = table.get(state << 20 | token)
-                        if ok or (ok is None and arc(state, token)):
-                            reach[k].append((token, i))
-                            came[k].append(pos)
-                            break
-        out, pos, i = [], n, 0
-        while pos:
-            token, before = reach[pos][i]
-            out.append(token)
-            pos, i = came[pos][i], before
-        return out[::-1]
+                tried[-1] = i
+                out.append(token)
+                ends.append(end)
+                tried.append(0)
+                state = token
+                break
+            else:  # no arc leads on from here
+                dead.add((pos, state))
+                ends.pop()
+                tried.pop()
+                out.pop()
+                state = out[-1] if out else -1
+        return out
+
+    def _labels_at(self, piece: str, pos: int) -> list[tuple[int, int]]:
+        at, n, k, found = self.labels, len(piece), pos, []
+        while k < n:
+            at = at.get(piece[k])
+            if at is None:
+                break
+            k += 1
+            token = at.get("") if k < n else at.get("</w>")
+            if token is not None:
+                found.append((token, k))
+        return found[::-1]
 
 
 def load(path: str) -> tuple[TokenAutomaton, dict[int, str]]:
@@ -141,13 +159,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = vocabulary_path(path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = held(path, "automaton", lambda: _encoder(path))
+        pieces = held(path, "automaton ids", lambda: _encoder(path))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)
                 raw, at = text_bytes(b.column(1))
                 data = raw.tobytes()
-                ids = [[i for w in pieces.of(data[x:y], lambda ids: (ids, *_texts(ids, pieces))) for i in w[0]] for x, y in zip(at[:-1], at[1:], strict=True)]
+                ids = [[i for w in pieces.of(data[x:y], lambda ids: (ids,)) for i in w[0]] for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -165,7 +183,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held(path, "automaton", lambda: _encoder(path))
-        make = lambda ids: (ids, *_texts(ids, pieces))
+        make = lambda ids: (len(ids), *_texts(ids, pieces))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)
@@ -174,7 +192,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n, ids_sha, text_sha, texts = [], [], [], []
                 for x, y in zip(at[:-1], at[1:], strict=True):
                     got = [w for w in pieces.of(data[x:y], make) if w[0]]
-                    n.append(sum(len(w[0]) for w in got))
+                    n.append(sum([w[0] for w in got]))
                     text = b" ".join([w[2] for w in got])
                     ids_sha.append(hashlib.sha256(b" ".join([w[1] for w in got])).hexdigest())
                     text_sha.append(hashlib.sha256(text).hexdigest())

@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 200_000
+KEPT_WORDS, KEPT_PIECES = 200_000, 100_000  # of each of two generations
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -23,6 +24,10 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+LATIN_END = 0x250  # letters and digits below are the same in all Unicode versions in use
+_LETTERS = "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "L")
+_DIGITS = "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "N")
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \\x85\\xa0{_LETTERS}{_DIGITS}]+")
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -41,7 +46,9 @@ class WordPieces:
         model = self.library.model
         self.piece_ids = piece_ids or (lambda piece: [t.id for t in model.tokenize(piece)])
         self.pieces: dict[str, list[int]] = {}
+        self.old_pieces: dict[str, list[int]] = {}
         self.words: dict[bytes, object] = {}
+        self.old_words: dict[bytes, object] = {}
         # fixed values: printable stand-ins of bytes, as the byte-level splitter writes them
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
@@ -50,9 +57,12 @@ class WordPieces:
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= KEPT_WORDS:
-                self.pieces.clear()
-            ids = self.pieces[piece] = self.piece_ids(piece)
+            ids = self.old_pieces.pop(piece, None)
+            if ids is None:
+                ids = self.piece_ids(piece)
+            if len(self.pieces) >= KEPT_PIECES:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = ids
         return ids
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -60,6 +70,10 @@ class WordPieces:
             found = _ASCII.findall(word.lower())
             return [i for p in found for i in self._piece("".join(map(self.byte_chars.__getitem__, p)))]
         text = word.decode()
+        low = text.lower()
+        if max(low) < chr(LATIN_END) > max(text) and unicodedata.is_normalized("NFC", text) and not any(m in word for m in self.marks):
+            found = _LATIN.findall(low)
+            return [i for p in found for i in self._piece("".join(map(self.byte_chars.__getitem__, p.encode())))]
         ids: list[int] = []
         for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
@@ -71,16 +85,26 @@ class WordPieces:
 
     def of(self, text: bytes, make: Callable[[list[int]], object]) -> list:
         """make(ids of the word) for every word of a text, remembered by word."""
-        words, out = self.words, []
-        for w in text.split():
-            got = words.get(w)
-            if got is None:
-                if len(words) >= KEPT_WORDS:
-                    words.clear()
-                got = words[w] = make(self.encode_word(w))
-            out.append(got)
+        words = text.split()
+        out = list(map(self.words.get, words))
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    out[i] = self._word(words[i], make)
         return out
 
+    def _word(self, word: bytes, make: Callable[[list[int]], object]) -> object:
+        """From this generation of words, or the one before it; a full generation becomes the one before."""
+        got = self.words.get(word)
+        if got is None:
+            got = self.old_words.pop(word, None)
+            if got is None:
+                got = make(self.encode_word(word))
+            if len(self.words) >= KEPT_WORDS:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = got
+        return got
+
 
 _HELD: dict[tuple, WordPieces] = {}
 

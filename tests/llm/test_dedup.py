@@ -105,3 +105,10 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long"), spark.range(500)).collect()}
     assert got == {i: find(i) for i in range(500)}
+
+
+def test_near_dedup_of_repeated_ids_and_nulls(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(5, text, 0, ""), (5, text + " more", 0, ""), (7, text, 0, ""), (7, "else " * 9, 0, ""), (None, text, 0, ""), (9, None, 0, "")], FIELDS)
+    got = sorted((r.id or -1, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(-1, 56, None, True), (5, 56, 5, True), (5, 57, 5, True), (7, 5 - 4, 5, False), (7, 56, 5, False), (9, 0, 9, True)]

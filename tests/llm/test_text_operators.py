@@ -83,6 +83,15 @@ def test_bands_keep_clean_documents_and_reject_junk(spark):
     assert rate[1] > 0.95 and rate[0] < 0.6
 
 
+def test_bands_follow_length_where_classes_are_sparse(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality_rules.judge(docs).where("not base_failed and n_words >= 2048").join(labels, F.col("id") == labels.doc_id, "left").collect()
+    clean = [r.kept for r in rows if r.quality == 1]
+    assert len(clean) == 40 and all(clean)
+    assert np.mean([r.kept for r in rows if r.n_words >= 4096]) > 0.85
+
+
 def test_merkle(spark, odd):
     fp = odd.select("doc_id", "text", merkle.fingerprint(F.col("text")).alias("f")).collect()
     assert len({r.f for r in fp}) == len({r.text or "" for r in fp})

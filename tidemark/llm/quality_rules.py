@@ -3,8 +3,9 @@
 Two public vocabularies measure every text: characters per token under each, the share of tokens that are
 byte fall-backs, and the entropy of the text's tokens as a share of the largest possible. Text of the
 language or script that a vocabulary knows gives much the same values from one document to the next;
-symbol runs, tables and mixed encodings do not. The rejection bands are quartile-based and learned for
-each language (for each script where lang is null) over all documents that pass the base rules.
+symbol runs, tables and mixed encodings do not. The rejection bands follow the text's length; they are
+quartile-based and learned for each language (for each script where lang is null) over all documents that pass
+the base rules.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ MEASURES = ("chars_per_piece", "chars_per_rank", "fallback_share", "entropy_shar
 #: Band half-widths in robust standard deviations (quartile distance / 1.349).
 BANDS = {"chars_per_piece": 3.5, "chars_per_rank": 2.5, "fallback_share": 8.0, "entropy_share": 2.2}
 LEAST_FALLBACK = 0.03
-LEAST_ROWS = 50
+PRIOR_ROWS = 50
 SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "han": r"\p{IsHan}", "arabic": r"\p{IsArabic}"}
 
 _HELD: dict[tuple, "Vocabularies"] = {}
@@ -154,30 +155,79 @@ def script(text: Column) -> Column:
     return out
 
 
+def log_words() -> Column:
+    return F.log2(F.greatest("n_words", F.lit(1)))
+
+
 def octave() -> Column:
     """Length class: the measures of short texts scatter more, and entropy shares fall with length."""
-    return F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
+    return F.floor(log_words()).cast("int")
+
+
+def curves(good: DataFrame, group: str) -> DataFrame:
+    """(group, octave, at, then mid_, slope_ of every measure): each length class's line of the measure over log2 of words.
+
+    A line is fitted to the medians of all classes of the group, weighted by their rows, a quarter of that for every
+    octave of distance, so a class of few rows follows its neighbours' slope. PRIOR_ROWS rows' worth of the slope
+    of all groups together is added to a group's own.
+    """
+    q = [F.percentile_approx(m, 0.5, 2000).alias(m) for m in MEASURES]
+    classes = good.groupBy(group, octave().alias("octave")).agg(F.count("*").alias("n"), F.avg(log_words()).alias("x"), *q)
+    other = classes.select(group, F.col("octave").alias("of"), F.col("x").alias("at"))
+    z = F.col("x") - F.col("at")
+    w = F.col("n") * F.pow(F.lit(4.0), -F.abs(F.col("octave") - F.col("of")))
+    sums = [F.sum(w).alias("w"), F.sum(w * z).alias("z"), F.sum(w * z * z).alias("zz")]
+    sums += [F.sum(w * v).alias(f"{k}{m}") for m in MEASURES for k, v in (("y_", F.col(m)), ("zy_", z * F.col(m)))]
+    near = classes.join(other, group).groupBy(group, "of", "at").agg(*sums)
+    szz = F.col("zz") - F.col("z") * F.col("z") / F.col("w")
+    szy = {m: F.col(f"zy_{m}") - F.col("z") * F.col(f"y_{m}") / F.col("w") for m in MEASURES}
+    near = near.select("*", szz.alias("szz"), *[c.alias(f"szy_{m}") for m, c in szy.items()])
+    pool = near.groupBy("of").agg(F.sum("w").alias("all"), F.sum("szz").alias("all_zz"), *[F.sum(f"szy_{m}").alias(f"all_{m}") for m in MEASURES])
+    prior = F.lit(float(PRIOR_ROWS)) / F.col("all")
+    spread = F.col("szz") + prior * F.col("all_zz")
+    out = []
+    for m in MEASURES:
+        slope = F.when(spread > 1e-9, (F.col(f"szy_{m}") + prior * F.col(f"all_{m}")) / spread).otherwise(0.0)
+        out += [((F.col(f"y_{m}") - slope * F.col("z")) / F.col("w")).alias(f"mid_{m}"), slope.alias(f"slope_{m}")]
+    return near.join(F.broadcast(pool), "of").select(group, F.col("of").alias("octave"), "at", *out)
+
+
+def residual(m: str) -> Column:
+    return F.col(m) - F.col(f"mid_{m}") - F.col(f"slope_{m}") * (log_words() - F.col("at"))
 
 
 def bands(measured: DataFrame, group: str) -> DataFrame:
-    """Quartiles of every measure over all rows that pass the base rules, for each group and length class.
+    """The line and the scatter of every measure for each group and length class, and quartiles over the whole group.
 
-    A length class of under LEAST_ROWS such rows has the quartiles of its whole group.
+    All rows that pass the base rules count, however few a class has. scale_ is the median distance to the line in
+    a length class over all groups, smoothed by lines as in curves(); q_ are quartiles of (measure - line) / scale_ over all
+    rows of the group.
     """
-    q = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"q_{m}") for m in MEASURES]
     good = measured.where(~base_failed())
-    fine = good.groupBy(group, octave().alias("octave")).agg(F.count("*").alias("n_rows"), *q)
-    whole = good.groupBy(group).agg(*[x.alias(f"whole_{m}") for x, m in zip(q, MEASURES, strict=True)])
-    enough = F.col("n_rows") >= LEAST_ROWS
-    return fine.join(whole, group).select(group, "octave", *[F.when(enough, F.col(f"q_{m}")).otherwise(F.col(f"whole_{m}")).alias(f"q_{m}") for m in MEASURES])
+    lines = curves(good, group)
+    rest = good.withColumn("octave", octave()).join(lines, [group, "octave"])
+    apart = rest.groupBy("octave").agg(F.count("*").alias("n"), *[F.percentile_approx(F.abs(residual(m)), 0.5, 2000).alias(m) for m in MEASURES])
+    z = F.col("octave") - F.col("of")
+    w = F.col("n") * F.pow(F.lit(4.0), -F.abs(z))
+    both = apart.crossJoin(F.broadcast(apart.select(F.col("octave").alias("of")))).groupBy("of")
+    fits = both.agg(F.sum(w).alias("w"), F.sum(w * z).alias("z"), F.sum(w * z * z).alias("zz"), *[F.sum(w * v).alias(f"{k}{m}") for m in MEASURES for k, v in (("y_", F.col(m)), ("zy_", z * F.col(m)))])
+    spread, scales = F.col("zz") - F.col("z") * F.col("z") / F.col("w"), []
+    for m in MEASURES:
+        mean = F.col(f"y_{m}") / F.col("w")
+        slope = F.when(spread > 1e-9, (F.col(f"zy_{m}") - F.col("z") * mean) / spread).otherwise(0.0)
+        scales.append(F.greatest(mean - slope * F.col("z") / F.col("w"), mean / 2, F.lit(1e-12)).alias(f"scale_{m}"))
+    scale = fits.select(F.col("of").alias("octave"), *scales)
+    q = [F.percentile_approx(residual(m) / F.col(f"scale_{m}"), [0.25, 0.5, 0.75], 2000).alias(f"q_{m}") for m in MEASURES]
+    whole = rest.join(F.broadcast(scale), "octave").groupBy(group).agg(*q)
+    return lines.join(F.broadcast(scale), "octave").join(whole, group)
 
 
 def verdict() -> Column:
     """True where no measure is out of its band; characters per token must be out on one side under both vocabularies."""
 
     def off(m: str, side: int, least: float = 1e-9) -> Column:
-        q = F.col(f"q_{m}")
-        return side * (F.col(m) - q[1]) > F.greatest(BANDS[m] * (q[2] - q[0]) / 1.349, F.lit(least))
+        q, scale = F.col(f"q_{m}"), F.col(f"scale_{m}")
+        return side * (residual(m) - q[1] * scale) > F.greatest(BANDS[m] * (q[2] - q[0]) * scale / 1.349, F.lit(least))
 
     low = off("chars_per_piece", -1) & off("chars_per_rank", -1)
     high = off("chars_per_piece", 1) & off("chars_per_rank", 1)

@@ -1,5 +1,9 @@
 """The pipeline: stage order, what each stage may change, and rows of brute force."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm import near_dedup, quality_rules
 
@@ -30,3 +34,33 @@ def test_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fine = [r.text for r in corpus_pipeline.quality(spark, docs, SF).where("lang = 'en'").orderBy("doc_id").limit(6).collect()]
+    row = lambda i, t: (i, t, "en", "x", len(t))
+    make = lambda rows: spark.createDataFrame(rows, docs.schema)
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    as_is = lambda rows: sorted((i is None, i or 0, t) for i, t, *_ in rows)
+
+    odd = [row(None, fine[0]), row(10**9, fine[1]), row(10**9, "too short"), row(None, "too short"), row(10**9 + 1, fine[2]), row(10**9 + 1, fine[2])]
+    kept = corpus_pipeline.quality(spark, docs.union(make(odd)), SF).where("doc_id is null or doc_id >= 1000000000")
+    assert texts(kept) == as_is([odd[0], odd[1], odd[4], odd[5]])
+
+    rows = [row(None, fine[0]), row(None, fine[0]), row(7, fine[1]), row(7, fine[1]), row(7, fine[2]), row(None, fine[2]), row(-3, fine[3]), row(4, fine[3]), row(None, fine[4]), row(None, ""), row(None, "")]
+    kept = corpus_pipeline.near_dedup(spark, make(rows), SF)
+    assert texts(kept) == as_is([rows[k] for k in (0, 2, 4, 6, 8, 9, 10)])
+
+    shared = "one and the same passage of well over fifty bytes that several rows have. "
+    rows = [row(None, "Third " + shared), row(5, "Second " + shared), row(None, "Fourth " + shared), row(2, "First " + shared), row(5, "Later " + shared)]
+    left = corpus_pipeline.passages(spark, make(rows), SF).collect()
+    assert len(left) == 5 and [r.doc_id for r in left if shared in r.text] == [2]
+
+    rows = [row(None, fine[0]), row(None, fine[1]), row(3, fine[2]), row(3, fine[3])]
+    keyed = make(rows).withColumn("key", corpus_pipeline.row_key())
+    rates = corpus_pipeline.mix(keyed, spark.read.parquet(f"{SF}/labels.parquet"), row_col="key").withColumnRenamed("id", "key")
+    counts = rates.select("key", corpus_pipeline.copies(F.col("rate"), F.col("key")).alias("n"))
+    wanted = {(r.doc_id, r.text): r.n for r in keyed.join(counts, "key").collect() if r.n}
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, make(rows), SF).collect())
+    assert got == wanted and {i for i, _ in got} >= {None}

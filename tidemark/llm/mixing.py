@@ -103,15 +103,16 @@ def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> list[
     return residuals
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains: dict[str, str] | None = None, targets: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains: dict[str, str] | None = None, targets: dict[str, float] | None = None, steps: int = STEPS, row_col: str | None = None) -> DataFrame:
     """(id, n_tokens, posterior_<domain>..., rate) of every row of docs.
 
     A null or empty text has no tokens; its rate follows from the posterior that the models give it. Without
-    labels all posteriors are equal. Repeated rows count as often as they occur. Other columns are not read.
+    labels all posteriors are equal. Repeated rows count as often as they occur. Other columns are not read, but
+    for row_col, which is returned as id where it is given.
     """
     domains, targets = domains or DOMAINS, targets or TARGETS
     names = list(domains)
-    members = cut(memberships(docs, domain_models(docs, labels, domains, id_col, text_col), id_col, text_col))
+    members = cut(memberships(docs, domain_models(docs, labels, domains, id_col, text_col), row_col or id_col, text_col))
     residuals = solve(members, [targets[d] for d in names], steps)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

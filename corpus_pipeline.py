@@ -66,10 +66,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that a smaller document has; characters cut in two go as well."""
     docs, row = numbered(spark, docs)
-    found = remove_repeats(docs, row)
-    whole = F.col("kept_bytes").cast("string")
-    text = F.when(F.col("n_removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    found = remove_repeats(docs, row, kept_text=True).withColumn("text", F.col("kept_text"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

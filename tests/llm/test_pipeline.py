@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near_dedup, quality_rules
+from tidemark.llm.suffix_dedup import whole_characters
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +65,14 @@ def test_null_and_repeated_ids(spark):
     wanted = {(r.doc_id, r.text): r.n for r in keyed.join(counts, "key").collect() if r.n}
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, make(rows), SF).collect())
     assert got == wanted and {i for i, _ in got} >= {None}
+
+
+def test_passages_remove_cut_characters_alone(spark):
+    shared = "x" * 60
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(1, "ab\u00e9" + shared + "\u20ac"), (2, "\ufffd genuine \u00c9 cd\u00e9" + shared + "\u20ad, \ufffd too"), (3, "no passage \ufffd")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.passages(spark, spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], docs.schema), SF).collect()}
+    left = "\ufffd genuine \u00c9 cd, \ufffd too"
+    assert got == {1: (rows[0][1], 64), 2: (left, len(left)), 3: (rows[2][1], 12)}
+    raw = "ab\u20accd".encode()
+    assert whole_characters(raw[:3] + raw[4:], [[3, 4]]) == "abcd"

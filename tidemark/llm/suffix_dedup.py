@@ -159,11 +159,12 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = 4 << 20, kept_text: bool = False) -> DataFrame:
     """Every row of docs, its text replaced by kept_bytes, with n_bytes, n_removed, n_spans and removed_spans.
 
     A byte goes if a string of `window` bytes over it also starts in a document with a smaller id.
     removed_spans are the maximal removed runs as [start, end) byte offsets of the input text.
+    With kept_text, whole_characters of the two is added as a column; it is '' for a null text.
     """
     spark = docs.sparkSession
     from tidemark.llm.exchange import buckets
@@ -171,7 +172,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = buckets(spark)
     found = find_repeats(docs, id_col, text_col, window, block_bytes)
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    schema = T.StructType([*rest, T.StructField("kept_bytes", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    schema = T.StructType([*rest, T.StructField("kept_bytes", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), *[T.StructField("kept_text", T.StringType())] * kept_text])
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,11 +189,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 t = b.table.select([f.name for f in rest])
                 for name, values, kind in (("kept_bytes", kept, pa.binary()), ("n_bytes", np.diff(at), pa.int64()), ("n_removed", n_removed, pa.int64()), ("n_spans", [len(x) for x in spans], pa.int64()), ("removed_spans", spans, pa.list_(pa.list_(pa.int64())))):
                     t = t.append_column(name, pa.array(values, kind))
+                if kept_text:
+                    t = t.append_column("kept_text", pa.array([whole_characters(k, s) for k, s in zip(kept, spans, strict=True)], pa.string()))
                 yield from t.combine_chunks().to_batches(max_chunksize=2000)
 
     return found.mapInArrow(cut_out, schema)
 
 
+def whole_characters(kept: bytes, spans: list[list[int]]) -> str:
+    """kept_bytes as text, without what is left of characters that removed_spans cut in two."""
+    parts, at, gone = [], 0, 0
+    for start, end in spans:
+        parts.append(kept[at : start - gone])
+        at = start - gone
+        gone += end - start
+    return "".join(p.decode("utf-8", "ignore") for p in (*parts, kept[at:]))
+
+
 def op1_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))

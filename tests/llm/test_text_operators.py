@@ -46,15 +46,14 @@ def test_shards_round_trip_and_lookup(spark, odd, tmp_path):
     docs = odd.union(extra)
     folder = f"file://{tmp_path}/shards"
     manifest = token_shards.write_shards(docs, folder, shards=3)
-    files = token_shards.read_shards(spark, folder)
-    got = sorted((r.key if r.key is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in token_shards.shard_documents(files, manifest).collect())
+    got = sorted((r.key if r.key is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in token_shards.shard_documents(folder, manifest).collect())
     rows = sorted(((-1 if r.doc_id is None else r.doc_id, [*library_ids(r.text), 1]) for r in docs.collect()), key=lambda r: (r[0], np.array(r[1], "<u2").tobytes()))
     want, at = [], 0
     for key, ids in rows:
         want.append((key, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == sorted(want)
-    found = {r.key: r.ids for r in token_shards.lookup(files, manifest, spark.range(30), "id").collect()}
+    found = {r.key: r.ids for r in token_shards.lookup(folder, manifest, spark.range(-3, 30), "id").collect()}
     assert found == {i * 2: [*library_ids(t), 1] for i, t in enumerate(ODD)}
 
 
@@ -64,6 +63,67 @@ def test_perfect_hash():
     assert sorted(h.slots(keys)) == list(range(len(keys)))
 
 
+def test_lookup_reads_little():
+    """A key is found by a few short reads, the same in number for few and for many documents."""
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, data):
+            self.file, self.read_bytes, self.reads = pa.BufferReader(data), 0, 0
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, size):
+            self.read_bytes, self.reads = self.read_bytes + size, self.reads + 1
+            return self.file.read(size)
+
+    for n in (10, 50_000):
+        keys = np.arange(n) * 7 - 99
+        f = Counted(token_shards.shard_bytes(keys, np.full(n, 3), np.arange(3 * n).astype(np.uint16).tobytes(), 2, 1))
+        shard = token_shards.Shard(f)
+        before = f.read_bytes, f.reads
+        for i in (0, n // 2, n - 1):
+            assert shard.document(shard.find(int(keys[i]))).tolist() == [(3 * i + j) % 65536 for j in range(3)]
+        assert f.read_bytes - before[0] < 3 * 700 and f.reads - before[1] < 3 * 12
+        assert sum(shard.find(int(k) + 1) >= 0 for k in keys[:50]) == 0
+        assert [(k, a) for k, a, _ in shard.documents()] == [(k, 3 * i) for i, k in enumerate(keys.tolist())]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op3_query_equals_library(spark, sf):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect())
+    t, at, want = Tokenizer.from_file(vocabulary_path()), 0, {}
+    for i, text in docs:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_shards.op3_query(spark, f"/root/testdata/{sf}").collect()} == want
+
+
+def test_op7_query_equals_library(spark):
+    t = Tokenizer.from_file(vocabulary_path())
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_automaton.op7_query(spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_tokens_of_empty_table_long_words_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["x" * 20000, "".join(rng.choice("etaoin") for _ in range(20000)), None, "", "a b " * 30000]
+    df = spark.createDataFrame([(1, t, 5, "k", 3) for t in texts], "doc_id long, text string, id int, n_tokens string, ids int")
+    got = sorted(r.ids for r in bpe_automaton.encode_documents(df).collect())
+    assert got == sorted(library_ids(t) for t in texts)
+    assert sorted(r.ids for r in bpe_automaton.token_digests(df, ids=True).collect()) == got
+    assert bpe_automaton.token_digests(df.limit(0)).count() == 0
+    folder = f"file://{tmp_path}/none"
+    manifest = token_shards.write_shards(df.limit(0), folder, shards=2)
+    assert token_shards.shard_documents(folder, manifest).count() == 0
+    assert token_shards.lookup(folder, manifest, spark.range(3), "id").count() == 0
+
+
 def test_base_counts(spark, odd):
     rng = random.Random(9)
     texts = [*ODD, "a b c a b c\na b\n\na b\n#x", "\n\n", "one\n", *["".join(rng.choice("ab \n#é") for _ in range(120)) for _ in range(40)]]

@@ -5,15 +5,18 @@ Its normaliser and splitter never look across white space, so a text's ids are t
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import accumulate, chain, compress
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS, KEPT_PIECES = 200_000, 100_000  # of each of two generations
+KEPT_WORDS = 200_000  # of each of two generations
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -24,93 +27,141 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+# fixed values: printable stand-ins of bytes, as the byte-level splitter writes them
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_REST = [b for b in range(256) if b not in set(_SHOWN)]
+BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(_REST)}
+CHAR_OF = {b: c for c, b in BYTE_OF.items()}
+
 LATIN_END = 0x250  # letters and digits below are the same in all Unicode versions in use
 _LETTERS = "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "L")
 _DIGITS = "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "N")
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \\x85\\xa0{_LETTERS}{_DIGITS}]+")
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
-
-class WordPieces:
-    """Pieces of words as the vocabulary's own normaliser and splitter give them, encoded by `piece_ids`."""
-
-    def __init__(self, path: str, piece_ids: Callable[[str], list[int]] | None = None):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
-        self.special = {x["content"]: x["id"] for x in added}
-        self.split_special = re.compile("(" + "|".join(re.escape(x) for x in self.special) + ")") if self.special else None
-        self.marks = tuple({x[:2].encode() for x in self.special})
-        model = self.library.model
-        self.piece_ids = piece_ids or (lambda piece: [t.id for t in model.tokenize(piece)])
-        self.pieces: dict[str, list[int]] = {}
-        self.old_pieces: dict[str, list[int]] = {}
-        self.words: dict[bytes, object] = {}
-        self.old_words: dict[bytes, object] = {}
-        # fixed values: printable stand-ins of bytes, as the byte-level splitter writes them
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(shown)]
-        self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.old_pieces.pop(piece, None)
-            if ids is None:
-                ids = self.piece_ids(piece)
-            if len(self.pieces) >= KEPT_PIECES:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[piece] = ids
-        return ids
-
-    def encode_word(self, word: bytes) -> list[int]:
-        if word.isascii() and not any(m in word for m in self.marks):
-            found = _ASCII.findall(word.lower())
-            return [i for p in found for i in self._piece("".join(map(self.byte_chars.__getitem__, p)))]
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
+
+
+def pieces_of(path: str) -> Callable[[list[bytes]], list[list[bytes | int]]]:
+    """A function from words to their pieces, as bytes, by the vocabulary's own normaliser and splitter.
+
+    Special tokens come as their ids. Words of plain Latin letters are split here by the same pattern, all at once.
+    """
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    split_special = re.compile("(" + "|".join(re.escape(x) for x in special) + ")") if special else None
+    marks = tuple({x[:2].encode() for x in special})
+
+    def other(word: bytes) -> list[bytes | int]:
         text = word.decode()
         low = text.lower()
-        if max(low) < chr(LATIN_END) > max(text) and unicodedata.is_normalized("NFC", text) and not any(m in word for m in self.marks):
-            found = _LATIN.findall(low)
-            return [i for p in found for i in self._piece("".join(map(self.byte_chars.__getitem__, p.encode())))]
-        ids: list[int] = []
-        for part in self.split_special.split(text) if self.split_special else [text]:
-            if part in self.special:
-                ids.append(self.special[part])
+        if max(low) < chr(LATIN_END) > max(text) and unicodedata.is_normalized("NFC", text) and not any(m in word for m in marks):
+            return [p.encode() for p in _LATIN.findall(low)]
+        out: list[bytes | int] = []
+        for part in split_special.split(text) if split_special else [text]:
+            if part in special:
+                out.append(special[part])
             elif part:
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-                    ids += self._piece(piece)
-        return ids
-
-    def of(self, text: bytes, make: Callable[[list[int]], object]) -> list:
-        """make(ids of the word) for every word of a text, remembered by word."""
-        words = text.split()
-        out = list(map(self.words.get, words))
-        if None in out:
-            for i, got in enumerate(out):
-                if got is None:
-                    out[i] = self._word(words[i], make)
+                out += [bytes(map(BYTE_OF.__getitem__, p)) for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
         return out
 
-    def _word(self, word: bytes, make: Callable[[list[int]], object]) -> object:
-        """From this generation of words, or the one before it; a full generation becomes the one before."""
-        got = self.words.get(word)
-        if got is None:
-            got = self.old_words.pop(word, None)
+    def split(words: list[bytes]) -> list[list[bytes | int]]:
+        whole = b"\n".join(words)
+        plain = [w.isascii() for w in words]
+        if any(m in whole for m in marks):
+            plain = [p and not any(m in w for m in marks) for w, p in zip(words, plain, strict=True)]
+        groups: list[list[bytes | int]] = [[]]
+        for p in _ASCII.findall(b"\n".join(compress(words, plain)).lower()):
+            if p == b"\n":
+                groups.append([])
+            else:
+                groups[-1].append(p)
+        next_plain = iter(groups)
+        return [next(next_plain) if p else other(w) for w, p in zip(words, plain, strict=True)]
+
+    return split
+
+
+class WordTable:
+    """What each word of a text contributes to an output that is its words' parts joined.
+
+    `make` turns the ids of a word into its part; a word without ids has the part `make([])`, which must be false.
+    Words are kept in two generations of about KEPT_WORDS.
+    """
+
+    def __init__(self, split: Callable[[list[bytes]], list[list[bytes | int]]], encode: Callable[[list[bytes]], list[list[int]]], make: Callable[[list[int]], object]):
+        self.split, self.encode, self.make = split, encode, make
+        self.now: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Take in words that this generation doesn't have."""
+        if len(self.now) + len(words) > KEPT_WORDS:
+            self.old, self.now = self.now, {}
+        unknown = []
+        for w in words:
+            got = self.old.get(w)
             if got is None:
-                got = make(self.encode_word(word))
-            if len(self.words) >= KEPT_WORDS:
-                self.old_words, self.words = self.words, {}
-            self.words[word] = got
-        return got
-
-
-_HELD: dict[tuple, WordPieces] = {}
-
-
-def held(path: str, kind: str, build: Callable[[], WordPieces]) -> WordPieces:
-    """One encoder for each Python worker: workers outlive tasks, and so do the words they know."""
+                unknown.append(w)
+            else:
+                self.now[w] = got
+        split = self.split(unknown)
+        pieces = [p for p in set(chain.from_iterable(split)) if type(p) is bytes]
+        ids_of = dict(zip(pieces, self.encode(pieces), strict=True))
+        for w, s in zip(unknown, split, strict=True):
+            if len(s) == 1 and type(s[0]) is bytes:
+                ids = ids_of[s[0]]
+            else:
+                ids = [i for p in s for i in (ids_of[p] if type(p) is bytes else (p,))]
+            self.now[w] = self.make(ids)
+
+    def of(self, texts: list[bytes]) -> list[list]:
+        """The parts of the words of every text."""
+        with no_collector():
+            split = [t.split() for t in texts]
+            words = list(chain.from_iterable(split))
+            parts = list(map(self.now.get, words))
+            missing = [i for i, p in enumerate(parts) if p is None]
+            if missing:
+                self.learn({words[i] for i in missing})
+                for i in missing:
+                    parts[i] = self.now[words[i]]
+            ends = list(accumulate(map(len, split)))
+            return [list(filter(None, parts[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Without passes of the cycle collector: the tables of words hold no cycles, and each pass would walk them all."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def library_encoder(path: str) -> Callable[[list[bytes]], list[list[int]]]:
+    """The tokenizers library's own model, piece by piece."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path).model
+    shown = re.compile(rb"[!-~]*")
+
+    def ids(piece: bytes) -> list[int]:
+        text = piece.decode() if shown.fullmatch(piece) else "".join(map(CHAR_OF.__getitem__, piece))
+        return [t.id for t in model.tokenize(text)]
+
+    return lambda pieces: list(map(ids, pieces))
+
+
+_HELD: dict[tuple, WordTable] = {}
+
+
+def held(path: str, kind: str, build: Callable[[], WordTable]) -> WordTable:
+    """One table for each Python worker: workers outlive tasks, and so do the words they know."""
     if (path, kind) not in _HELD:
         _HELD[path, kind] = build()
     return _HELD[path, kind]

@@ -211,20 +211,68 @@ def test_classifier_without_labels_or_texts(spark, odd):
     assert {r.score for r in quality_classifier.score(odd, quality_classifier.train(odd, none)).collect()} == {0.5}
 
 
-def test_projected_gradient_meets_targets():
+def brute_rates(p, n, goal, steps=400_000):
+    """Plain projected gradient on every rate, in the metric of tokens."""
+    r, total = np.ones(len(p)), n.sum()
+    for _ in range(steps):
+        e = (r * n) @ p / total - goal
+        r = np.maximum(0, r - (p @ e + mixing.RIDGE * (r - 1)))
+        if np.abs(e).max() < 1e-9:
+            break
+    return r
+
+
+def test_rates_equal_plain_projected_gradient(spark):
     rng = np.random.default_rng(0)
-    p = rng.dirichlet([0.5, 0.3, 0.2], 2000)
-    n = rng.integers(10, 500, 2000).astype(float)
-    goal, residuals = np.array([0.6, 0.3, 0.1]), []
-    for _ in range(mixing.STEPS):
-        residuals.append((mixing.rates_after(p, residuals)[1] * n) @ p / n.sum() - goal)
-    rate = mixing.rates_after(p, residuals)[0]
-    assert (rate >= 0).all() and np.abs((rate * n) @ p / n.sum() - goal).max() < 0.01
+    p = rng.dirichlet([0.5, 0.3, 0.2], 300)
+    n = rng.integers(10, 500, 300)
+    df = spark.createDataFrame([(int(m), *map(float, q)) for m, q in zip(n, p, strict=True)], "n_tokens long, posterior_a double, posterior_b double, posterior_c double")
+    for goal in ([0.6, 0.3, 0.1], [0.9, 0.05, 0.05]):
+        x, totals = mixing.solve(df, ["a", "b", "c"], goal)
+        assert np.abs(totals - goal).max() < 1e-4
+        r = np.maximum(0, 1 - p @ x)
+        plain = brute_rates(p, n.astype(float), np.array(goal))
+        assert np.abs((plain * n) @ p / n.sum() - goal).max() < 1e-4
+        far = lambda q: (n * (q - 1) ** 2).sum() / n.sum()
+        assert far(r) <= far(plain) * 1.001 + 1e-9 and np.abs(r - plain).max() < 0.05
+
+
+def test_targets_out_of_reach_give_the_nearest_totals(spark):
+    df = spark.createDataFrame([(10, 0.8, 0.2), (30, 0.6, 0.4)], "n_tokens long, posterior_a double, posterior_b double")
+    x, totals = mixing.solve(df, ["a", "b"], [0.1, 0.9])
+    best = min((np.hypot(a * 0.8 + b * 0.6 - 0.1, a * 0.2 + b * 0.4 - 0.9), a, b) for a in np.linspace(0, 3, 301) for b in np.linspace(0, 3, 301))
+    assert np.hypot(totals[0] - 0.1, totals[1] - 0.9) < best[0] + 1e-3
+
+
+def test_mixing_meets_targets_on_the_given_table(spark):
+    rows = mixing.op8_query(spark, "/root/testdata/sf0.01").collect()
+    total = sum(r.n_tokens * r.rate for r in rows)
+    for d, t in mixing.TARGETS.items():
+        assert abs(sum(r.n_tokens * r.rate * r[f"posterior_{d}"] for r in rows) / total - t) < 1e-3 and abs(rows[0][f"share_{d}"] - t) < 1e-3
+    assert all(r.rate >= 0 and abs(r.posterior_high + r.posterior_low + r.posterior_toxic - 1) < 1e-9 for r in rows)
 
 
 def test_mixing(spark, odd):
-    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0), (4, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
-    got = mixing.mix(odd, labels, steps=3).collect()
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0), (4, 1, 1), (6, None, None), (8, 0, 0), (8, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(odd, labels).collect()
     assert len(got) == len(ODD) and all(r.rate >= 0 for r in got)
-    assert mixing.mix(odd.limit(0), labels, steps=2).count() == 0
+    assert mixing.mix(odd.limit(0), labels).count() == 0
+    assert mixing.mix(odd.union(odd), labels.limit(0)).count() == 2 * len(ODD)
     assert {r.c for r in spark.range(500).select(mixing.copies(F.lit(1.25), F.col("id")).alias("c")).collect()} == {1, 2}
+
+
+def test_follow_equals_plain_loop():
+    """FTRL of one row and class after the other, in scalars."""
+    rng = np.random.default_rng(3)
+    z, n, plain = np.zeros((1, 9)), np.zeros((1, 9)), [[0.0, 0.0] for _ in range(9)]
+    q = quality_classifier
+    for _ in range(60):
+        f = np.sort(rng.choice(9, 4, replace=False))
+        v, y = rng.random(4), float(rng.integers(2))
+        q.follow(f, v, np.array([y]), z, n)
+        w = [0.0 if abs(plain[i][0]) <= q.L1 else -(plain[i][0] - np.sign(plain[i][0]) * q.L1) / ((q.BETA + plain[i][1] ** 0.5) / q.ALPHA + q.L2) for i in f]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, v, strict=True))))
+        for i, a, b in zip(f, v, w, strict=True):
+            g = (p - y) * a
+            plain[i] = [plain[i][0] + g - ((plain[i][1] + g * g) ** 0.5 - plain[i][1] ** 0.5) / q.ALPHA * b, plain[i][1] + g * g]
+    assert np.allclose(z[0], [a for a, _ in plain]) and np.allclose(n[0], [b for _, b in plain])

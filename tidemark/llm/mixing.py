@@ -1,15 +1,16 @@
 """Mixing sources to target weights, with soft membership in domains.
 
-The labelled table defines the domains (by default: toxic, low quality, high quality). Hashed n-gram logistic
-models, one for each domain, give every document a posterior over domains. Document rates r >= 0 are then
-the projected-gradient solution of
+The labelled table defines the domains (by default: toxic, low quality, high quality). One softmax model over hashed
+n-grams gives every document a posterior over domains. Document rates r >= 0 are then the least-squares solution of
 
-    min  1/2 |sum_d r_d n_d p_d / N - t|^2 + LAMBDA/2 sum_d (n_d / N) (r_d - 1)^2
+    min  1/2 |sum_d r_d n_d p_d / N - t|^2 + RIDGE/2 sum_d (n_d / N) (r_d - 1)^2
 
-for n_d tokens, posteriors p_d, N tokens in all and target weights t, so that the expected tokens of every
-domain match its target. With steps taken in the metric n_d / N, a document's rate after any number of
-steps follows from its own posterior and the residuals of the steps before, which are one small vector a
-step. So a step is one pass of partial sums over (tokens, posterior), and no rate is ever moved or stored.
+for n_d tokens, posteriors p_d, N tokens in all and target weights t, so that the expected tokens of every domain
+match its target, by rates as near to 1 as they can be. The gradient by the rates is n_d / N times p_d . (residual), so
+projected-gradient steps that sum their gradients before they project leave every rate at max(0, 1 - p_d . x) for one
+small vector x. A step adds to x the residual, preconditioned by the domains' Gram matrix over the rates above 0, and
+is halved until it gains; steps go on until the gradient vanishes. A step is one aggregate over (tokens, posterior)
+in built-in functions; no rate is moved or stored before the end.
 """
 
 from __future__ import annotations
@@ -21,25 +22,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality_classifier import MOST_ROWS, features, fit_shards, training_rows
+from tidemark.llm.quality_classifier import MOST_ROWS, features, fit_shards, probabilities, training_rows
 from tidemark.llm.runtime import cut
 from tidemark.llm.textops import slices, text_bytes, words
 
 DOMAINS = {"high": "quality = 1 and coalesce(toxic, 0) = 0", "low": "quality = 0 and coalesce(toxic, 0) = 0", "toxic": "toxic = 1"}
 TARGETS = {"high": 0.90, "low": 0.07, "toxic": 0.03}
-LAMBDA, STEPS = 1e-3, 40
+RIDGE = 1e-6
+NEAR_ENOUGH = 1e-7
+MOST_STEPS = 200  # never reached in use: beyond it solve() fails rather than return what it has
 
 
-def domain_models(docs: DataFrame, labels: DataFrame, domains: dict[str, str], id_col: str, text_col: str, most_rows: int = MOST_ROWS) -> np.ndarray:
+def domain_model(docs: DataFrame, labels: DataFrame, domains: dict[str, str], id_col: str, text_col: str, most_rows: int = MOST_ROWS) -> np.ndarray:
     """A row of weights for every domain, learned on at most most_rows labelled rows, the least by a hash of the id."""
-    y = F.array(*[F.expr(f"cast({d} as int)") for d in domains.values()])
-    labelled = labels.select(F.col(id_col).alias("id"), y.alias("y")).where("exists(y, x -> x = 1)")
+    y = F.array(*[F.expr(f"cast(coalesce({d}, false) as int)") for d in domains.values()])
+    labelled = labels.select(F.col(id_col).alias("id"), y.alias("y")).where("aggregate(y, 0, (n, x) -> n + x) = 1")
     return fit_shards(training_rows(docs, labelled, id_col, text_col, most_rows), len(domains))
 
 
-def memberships(docs: DataFrame, models: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, posterior) of every row: words, and the models' scores scaled to a sum of 1."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
+def memberships(docs: DataFrame, model: np.ndarray, names: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, n_tokens, posterior_<name>...) of every row: words, and the model's posterior."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    columns = [f"posterior_{d}" for d in names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,80 +53,70 @@ def memberships(docs: DataFrame, models: np.ndarray, id_col: str, text_col: str)
                 raw, offsets = text_bytes(part.column(1))
                 n = np.bincount(words(raw, offsets)[2], minlength=b - a)
                 row, feature, value = features(raw, offsets)
-                x = np.stack([np.bincount(row, weights=m[feature] * value, minlength=b - a) for m in held.value], 1)
-                p = 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array((p / p.sum(1, keepdims=True)).tolist(), pa.list_(pa.float64()))], names=["id", "n_tokens", "posterior"])
+                p = probabilities(np.stack([np.bincount(row, weights=m[feature] * value, minlength=b - a) for m in held.value], 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(p.T))], names=["id", "n_tokens", *columns])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, posterior array<double>")
+    fields = "".join(f", {c} double" for c in columns)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long" + fields)
 
 
-def rates_after(posterior: np.ndarray, residuals: list[np.ndarray], penalty: float = LAMBDA) -> np.ndarray:
-    """Rates, and their accelerated look-ahead, after a step for each residual."""
-    r = look = np.ones(len(posterior))
-    pace = 1.0
-    for e in residuals:
-        new = np.maximum(0.0, look - (posterior @ e + penalty * (look - 1)) / (1 + penalty))
-        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
-        look = new + (pace - 1) / faster * (new - r)
-        r, pace = new, faster
-    return np.stack([r, look])
+def rate(posterior: list[Column], x: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), 1.0 - sum((p * float(v) for p, v in zip(posterior, x, strict=True)), F.lit(0.0)))
 
 
-def _posteriors(column) -> np.ndarray:
-    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return c.flatten().to_numpy().reshape(len(c), -1)
-
-
-def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> list[np.ndarray]:
-    """Residuals of the projected-gradient steps; members is (n_tokens, posterior) and should be checkpointed."""
-    k = len(targets)
+def solve(members: DataFrame, names: list[str], targets: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The vector x of the rates, and the domains' shares of the tokens at these rates; members should be checkpointed."""
+    k = len(names)
     goal = np.array(targets) / sum(targets)
-
-    def totals(residuals: list[np.ndarray]) -> tuple[float, np.ndarray]:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, by = 0.0, np.zeros(k)
-            for b in batches:
-                if b.num_rows:
-                    p, n = _posteriors(b.column(1)), b.column(0).to_numpy().astype(float)
-                    total += n.sum()
-                    by += (rates_after(p, residuals)[1] * n) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([total]), *(pa.array([x]) for x in by)], names=["n", *(f"d{i}" for i in range(k))])
-
-        fields = ", ".join(["n double", *(f"d{i} double" for i in range(k))])
-        got = members.select("n_tokens", "posterior").mapInArrow(run, fields).agg(*[F.sum(c).alias(c) for c in ["n", *(f"d{i}" for i in range(k))]]).first()
-        return float(got[0] or 0.0), np.array([x or 0.0 for x in got[1:]])
-
-    residuals: list[np.ndarray] = []
-    for _ in range(steps):
-        total, by = totals(residuals)
-        if total == 0:
-            break
-        residuals.append(by / total - goal)
-        if np.abs(residuals[-1]).max() < 1e-6:
-            break
-    return residuals
-
-
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains: dict[str, str] | None = None, targets: dict[str, float] | None = None, steps: int = STEPS, row_col: str | None = None) -> DataFrame:
-    """(id, n_tokens, posterior_<domain>..., rate) of every row of docs.
-
-    A null or empty text has no tokens; its rate follows from the posterior that the models give it. Without
-    labels all posteriors are equal. Repeated rows count as often as they occur. Other columns are not read, but
-    for row_col, which is returned as id where it is given.
+    p = [F.col(f"posterior_{d}") for d in names]
+    tokens = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+    if not tokens:
+        return np.zeros(k), np.zeros(k)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        r, n = rate(p, x), F.col("n_tokens") / tokens
+        sums = [F.sum(n * r * r), *(F.sum(n * r * q) for q in p), *(F.sum(F.when(r > 0, n * p[i] * p[j]).otherwise(0.0)) for i, j in upper)]
+        got = np.array(members.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first(), float)
+        totals, gram = got[1 : k + 1], np.zeros((k, k))
+        for (i, j), v in zip(upper, got[k + 1 :], strict=True):
+            gram[i, j] = gram[j, i] = v
+        return got[0] / 2 + goal @ x + RIDGE / 2 * x @ x, goal - totals + RIDGE * x, gram, totals
+
+    x = np.zeros(k)
+    value, gradient, gram, totals = at(x)
+    for _ in range(MOST_STEPS):
+        if np.abs(gradient).max() < NEAR_ENOUGH:
+            return x, totals
+        move, size = -np.linalg.solve(gram + RIDGE * np.eye(k), gradient), 1.0
+        while True:
+            new = at(x + size * move)
+            if new[0] <= value + 1e-4 * size * (gradient @ move) or size < 1e-6:
+                break
+            size /= 2
+        x = x + size * move
+        value, gradient, gram, totals = new
+    raise RuntimeError(f"rates have not converged in {MOST_STEPS} steps: gradient {gradient}")
+
+
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains: dict[str, str] | None = None, targets: dict[str, float] | None = None, row_col: str | None = None, whole: str | None = None) -> DataFrame:
+    """(id, n_tokens, posterior_<domain>..., rate, share_<domain>...) of every row of docs.
+
+    share_ is what the rates make of the expected tokens of a domain, as a share of all; it is the target wherever
+    nonnegative rates can meet the targets. With `whole`, all rates are scaled alike, so that a document that is of
+    this domain alone has a rate of 1 or more. A null or empty text has no tokens; its rate follows from the
+    posterior that the model gives it. Without labels all posteriors are equal. An id with labels that differ does not
+    count in training; rows that repeat count as often as they occur. Texts of any length count whole. Other columns
+    are not read, but for row_col, which is returned as id where it is given. An empty table gives an empty one.
     """
     domains, targets = domains or DOMAINS, targets or TARGETS
     names = list(domains)
-    members = cut(memberships(docs, domain_models(docs, labels, domains, id_col, text_col), row_col or id_col, text_col))
-    residuals = solve(members, [targets[d] for d in names], steps)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                p = _posteriors(b.column(2))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(p[:, i]) for i in range(len(names))), pa.array(rates_after(p, residuals)[0])], names=["id", "n_tokens", *(f"posterior_{d}" for d in names), "rate"])
-
-    fields = ", ".join([f"id {members.schema['id'].dataType.simpleString()}", "n_tokens long", *(f"posterior_{d} double" for d in names), "rate double"])
-    return members.mapInArrow(run, fields)
+    members = cut(memberships(docs, domain_model(docs, labels, domains, id_col, text_col), names, row_col or id_col, text_col))
+    x, totals = solve(members, names, [targets[d] for d in names])
+    pure = max(0.0, 1.0 - x[names.index(whole)]) if whole else 1.0
+    scale = 1 / pure if 0 < pure < 1 else 1.0
+    shares = [F.lit(float(t / totals.sum()) if totals.sum() else 0.0).alias(f"share_{d}") for d, t in zip(names, totals, strict=True)]
+    return members.select("*", (rate([F.col(f"posterior_{d}") for d in names], x) * scale).alias("rate"), *shares)
 
 
 def copies(rate: Column, id_: Column) -> Column:

@@ -24,7 +24,7 @@ from tidemark.llm.textops import BYTE_CODE, LOWER, SpanHash, U, mix, slices, tex
 
 BITS = 16
 MOST_ROWS = 20_000
-SHARDS = 4
+SHARDS = 8
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.003, 0.02
 _KIND = np.zeros(256, np.uint8)  # 0 white, 1 letters and other high bytes, 2 digits, 3 symbols
@@ -74,25 +74,34 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def follow(f: np.ndarray, v: np.ndarray, y: float, z: np.ndarray, n: np.ndarray) -> None:
-    """One FTRL step on a row's features f and values v; z and n change in place."""
-    w = weights(z[f], n[f])
-    g = (1 / (1 + np.exp(-np.clip(v @ w, -35, 35))) - y) * v
-    s = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
-    z[f] += g - s * w
-    n[f] += g * g
+def probabilities(x: np.ndarray) -> np.ndarray:
+    """Of scores by row and class: a softmax over the classes; a sigmoid of the score where there is one class."""
+    if x.shape[-1] == 1:
+        return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+    e = np.exp(x - x.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def follow(f: np.ndarray, v: np.ndarray, y: np.ndarray, z: np.ndarray, n: np.ndarray) -> None:
+    """One FTRL step on a row's features f and values v; z and n, a row for each class, change in place."""
+    zf, nf = z[:, f], n[:, f]
+    w = weights(zf, nf)
+    g = (probabilities(w @ v) - y)[:, None] * v
+    s = (np.sqrt(nf + g * g) - np.sqrt(nf)) / ALPHA
+    z[:, f] = zf + g - s * w
+    n[:, f] = nf + g * g
 
 
 def held_out(id_col: Column) -> Column:
-    """crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+    """crc32 of the id as text, modulo 5, is 0; a null id counts as an empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def fit_shards(data: DataFrame, n_models: int) -> np.ndarray:
-    """Weights of n_models models, a row each; data is (shard, id, y array<int>, text), of bounded size."""
+    """Weights of one model of n_models classes, a row each; data is (shard, id, y array<int>, text), of bounded size."""
 
     def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
+        t = t.sort_by([("id", "ascending"), ("text", "ascending")])
         y = np.array([[v or 0 for v in r] for r in t.column("y").to_pylist()], float)
         raw, offsets = text_bytes(t.column("text"))
         known = []
@@ -100,12 +109,11 @@ def fit_shards(data: DataFrame, n_models: int) -> np.ndarray:
             row, feature, value = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ends = np.searchsorted(row, np.arange(b - a), "right")
             known += [(feature[x:z].astype(np.int32), value[x:z].astype(np.float32)) for x, z in zip(np.append(0, ends[:-1]), ends, strict=True)]
-        state = np.zeros((n_models, 2, 1 << BITS))
+        z, n = np.zeros((2, n_models, 1 << BITS))
         for epoch in range(EPOCHS):
             for i in np.random.default_rng(epoch).permutation(len(known)):
-                for j in range(n_models):
-                    follow(*known[i], y[i, j], *state[j])
-        return pa.table({"w": [np.stack([weights(z, n) for z, n in state]).tobytes()], "n": pa.array([len(known)], pa.int64())})
+                follow(*known[i], y[i], z, n)
+        return pa.table({"w": [weights(z, n).tobytes()], "n": pa.array([len(known)], pa.int64())})
 
     got = data.groupBy("shard").applyInArrow(fit, "w binary, n long").collect()  # SHARDS rows of fixed size
     if not got:
@@ -114,8 +122,9 @@ def fit_shards(data: DataFrame, n_models: int) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(shard, id, y, text) of at most most_rows labelled rows; labelled is (id, y)."""
-    chosen = labelled.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    """(shard, id, y, text) of at most most_rows labelled rows; labelled is (id, y). An id that is labelled twice, but not alike, does not count."""
+    alike = labelled.where("id is not null").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("_most")).where("y = _most").drop("_most")
+    chosen = alike.orderBy(F.xxhash64("id"), "id").limit(most_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     return rows.select(F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(SHARDS)).cast("int").alias("shard"), "id", "y", "text")
 

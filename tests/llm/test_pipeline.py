@@ -60,8 +60,9 @@ def test_null_and_repeated_ids(spark):
 
     rows = [row(None, fine[0]), row(None, fine[1]), row(3, fine[2]), row(3, fine[3])]
     keyed = make(rows).withColumn("key", corpus_pipeline.row_key())
-    rates = corpus_pipeline.mix(keyed, spark.read.parquet(f"{SF}/labels.parquet"), row_col="key").withColumnRenamed("id", "key")
-    counts = rates.select("key", corpus_pipeline.copies(F.col("rate"), F.col("key")).alias("n"))
+    rates = corpus_pipeline.mix(keyed, spark.read.parquet(f"{SF}/labels.parquet"), row_col="key", whole="high").withColumnRenamed("id", "key")
+    clean = F.col("posterior_high") >= F.greatest("posterior_low", "posterior_toxic")
+    counts = rates.select("key", F.greatest(corpus_pipeline.copies(F.col("rate"), F.col("key")), clean.cast("int")).alias("n"))
     wanted = {(r.doc_id, r.text): r.n for r in keyed.join(counts, "key").collect() if r.n}
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, make(rows), SF).collect())
     assert got == wanted and {i for i, _ in got} >= {None}

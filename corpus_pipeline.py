@@ -71,17 +71,19 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its rate asks for; clean documents have rates of 1 or more."""
+    """As many copies of each document as its rate asks for; a document that is most likely clean has one at least."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     keyed = docs.select(*COLUMNS, row_key().alias("key"))
-    rates = mix(keyed, labels, row_col="key").select(F.col("id").alias("key"), copies(F.col("rate"), F.col("id")).alias("n_copies"))
+    clean = F.col("posterior_high") >= F.greatest("posterior_low", "posterior_toxic")
+    n = F.greatest(copies(F.col("rate"), F.col("id")), clean.cast("int")).alias("n_copies")
+    rates = mix(keyed, labels, row_col="key", whole="high").select(F.col("id").alias("key"), n)
     mixed = keyed.join(rates.groupBy("key").agg(F.max("n_copies").alias("n_copies")), "key")
     return mixed.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts of every document of the mix."""
-    return token_digests(docs).withColumnRenamed("id", "doc_id")
+    """Token ids of every document of the mix, with their number and digests of ids and decoded texts."""
+    return token_digests(docs, ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("suffix_dedup", passages), ("mixing", mixing), ("bpe_tokens", token_ids)]

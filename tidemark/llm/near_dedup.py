@@ -9,11 +9,11 @@ A set's sketch holds, for each of M independent exponential hashes, floor(1 - lo
 3. Each such pair is estimated by maximum likelihood over all registers jointly, given the exact set
    sizes. An estimate SLACK below the threshold is about five standard deviations away; the rest are
    verified on their full sets.
-4. Connected components. Bands whose members are still in different components are then opened: inside a
-   task, members of different components are estimated against each other in blocks, by their registers and then by
-   FINE one-byte minima that only these documents get, and only the pairs that may be links leave it, once for
+4. Connected components. Bands whose members are still in different components are then opened. For their members
+   the sketch is continued from M to WIDE registers, one byte of each. Inside a task, members of different
+   components are estimated against each other by these, and only the pairs that may be links leave it, once for
    all bands they share. So no link is lost for not being to the least document, and the pairs of a group of
-   near copies are never written out.
+   near copies are never written out. A member of a band's most common component travels once for the band.
 
 Two texts at the threshold share no band with a probability of 6e-9 (50 bands of 4 registers).
 """
@@ -33,15 +33,13 @@ from tidemark.llm.exchange import Keys, ask, blocks_of, buckets, unpack
 from tidemark.llm.runtime import cut, shuffle_partitions
 from tidemark.llm.textops import BYTE_CODE, LOWER, U, gram_hashes, mix, slices, text_bytes, word_hashes, words
 
-M, BAND, BASE, Q = 200, 4, 1.001, 65534
+M, WIDE, BAND, BASE, Q = 200, 1000, 4, 1.001, 65534
 SLACK = 0.15
-FINE, FINE_SLACK = 1000, 0.07  # the finer estimate has a standard deviation of 0.0137 at the threshold
-TILE = 500
+WIDE_SLACK = 0.07  # the estimate from WIDE registers has a standard deviation of 0.0137 at the threshold
+TILE = 4096
 _R = np.random.default_rng(77)
-MUL_1 = _R.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-MUL_2 = _R.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-FINE_1 = _R.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-FINE_2 = _R.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+MUL_1 = _R.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+MUL_2 = _R.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(column, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +93,9 @@ def minima(flat: np.ndarray, offsets: np.ndarray, mul_1: np.ndarray, mul_2: np.n
     return least
 
 
-def registers(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of M registers for every set: exponential minima on a grid of powers of BASE."""
-    e = -np.log1p(-(minima(flat, offsets, MUL_1, MUL_2) + 0.5) / 2.0**32)
+def registers(flat: np.ndarray, offsets: np.ndarray, m: int = M) -> np.ndarray:
+    """A row of the first m registers for every set: exponential minima on a grid of powers of BASE."""
+    e = -np.log1p(-(minima(flat, offsets, MUL_1[:m], MUL_2[:m]) + 0.5) / 2.0**32)
     return np.clip(np.floor(1 - np.log(e) / np.log(BASE)) + Q / 2, 0, Q + 1).astype(np.uint16)
 
 
@@ -211,66 +209,81 @@ def _open_bands(labels: DataFrame) -> DataFrame:
     return found.mapInArrow(pick, "key long, band int, id long, label long, n_shingles long, regs binary")
 
 
-def _fine(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, fine): a byte of a mix of each of FINE minima, for the given ids; null where rows share an id."""
+def _low_bytes(regs: np.ndarray) -> np.ndarray:
+    return (regs & 0xFF).astype(np.uint8)
+
+
+def _widened(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """members with `wide`: a byte of each of WIDE registers; of the M known ones where rows share an id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 b = batch.slice(a, 1000)
-                least = minima(*shingle_sets(b.column(1), size), FINE_1, FINE_2)
-                short = (mix(least.astype(np.uint64)) & U(0xFF)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in short], pa.binary())], names=["id", "fine"])
+                wide = _low_bytes(registers(*shingle_sets(b.column(1), size), WIDE))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in wide], pa.binary())], names=["id", "wide"])
+
+    def narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = [_low_bytes(np.frombuffer(r, np.uint16)).tobytes() if w is None else w for r, w in zip(b.column("regs").to_pylist(), b.column("wide").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in MEMBER[:-1]), pa.array(low, pa.binary())], names=list(MEMBER))
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fine = texts.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, fine binary")
-    return fine.groupBy("id").agg(F.when(F.count("*") == 1, F.first("fine")).alias("fine"))
+    wide = texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, wide binary")
+    wide = cut(wide.groupBy("id").agg(F.when(F.count("*") == 1, F.first("wide")).alias("wide")))
+    joined = members.join(wide, "id").select(*MEMBER[:-1], "regs", "wide")
+    return joined.mapInArrow(narrow, "key long, band int, id long, label long, n_shingles long, wide binary")
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of members of one band, in different components, whose estimate does not rule them out.
+MEMBER = ("key", "band", "id", "label", "n_shingles", "wide")
+
 
-    A band of over TILE members is dealt to pairs of tiles, so that a task holds two tiles at most at a time.
+def _dealt(members: DataFrame) -> DataFrame:
+    """members with (tile, guest, own): a band of over TILE members is dealt to tiles.
+
+    Members of the band's most common component are hosts, and go to one tile each. The others are guests of
+    every tile of the band, as they may be linked with any member; two guests are compared in the tile of the lesser.
+    So copies grow with the members outside of that component alone.
     """
-    big = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    each = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    big = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).getField("label").alias("host")).where(F.col("n") > TILE)
     tiles = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    dealt = members.join(big, "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "band", "id", "label", "n_shingles", "regs", "fine")
-    n = shuffle_partitions(members.sparkSession)
-    sorted_ = dealt.repartition(n, "key", "t", "u").sortWithinPartitions("key", "t", "u")
+    known = members.join(big, "key", "left").withColumn("own", F.pmod(F.xxhash64("id"), tiles).cast("int"))
+    guest = F.coalesce(F.col("label") != F.col("host"), F.lit(True))
+    known = known.withColumn("guest", guest).withColumn("tile", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array("own"))))
+    return known.select("tile", "guest", "own", *MEMBER)
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of members of one band, in different components, whose estimate does not rule them out."""
+    sorted_ = _dealt(members).repartition(shuffle_partitions(members.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         """Of whole groups, which are consecutive."""
-        key, tt, u, own, band, ids, label, size = (t.column(c).to_numpy() for c in ("key", "t", "u", "own", "band", "id", "label", "n_shingles"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), M)
-        kept = [f or bytes(FINE) for f in t.column("fine").to_pylist()]
-        fine = np.frombuffer(b"".join(kept), np.uint8).reshape(len(ids), FINE)
-        known = t.column("fine").is_valid().to_numpy()
+        key, tile, own, band, ids, label, size = (t.column(c).to_numpy() for c in ("key", "tile", "own", "band", "id", "label", "n_shingles"))
+        kept = t.column("wide").to_pylist()
+        known = np.array([len(w) == WIDE for w in kept], bool)
+        wide = np.frombuffer(b"".join([w.ljust(WIDE, b"\0") for w in kept]), np.uint8).reshape(len(ids), WIDE)
+        few = np.ascontiguousarray(wide[:, :M])
+        guest = t.column("guest").to_numpy()
         new = np.ones(len(ids), bool)
-        new[1:] = (key[1:] != key[:-1]) | (tt[1:] != tt[:-1]) | (u[1:] != u[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
         at = np.append(np.flatnonzero(new), len(ids))
         out = []
         for a, b in zip(at[:-1], at[1:], strict=True):
-            for i in range(a, b):
-                j = np.arange(i + 1, b)
-                j = j[(label[j] != label[i]) & ((own[j] != own[i]) | (tt[i] == u[i]))]
-                j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
+            for i in np.flatnonzero(guest[a:b]) + a:
+                j = np.concatenate((np.flatnonzero(~guest[a:b]) + a, np.flatnonzero(guest[a:b] & (ids[a:b] > ids[i])) + a if own[i] == tile[i] else []))
+                j = j.astype(np.int64)
+                j = j[(label[j] != label[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
                 if not len(j):
                     continue
-                eq = regs[j] == regs[i]
-                may = np.flatnonzero(eq.mean(1) >= similarity - SLACK - 0.1)  # the estimate is near this share
-                if not len(may):
-                    continue
+                eq = few[j] == few[i]
+                may = np.flatnonzero(eq.mean(1) >= similarity - SLACK - 0.05)
                 first = eq[may].reshape(len(may), M // BAND, BAND).all(2).argmax(1)
-                may = may[first == band[i]]
-                j = j[may]
-                if len(j):
-                    est = estimate(regs[np.full(len(j), i)], regs[j], np.full(len(j), size[i]), size[j])
-                    j = j[est >= similarity - SLACK]
-                    share = (fine[j] == fine[i]).mean(1)
-                    j = j[((share - 1 / 256) / (1 - 1 / 256) >= similarity - FINE_SLACK) | ~known[j] | ~known[i]]
-                    out.append(np.stack([np.full(len(j), ids[i]), ids[j]], 1))
+                j = j[may[first == band[i]]]
+                share = (wide[j] == wide[i]).mean(1)
+                j = j[((share - 1 / 256) / (1 - 1 / 256) >= similarity - WIDE_SLACK) | ~known[j] | ~known[i]]
+                out.append(np.stack([np.full(len(j), ids[i]), ids[j]], 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(got.max(1) if len(got) else got[:, 0]), pa.array(got.min(1) if len(got) else got[:, 1])], names=["a", "b"])
 
@@ -279,10 +292,7 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
-            last = [t.column(c)[-1].as_py() for c in ("key", "t", "u")]
-            same = np.ones(t.num_rows, bool)
-            for c, v in zip(("key", "t", "u"), last, strict=True):
-                same &= t.column(c).to_numpy() == v
+            same = (t.column("key").to_numpy() == t.column("key")[-1].as_py()) & (t.column("tile").to_numpy() == t.column("tile")[-1].as_py())
             begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if begin:
                 yield pairs(t.slice(0, begin))
@@ -293,26 +303,37 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
+def _with_ends(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with columns of both ends, as <column>_a and <column>_b; rows is (id, columns).
+
+    The document that many others are paired with would be a hot key. Its pairs are dealt to as many salts as there
+    are partitions by a hash of the other end, and it gets a copy for each salt that occurs, never more than pairs.
+    """
+    salts = shuffle_partitions(pairs.sparkSession)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    end = lambda e: rows.select(F.col("id").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in columns])
+    centres = salted.select("b", "salt").distinct().join(end("b"), "b")
+    return salted.join(end("a"), "a").join(centres, ["b", "salt"]).drop("salt")
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose joint estimate does not rule them out."""
-    s = sketches.select("id", "n_shingles", "regs")
-    both = pairs.join(s.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a")), "a").join(s.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b")), "b")
-    both = both.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    both = _with_ends(pairs, sketches, ["n_shingles", "regs"])
+    both = both.where(F.least("n_shingles_a", "n_shingles_b") >= similarity * F.greatest("n_shingles_a", "n_shingles_b"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 of = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, M)  # noqa: E731, B023
-                j = estimate(of("regs_a"), of("regs_b"), b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
+                j = estimate(of("regs_a"), of("regs_b"), b.column("n_shingles_a").to_numpy(), b.column("n_shingles_b").to_numpy())
                 yield b.filter(pa.array(j >= similarity - SLACK)).select(["a", "b"])
 
-    return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on their full shingle sets."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+    both = _with_ends(pairs, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ["text"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,8 +371,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     label = components(links, reps.select("id").distinct())
     members = cut(_open_bands(reps.join(label, "id")))
-    members = members.join(cut(_fine(members, one, id_col, text_col, size)), "id")
-    more = cut(_across(members, percent / 100))
+    more = cut(_across(_widened(members, one, id_col, text_col, size), percent / 100))
     if not more.isEmpty():
         extra = cut(_verified(more, one, id_col, text_col, size, percent))
         if not extra.isEmpty():

@@ -152,13 +152,72 @@ def test_bands_follow_length_where_classes_are_sparse(spark):
     assert np.mean([r.kept for r in rows if r.n_words >= 4096]) > 0.85
 
 
-def test_merkle(spark, odd):
-    fp = odd.select("doc_id", "text", merkle.fingerprint(F.col("text")).alias("f")).collect()
-    assert len({r.f for r in fp}) == len({r.text or "" for r in fp})
-    a, b = "one two three.\n" * 3 + "four five six seven\n" + "end of it", "one two three.\n" * 3 + "four five SIX seven\n" + "end of it"
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
-    r = df.select(merkle.likeness(F.col("a"), F.col("b")).alias("ab"), merkle.likeness(F.col("a"), F.col("a")).alias("aa"), merkle.differing_paragraphs(F.col("a"), F.col("b")).alias("d")).first()
-    assert r.aa == 1.0 and 0 < r.ab < 1 and r.d == [3]
+def brute_tree(text):
+    """Root, sections, paragraphs and leaves by plain loops: (digest, children) each, digests in full."""
+    import re
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    phrases = [m.group() for m in re.finditer(r"(?:[^ \t\n]+[ \t]*){1,8}\n*|[ \t\n]+", text or "")]
+    leaves = [(sha(p), "=" if "\n\n" in p else "-" if "\n" in p else ".") for p in phrases]
+
+    def groups(nodes, ends):
+        out, run = [], []
+        for d, m in nodes:
+            run.append((d, m))
+            if ends(d, m):
+                out.append(run)
+                run = []
+        return out + [run] * bool(run)
+
+    level = lambda gs: [(sha("".join(d + m for d, m in g)), g[-1][1], len(g)) for g in gs]
+    lines = level(groups(leaves, lambda d, m: m != "."))
+    parts = level(groups([x[:2] for x in lines], lambda d, m: m == "=" or d[-1] == "0"))
+    return sha("".join(d for d, _, _ in parts)), [(d, n) for d, _, n in parts], [(d, n) for d, _, n in lines], [d for d, _ in leaves]
+
+
+def test_merkle_equals_plain_tree(spark, odd):
+    rng = random.Random(6)
+    texts = [*ODD, *["".join(rng.choice(["a ", "bb", " c", "\n", "\n\n", "\t", ". "]) for _ in range(rng.randint(0, 400))) for _ in range(60)], "word " * 20000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    for r in df.select("id", merkle.fingerprint(F.col("text")).alias("f")).collect():
+        top, parts, lines, leaves = brute_tree(texts[r.id])
+        show = lambda nodes: ",".join(f"{d[:8]}{n}" for d, n in nodes)
+        assert r.f == ":".join([top, show(parts), show(lines), "".join(d[:8] for d in leaves)])
+    fps = {}
+    for r in odd.select("text", merkle.fingerprint(F.col("text")).alias("f")).collect():
+        fps.setdefault(r.f.split(":")[0], set()).add(r.text or "")
+    assert all(len(v) == 1 for v in fps.values()) and len(fps) == len({t or "" for t in ODD})
+
+
+def test_edits_are_located_on_both_sides(spark):
+    line = lambda k: f"line {k} of the text\n"
+    base = "".join(map(line, range(60)))
+    edited = base.replace(line(7), "another line\n").replace(line(40), "") + "one more\n"
+    pairs = [(0, base, edited), (1, "same\n" * 3, "same\n"), (2, base, base), (3, "", "new\n"), (4, None, "x"), (5, "one line only", "one line oNly")]
+    df = spark.createDataFrame(pairs, "key long, a string, b string").select("key", *[F.when(F.col(c).isNotNull(), merkle.fingerprint(F.col(c))).alias(c) for c in "ab"])
+    got = {}
+    for r in merkle.locate_edits(df, "key", "a", "b").collect():
+        got.setdefault(r.id, set()).add((r.side, r.paragraph))
+    assert got == {0: {("a", 7), ("a", 40), ("b", 7), ("b", 59)}, 1: {("a", 1), ("a", 2)}, 3: {("b", 0)}, 5: {("a", 0), ("b", 0)}}
+    alike = {r.key: r.x for r in df.select("key", merkle.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert alike[2] == 1.0 and 0.8 < alike[0] < 1 and alike[3] == 0
+
+
+def test_fingerprints_with_odd_ids_and_columns(spark):
+    df = spark.createDataFrame([(None, "n", "x"), (3, "a", "y"), (3, "b", "z"), (1, None, "w")], "doc_id long, text string, next_text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r.next_text or "") for r in merkle.with_next(df, "doc_id", ["text"]).collect())
+    assert [g[:2] for g in got] == [(-1, "n"), (1, ""), (3, "a"), (3, "b")] and got[0][2] == "" and got[1][2] in "ab" and {g[2] for g in got} >= {"", "n"}
+    one = merkle.with_next(df.where("text = 'n'"), "doc_id", ["text"]).collect()
+    assert [(r.doc_id, r.next_text) for r in one] == [(None, "n")]
+
+
+def test_clashing_columns_give_way(spark):
+    from tidemark.llm import substring_dedup, suffix_dedup
+
+    clash = ("n_words", "n_removed", "kept_text", "removed_spans", "n_bytes", "n_symbols", "chars_per_piece")
+    df = spark.createDataFrame([(1, "a b c " * 30, "en", *clash), (2, "a b c " * 30, "en", *clash), (None, None, None, *clash)], f"doc_id long, text string, lang string, {', '.join(f'{c} string' for c in clash)}")
+    for out in (suffix_dedup.remove_repeats(df, kept_text=True), substring_dedup.remove_repeated_windows(df), quality_rules.measure(df)):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == 3
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 50])

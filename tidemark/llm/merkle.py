@@ -1,13 +1,14 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in built-in functions alone.
 
-Leaves are paragraphs: up to eight words of one line, with the white space that follows, so that leaves
-joined give the text back. A section is a run of paragraphs up to one whose digest ends in 0, so an edit
-moves the bounds of its own section only. A section's digest is that of its paragraphs' digests, and the
-root is the SHA-256 of the sections' digests and the length.
-
-A fingerprint is the text `root:sections:paragraphs`, with 8 hex digits for each section and paragraph. Equal
-roots mean equal texts; where roots differ, sections that differ and then their paragraphs locate the
-edits. Two fingerprints are alike by the share of their distinct paragraphs that they have in common.
+Paragraphs are the lines of a text with the line breaks after them. A paragraph's leaves are its phrases of up to
+eight words, with the white space that follows, so leaves joined give the text back. A section is a run of
+paragraphs up to a blank line, or to one whose digest ends in 0, so an edit moves the bounds of its own section only.
+Every node is the SHA-256 of its children's SHA-256 digests in order, and the root is that of the sections: equal
+roots mean equal leaves, and so equal texts.
+
+A fingerprint is the text `root:sections:paragraphs:leaves`: the root in full, then 8 hex digits of each node, for
+sections and paragraphs with the number of their children. Where roots differ, locate_edits descends the tree by
+the branches that differ. Two fingerprints are alike by the share of their distinct leaves that they have in common.
 """
 
 from __future__ import annotations
@@ -17,39 +18,82 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import shuffle_partitions
 
-PARAGRAPH = r"(?:[^ \t\n]++[ \t]*+){1,8}+\n*+|[ \t\n]++"
-SECTION = "(?:[0-9a-f]{7}[1-9a-f])*+(?:[0-9a-f]{7}0)?+"
+PHRASE = r"(?:[^ \t\n]++[ \t]*+){1,8}+\n*+|[ \t\n]++"
+#: Over digests that are each followed by a mark: = before a blank line, - at the end of a line, . elsewhere.
+PARAGRAPH = r"(?:[0-9a-f]{64}\.)*+[0-9a-f]{64}[-=]|(?:[0-9a-f]{64}\.)++"
+SECTION = r"(?:[0-9a-f]{63}[1-9a-f][-.])*+(?:[0-9a-f]{64}[-=.])?+"
 
 
-def _digest(x: Column) -> Column:
-    return F.lower(F.right(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lit(8)))
+def _mark(phrase: Column) -> Column:
+    return F.when(phrase.contains("\n\n"), "=").when(phrase.contains("\n"), "-").otherwise(".")
+
+
+def _nodes(children: Column, pattern: str) -> Column:
+    """Of joined marked digests, the runs that are nodes."""
+    return F.filter(F.regexp_extract_all(children, F.lit(pattern), 0), lambda x: x != "")
 
 
 def fingerprint(text: Column) -> Column:
-    """`root:sections:paragraphs` of a text; null counts as the empty text."""
+    """`root:sections:paragraphs:leaves` of a text of any length; null counts as the empty text, which has no nodes but the root."""
     text = F.coalesce(text, F.lit(""))
-    leaves = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), 0), _digest), "")
-    sections = F.array_join(F.transform(F.filter(F.regexp_extract_all(leaves, F.lit(SECTION), 0), lambda s: s != ""), _digest), "")
-    root = F.sha2(F.concat_ws(":", sections, F.length(text).cast("string"), F.sha2(text, 256)), 256)
-    return F.concat_ws(":", root, sections, leaves)
+    leaves = F.transform(F.regexp_extract_all(text, F.lit(PHRASE), 0), lambda p: F.concat(F.sha2(p, 256), _mark(p)))
+    joined = F.array_join(leaves, "")
+    lines = F.transform(_nodes(joined, PARAGRAPH), lambda x: F.concat(F.sha2(x, 256), F.right(x, F.lit(1)), (F.length(x) / 65).cast("int").cast("string")))
+    line_digests = F.array_join(F.transform(lines, lambda x: F.left(x, F.lit(65))), "")
+    parts = F.transform(_nodes(line_digests, SECTION), lambda x: F.concat(F.sha2(x, 256), (F.length(x) / 65).cast("int").cast("string")))
+    root = F.sha2(F.array_join(F.transform(parts, lambda x: F.left(x, F.lit(64))), ""), 256)
+    short = lambda nodes, count: F.array_join(F.transform(nodes, lambda x: F.concat(F.left(x, F.lit(8)), F.substring(x, F.lit(count), F.lit(12)))), ",")
+    return F.concat_ws(":", root, short(parts, 65), short(lines, 66), F.array_join(F.transform(leaves, lambda x: F.left(x, F.lit(8))), ""))
+
 
+def root(fp: Column) -> Column:
+    return F.substring_index(fp, ":", 1)
 
-def paragraphs(fp: Column) -> Column:
-    """Digests of the paragraphs of a fingerprint."""
+
+def leaves(fp: Column) -> Column:
+    """Digests of the leaves of a fingerprint."""
     return F.regexp_extract_all(F.substring_index(fp, ":", -1), F.lit("[0-9a-f]{8}"), 0)
 
 
+def inner(fp: Column, level: int) -> Column:
+    """Nodes of level 1 (sections) or 2 (paragraphs): array of (digest, children)."""
+    nodes = F.filter(F.split(F.element_at(F.split(fp, ":"), level + 1), ","), lambda x: x != "")
+    return F.transform(nodes, lambda x: F.struct(F.left(x, F.lit(8)).alias("digest"), F.substring(x, 9, 12).cast("int").alias("children")))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the distinct paragraphs in both, over those of each; 1 where the roots are equal."""
-    x, y = F.array_distinct(paragraphs(a)), F.array_distinct(paragraphs(b))
+    """0 to 1: twice the distinct leaves in both, over those of each; 1 where the roots are equal."""
+    x, y = F.array_distinct(leaves(a)), F.array_distinct(leaves(b))
     n = F.size(x) + F.size(y)
     share = F.when(n > 0, 2.0 * F.size(F.array_intersect(x, y)) / n).otherwise(0.0)
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), 1.0).otherwise(share)
+    return F.when(root(a) == root(b), 1.0).otherwise(share)
+
+
+def _alone(nodes: DataFrame) -> DataFrame:
+    """The nodes (id, side, place, digest...) without a partner on the other side: of equal ones, the first are partners."""
+    nth = Window.partitionBy("id", "side", "digest").orderBy("place")
+    sides = Window.partitionBy("id", "digest", "nth")
+    return nodes.withColumn("nth", F.row_number().over(nth)).withColumn("sides", F.count("*").over(sides)).where("sides = 1").drop("nth", "sides")
 
 
-def differing_paragraphs(a: Column, b: Column) -> Column:
-    """0-based places of paragraphs of a that are in none of the sections that b shares, nor in b at all."""
-    return F.filter(F.transform(paragraphs(a), lambda p, i: F.when(F.array_contains(paragraphs(b), p), -1).otherwise(i)), lambda i: i >= 0)
+def locate_edits(pairs: DataFrame, id_col: str, a_col: str, b_col: str) -> DataFrame:
+    """(id, side, section, paragraph) of every paragraph of fingerprint a or b that the other side lacks; side is 'a' or 'b'.
+
+    Places are 0-based; paragraphs are counted over the whole text. The descent goes from roots that differ to the
+    sections without a partner, and to the paragraphs of those alone; a paragraph that occurs more often on one
+    side has its later occurrences listed. Pairs with equal roots, or a null fingerprint, have no rows. Ids should
+    be distinct; other columns are not read. Moving whole sections or paragraphs is no edit.
+    """
+    differ = pairs.select(F.col(id_col).alias("id"), F.col(a_col).alias("a"), F.col(b_col).alias("b")).where(root(F.col("a")) != root(F.col("b")))
+    sides = differ.select("id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("fp")) for s in "ab"])).alias("x")).select("id", "x.*")
+    sections = inner(F.col("fp"), 1)
+    first = F.transform(sections, lambda x, i: F.aggregate(F.slice(F.transform(sections, lambda y: y["children"]), 1, i), F.lit(0), lambda n, y: n + y))
+    placed = F.arrays_zip(sections.alias("node"), first.alias("first"))
+    rows = sides.select("id", "side", "fp", F.posexplode(placed).alias("place", "x")).select("id", "side", "fp", "place", "x.node.digest", "x.node.children", "x.first")
+    inside = F.slice(inner(F.col("fp"), 2), F.col("first") + 1, F.col("children"))
+    lines = _alone(rows).select("id", "side", F.col("place").alias("section"), "first", F.posexplode(inside).alias("at", "node"))
+    found = _alone(lines.select("id", "side", "section", (F.col("first") + F.col("at")).alias("place"), "node.digest"))
+    return found.select("id", "side", "section", F.col("place").alias("paragraph"))
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -69,8 +113,10 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str], ranges: int | No
 
     Ids are cut at quantiles into ranges, one shuffle brings each range together, and the first row of a range
     is also sent to the range before, as the one that follows its last row. Only the bounds and first ids,
-    one for each range, come to the driver. Rows with one id are in the order of a hash of their columns.
+    one for each range, come to the driver. A null id comes first; rows with one id are in the order of a hash of
+    their columns. A column that is called as one of those added gives way to it. An empty table stays empty.
     """
+    rows = rows.drop("_place", "_key", "_to", *[f"next_{c}" for c in columns])
     n = ranges or 4 * shuffle_partitions(rows.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None

@@ -102,9 +102,14 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_path: str | None = None, rank_path: str | None = None) -> DataFrame:
-    """Every row of docs without its text, with the base counts and the measures of both vocabularies."""
+    """Every row of docs without its text, with the base counts and the measures of both vocabularies.
+
+    A column that is called as one of these gives way to it. A null text is empty; texts of any length count whole.
+    """
     import public_tokenizers
 
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *MEASURES)
+
     paths = (piece_path or public_tokenizers.path("piece_bpe_32k.model"), rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rest = [c for c in docs.columns if c != text_col]
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -132,9 +132,11 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", window: int
 
     A word goes if a window of `window` words over it has the same words as a window that starts anywhere
     else. removed_spans are [start, end) word positions. A null text has no words; texts shorter than the
-    window lose nothing; repeated rows are documents of their own. Other columns pass through unchanged.
+    window lose nothing; repeated rows are documents of their own. Other columns pass through unchanged, but one that
+    is called as one of these gives way to it. Texts of any length count whole; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    docs = docs.drop("kept_text", "n_words", "n_removed", "removed_spans")
     n = buckets(spark)
 
     def send(level: int):

@@ -164,9 +164,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of `window` bytes over it also starts in a document with a smaller id.
     removed_spans are the maximal removed runs as [start, end) byte offsets of the input text.
-    With kept_text, whole_characters of the two is added as a column; it is '' for a null text.
+    With kept_text, whole_characters of the two is added as a column; it is '' for a null text. An input column that is
+    called as one of these gives way to it. Texts of any length count whole; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    docs = docs.drop("kept_bytes", "n_bytes", "n_removed", "n_spans", "removed_spans", *["kept_text"] * kept_text)
     from tidemark.llm.exchange import buckets
 
     n = buckets(spark)

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.runtime import held, smaller_batches
 from tidemark.llm.textops import text_bytes
-from tidemark.llm.wordpieces import BYTE_OF, WordTable, held, pieces_of, vocabulary_path
+from tidemark.llm.wordpieces import BYTE_OF, WordTable, pieces_of, vocabulary_path
 
 LAST = 1 << 30
 END = 256  # the symbol after the last byte of a word
@@ -301,9 +302,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts of any length are encoded whole. Other columns are not read, whatever their names.
     """
     path = vocabulary_path(path)
+    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held(path, "automaton ids", lambda: _table(path, False))
+        table = held((path, "automaton ids"), lambda: _table(path, False))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)
@@ -325,9 +327,10 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     length are encoded whole. Other columns are not read, whatever their names.
     """
     path = vocabulary_path(path)
+    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held(path, "automaton", lambda: _table(path, True))
+        table = held((path, "automaton"), lambda: _table(path, True))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)

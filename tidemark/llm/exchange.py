@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import checkpoint_ready, fixed_partitions, release, shuffle_partitions
+from tidemark.llm.runtime import checkpoint_ready, drop_held, fixed_partitions, release, shuffle_partitions
 from tidemark.llm.textops import U, mix
 
 BLOCK_BYTES = 4 << 20
@@ -48,6 +48,7 @@ def blocks_of(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     n = shuffle_partitions(spark)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         held: list[pa.RecordBatch] = []
         size = 0
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality_classifier import MOST_ROWS, features, fit_shards, probabilities, training_rows
-from tidemark.llm.runtime import cut
+from tidemark.llm.runtime import cut, drop_held
 from tidemark.llm.textops import slices, text_bytes, words
 
 DOMAINS = {"high": "quality = 1 and coalesce(toxic, 0) = 0", "low": "quality = 0 and coalesce(toxic, 0) = 0", "toxic": "toxic = 1"}
@@ -46,6 +46,7 @@ def memberships(docs: DataFrame, model: np.ndarray, names: list[str], id_col: st
     columns = [f"posterior_{d}" for d in names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             _, at = text_bytes(batch.column(1))
             for a, b in slices(at):

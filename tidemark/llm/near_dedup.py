@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.exchange import Keys, ask, blocks_of, buckets, unpack
-from tidemark.llm.runtime import cut, shuffle_partitions
+from tidemark.llm.runtime import checkpoint_ready, cut, drop_held, shuffle_partitions
 from tidemark.llm.textops import BYTE_CODE, LOWER, U, gram_hashes, mix, slices, text_bytes, word_hashes, words
 
 M, WIDE, BAND, BASE, Q = 200, 1000, 4, 1.001, 65534
@@ -139,6 +139,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, n_shingles, set_1, set_2, regs) of every row; the two set hashes identify the set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 b = batch.slice(a, 1000)
@@ -357,6 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are returned as often as they occur; their links add up. Other columns are not read.
     """
     spark = docs.sparkSession
+    checkpoint_ready(spark)
     n = buckets(spark)
     base = cut(sketch(docs, id_col, text_col, size))
     real = base.where("id is not null and n_shingles > 0")

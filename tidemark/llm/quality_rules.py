@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import cut
+from tidemark.llm.runtime import cut, held
 from tidemark.llm.textops import BYTE_CODE, SpanHash, cover, gram_hashes, slices, text_bytes, word_hashes, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -33,8 +33,6 @@ LEAST_FALLBACK = 0.03
 PRIOR_ROWS = 50
 SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "han": r"\p{IsHan}", "arabic": r"\p{IsArabic}"}
 
-_HELD: dict[tuple, "Vocabularies"] = {}
-
 
 class Vocabularies:
     """Ids of a word under both vocabularies, remembered by word up to a bound."""
@@ -115,9 +113,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pie
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if paths not in _HELD:
-            _HELD[paths] = Vocabularies(*paths)
-        v = _HELD[paths]
+        v = held(paths, lambda: Vocabularies(*paths))
         for batch in batches:
             _, at = text_bytes(batch.column(len(rest)))
             for a, b in slices(at):

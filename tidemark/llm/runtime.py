@@ -4,13 +4,27 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def smaller_batches(spark: SparkSession) -> None:
+    """1,000 rows to an Arrow batch where the session has Spark's default of 10,000.
+
+    Texts are long rows: 10,000 of them would cost hundreds of MB on both sides of each worker's pipe.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Use spark.checkpoint.dir; make a temporary folder only where none is set (tests)."""
+    smaller_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
@@ -49,3 +63,21 @@ def fixed_partitions(spark: SparkSession):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]):
+    """What an operator keeps in a Python worker from task to task; a worker keeps the latest one alone."""
+    if key not in _HELD:
+        drop_held()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def drop_held() -> None:
+    """Workers outlive operators: those that keep nothing themselves let go of what the one before kept."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()

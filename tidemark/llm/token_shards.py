@@ -27,9 +27,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import checkpoint_ready, cut, shuffle_partitions
+from tidemark.llm.runtime import checkpoint_ready, cut, held, shuffle_partitions
 from tidemark.llm.textops import U, mix, text_bytes
-from tidemark.llm.wordpieces import WordTable, held, library_encoder, pieces_of, vocabulary_path
+from tidemark.llm.wordpieces import WordTable, library_encoder, pieces_of, vocabulary_path
 
 MAGIC = b"TIDESHRD"
 GAMMA = 2
@@ -183,7 +183,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
     kind = np.uint16 if width == 2 else np.uint32
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held(path, f"library {width}", lambda: WordTable(pieces_of(path), library_encoder(path), lambda ids: array("H" if width == 2 else "I", ids).tobytes()))
+        table = held((path, f"library {width}"), lambda: WordTable(pieces_of(path), library_encoder(path), lambda ids: array("H" if width == 2 else "I", ids).tobytes()))
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):

@@ -155,13 +155,3 @@ def library_encoder(path: str) -> Callable[[list[bytes]], list[list[int]]]:
         return [t.id for t in model.tokenize(text)]
 
     return lambda pieces: list(map(ids, pieces))
-
-
-_HELD: dict[tuple, WordTable] = {}
-
-
-def held(path: str, kind: str, build: Callable[[], WordTable]) -> WordTable:
-    """One table for each Python worker: workers outlive tasks, and so do the words they know."""
-    if (path, kind) not in _HELD:
-        _HELD[path, kind] = build()
-    return _HELD[path, kind]

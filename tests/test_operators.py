@@ -154,8 +154,10 @@ def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     got = {(r.k, r.i): r.v for r in spark.read.schema(batch.schema).parquet(str(tmp_path / "out")).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
-    with pytest.raises(ValueError):
-        keyed_windows(stream, "k", ["i"], ["v"], 2, 3)
+    wide = keyed_windows(stream, "k", ["i"], ["v"], 3, 7, "p95").writeStream.format("parquet").option("path", str(tmp_path / "wide")).option("checkpointLocation", str(tmp_path / "wide_state")).trigger(availableNow=True).start()
+    wide.awaitTermination()
+    rows = lambda df: sorted((r.k, r.i, round(r.v, 6)) for r in df.collect())
+    assert rows(spark.read.parquet(str(tmp_path / "wide"))) == rows(sliding(batch, ["v"], 3, 7, "p95", ["k"], ["i"]))
 
 
 def test_store_and_files(spark, tmp_path):

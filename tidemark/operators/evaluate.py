@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
@@ -28,11 +28,22 @@ def scores(tp: Column, fn: Column, fp: Column) -> list[Column]:
 
 
 def evaluate(df: DataFrame, entity: list[str], alert: str = "alert", order: str = "rn", minutes: float = 1.0) -> DataFrame:
-    """A row for each entity: tp, fn, fp, precision, recall, f1 and mean minutes to detection (NaN without a hit)."""
-    hits = event_hits(df, entity, alert, order, minutes).where("is_anomaly")
-    by_event = hits.groupBy(*entity).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fn"), F.avg("delay_min").alias("_mttd"))
-    false = alert_runs(df, entity, alert, order).where("is_false").groupBy(*entity).agg(F.count("*").alias("fp"))
-    out = df.select(*entity).distinct().join(by_event, entity, "left").join(false, entity, "left").fillna(0, ["tp", "fn", "fp"])
+    """A row for each entity: tp, fn, fp, precision, recall, f1 and mean minutes to detection (NaN without a hit).
+
+    df is read once: alert runs and labelled events are numbered in one window pass, and every row counts for its run
+    and for its event in one aggregate by unit.
+    """
+    by = Window.partitionBy(*entity).orderBy(order)
+    on, name = F.coalesce(F.col(alert).cast("boolean"), F.lit(False)), F.coalesce(F.col("scenario"), F.lit(""))
+    starts = {"run": on & ~F.coalesce(F.lag(on).over(by), F.lit(False)), "event": (name != F.lag(name, 1, "").over(by)) & (name != "")}
+    rows = df.select(*entity, F.col(order).alias("_at"), on.alias("_run"), (name != "").alias("_event"), F.col("label").alias("_label"), *[c.cast("int").alias(f"_{k}_starts") for k, c in starts.items()])
+    number = lambda k: F.struct(F.lit(k).alias("kind"), F.when(F.col(f"_{k}"), F.sum(f"_{k}_starts").over(Window.partitionBy(*entity).orderBy("_at"))).alias("id"))
+    rows = rows.select("*", F.array(number("run"), number("event")).alias("_units")).withColumn("_unit", F.explode("_units"))
+    units = rows.groupBy(*entity, "_unit").agg(F.max("_label").alias("label"), F.min(F.when(F.col("_run"), F.col("_at"))).alias("hit"), F.min("_at").alias("first"))
+    there, event = F.col("_unit.id").isNotNull(), F.col("_unit.kind") == "event"
+    wanted, hit = there & event & (F.col("label") > 0), F.col("hit").isNotNull()
+    delay = F.when(wanted, (F.col("hit") - F.col("first")) * F.lit(float(minutes)))
+    out = units.groupBy(*entity).agg(F.count_if(wanted & hit).alias("tp"), F.count_if(wanted & ~hit).alias("fn"), F.count_if(there & ~event & (F.col("label") == 0)).alias("fp"), F.avg(delay).alias("_mttd"))
     return out.select(*entity, "tp", "fn", "fp", *scores(F.col("tp"), F.col("fn"), F.col("fp")), F.coalesce("_mttd", F.lit(float("nan"))).alias("mttd_min"))
 
 

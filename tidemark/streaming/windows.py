@@ -9,38 +9,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-AGGREGATES = {"mean": np.mean, "max": np.max, "p95": lambda x: np.percentile(x, 95)}
+AGGREGATES = {"mean": np.mean, "max": np.max, "p95": lambda x, axis: np.percentile(x, 95, axis=axis)}
 
 
 def keyed_windows(stream: DataFrame, key: str, order: list[str], values: list[str], size: int, stride: int = 1, how: str = "mean", keep: list[str] = ()) -> DataFrame:
-    """The windows of each key in append mode. State holds the last size - 1 rows of a key and how long ago it emitted.
+    """The windows of each key in append mode. State holds the last size - 1 rows of a key and how many it has seen.
 
-    Rows of one micro-batch are put in order inside their key; across batches the source must be in order
-    within a key, as a partition of a broker is. A stride above the size would skip rows that a restart
-    needs, and is refused.
+    The first window ends at row max(size, stride) of its key, the next ones `stride` rows later each. Rows of one
+    micro-batch are put in order inside their key; across batches the source must be in order within a key, as a
+    partition of a broker is.
     """
-    if stride > size:
-        raise ValueError("stride must not exceed size on a stream")
     agg = AGGREGATES[how]
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     columns = list(dict.fromkeys([key, *order, *keep, *values]))
     fields = ", ".join(f"`{c}` {'double' if c in values else kinds[c]}" for c in columns)
-    state_fields = "since int, seen long, " + ", ".join(f"`{v}` array<double>" for v in values)
+    state_fields = "seen long, " + ", ".join(f"`{v}` array<double>" for v in values)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
-        since, seen, *held = state.get if state.exists else (0, 0, *([] for _ in values))
-        since, seen = int(since), int(seen)
+        seen, *held = state.get if state.exists else (0, *([] for _ in values))
         data = {v: np.concatenate((np.asarray(h, float), rows[v].to_numpy(float))) for v, h in zip(values, held, strict=True)}
-        first = len(next(iter(data.values()))) - len(rows)
-        out = []
-        for i in range(len(rows)):
-            since, seen = since + 1, seen + 1
-            if seen >= size and since >= stride:
-                since = 0
-                end = first + i + 1
-                out.append({**{c: rows[c].iloc[i] for c in columns if c not in values}, **{v: float(agg(data[v][end - size : end])) for v in values}})
-        state.update((since, seen, *(data[v][max(0, len(data[v]) - size + 1) :].tolist() if size > 1 else [] for v in values)))
-        yield pd.DataFrame(out, columns=columns)
+        place = int(seen) + 1 + np.arange(len(rows))  # of every row in its key, from 1
+        first = max(size, stride)
+        ends = np.flatnonzero((place >= first) & ((place - first) % stride == 0))
+        out = rows.iloc[ends][columns].reset_index(drop=True)
+        for v, x in data.items():
+            # a window that ends at a row starts size - 1 rows before it; rows held from before come first in x
+            begin = ends + (len(x) - len(rows)) - (size - 1)
+            out[v] = agg(np.lib.stride_tricks.sliding_window_view(x, size)[begin], axis=1) if len(ends) else np.zeros(0)
+        state.update((int(seen) + len(rows), *(x[max(0, len(x) - size + 1) :].tolist() if size > 1 else [] for x in data.values())))
+        yield out
 
     return stream.select(*columns).groupBy(key).applyInPandasWithState(run, fields, state_fields, "append", GroupStateTimeout.NoTimeout)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DetectorSettings, KpiSpec, WindowSettings
 from tidemark.functions import scalars
-from tidemark.operators import detect, evaluate, islands, simulate
+from tidemark.operators import detect, evaluate, islands
 from tidemark.operators.windows import expected_windows, sliding
 from tidemark.sources import files, store
 from tidemark.streaming.sink import KeyedSink
@@ -177,16 +177,6 @@ def test_store_and_files(spark, tmp_path):
     assert sorted(one.collect()) == sorted(df.collect())
 
 
-def test_simulated_entities_are_reproducible(spark):
-    kpis = [KpiSpec("rtt", baseline=32, noise=2, amplitude=24, clip=(1, 500)), KpiSpec("sinr", "lower_is_worse", baseline=18, noise=1, amplitude=5, profile="inverse")]
-    scen = [{"name": "spike", "anomaly": True, "count": 3, "rows": (8, 15), "magnitude": (1.3, 2.0), "shape": "spike", "affects": {"rtt": 1.0}}]
-    one = simulate.simulate(spark, 1, 2000, kpis, scen, 7, warmup=200)
-    two = simulate.simulate(spark, 2, 2000, kpis, scen, 7, warmup=200)
-    assert one.exceptAll(two.where("entity = 'cell-000'")).isEmpty()
-    first = islands.events(two.withColumn("rn", F.row_number().over(Window.partitionBy("entity").orderBy("ts"))), ["entity"]).collect()
-    assert len(first) == 6 and all(e.is_anomaly and e.start_rn >= 200 for e in first)
-
-
 def test_entry_and_summary(spark):
     import __spark_entry__ as e
 

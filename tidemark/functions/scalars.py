@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -80,18 +79,6 @@ def elapsed_ms(a: Column, b: Column) -> Column:
     return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1000
 
 
-def season(ts: Column, peaks: list[tuple[float, float, float]], weekend_scale: float) -> Column:
-    """Sum of Gaussian peaks (hour, width, weight) over the day, scaled on weekends; not normalised."""
-    h = F.hour(ts) + F.minute(ts) / 60.0
-    curve = sum((w * F.exp(-F.pow((h - c) / s, 2) / 2) for c, s, w in peaks), F.lit(0.0))
-    return curve * F.when(F.weekday(ts) >= 5, weekend_scale).otherwise(1.0)
-
-
-def shape(kind: Column, t: Column) -> Column:
-    """Course of an event over its relative time t in [0, 1]: ramp, plateau, bump or decaying spike."""
-    return F.when(kind == "linear", t).when(kind == "constant", F.lit(1.0)).when(kind == "sine", F.sin(t * math.pi)).otherwise(F.exp(-F.pow(t / 0.35, 2) / 2))
-
-
 def murmur2(data: bytes) -> int:
     """Kafka's public 32-bit murmur2 of a key."""
     m, mask = 0x5BD1E995, 0xFFFFFFFF

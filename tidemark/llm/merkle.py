@@ -13,6 +13,8 @@ the branches that differ. Two fingerprints are alike by the share of their disti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +35,32 @@ def _nodes(children: Column, pattern: str) -> Column:
     return F.filter(F.regexp_extract_all(children, F.lit(pattern), 0), lambda x: x != "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: inside higher-order functions every mention of an expression is computed anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fingerprint(text: Column) -> Column:
     """`root:sections:paragraphs:leaves` of a text of any length; null counts as the empty text, which has no nodes but the root."""
     text = F.coalesce(text, F.lit(""))
-    leaves = F.transform(F.regexp_extract_all(text, F.lit(PHRASE), 0), lambda p: F.concat(F.sha2(p, 256), _mark(p)))
-    joined = F.array_join(leaves, "")
-    lines = F.transform(_nodes(joined, PARAGRAPH), lambda x: F.concat(F.sha2(x, 256), F.right(x, F.lit(1)), (F.length(x) / 65).cast("int").cast("string")))
-    line_digests = F.array_join(F.transform(lines, lambda x: F.left(x, F.lit(65))), "")
-    parts = F.transform(_nodes(line_digests, SECTION), lambda x: F.concat(F.sha2(x, 256), (F.length(x) / 65).cast("int").cast("string")))
-    root = F.sha2(F.array_join(F.transform(parts, lambda x: F.left(x, F.lit(64))), ""), 256)
+    phrases = F.regexp_extract_all(text, F.lit(PHRASE), 0)
+    marked = lambda nodes, end: F.array_join(F.transform(nodes, lambda x: F.left(x, F.lit(end))), "")
     short = lambda nodes, count: F.array_join(F.transform(nodes, lambda x: F.concat(F.left(x, F.lit(8)), F.substring(x, F.lit(count), F.lit(12)))), ",")
-    return F.concat_ws(":", root, short(parts, 65), short(lines, 66), F.array_join(F.transform(leaves, lambda x: F.left(x, F.lit(8))), ""))
+
+    def nodes(children: Column, pattern: str, mark: bool = False) -> Column:
+        """Digest, mark where there is one, and number of children of every node."""
+        return F.transform(_nodes(children, pattern), lambda x: F.concat(F.sha2(x, 256), *([F.right(x, F.lit(1))] if mark else []), (F.length(x) / 65).cast("int").cast("string")))
+
+    def joined(leaves: Column, lines: Column, parts: Column) -> Column:
+        return F.concat_ws(":", F.sha2(marked(parts, 64), 256), short(parts, 65), short(lines, 66), marked(leaves, 8))
+
+    def of_lines(leaves: Column, lines: Column) -> Column:
+        return _once(nodes(marked(lines, 65), SECTION), lambda parts: joined(leaves, lines, parts))
+
+    def of_leaves(leaves: Column) -> Column:
+        return _once(nodes(F.array_join(leaves, ""), PARAGRAPH, mark=True), lambda lines: of_lines(leaves, lines))
+
+    return _once(F.transform(phrases, lambda p: F.concat(F.sha2(p, 256), _mark(p))), of_leaves)
 
 
 def root(fp: Column) -> Column:
@@ -63,10 +80,13 @@ def inner(fp: Column, level: int) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: twice the distinct leaves in both, over those of each; 1 where the roots are equal."""
-    x, y = F.array_distinct(leaves(a)), F.array_distinct(leaves(b))
-    n = F.size(x) + F.size(y)
-    share = F.when(n > 0, 2.0 * F.size(F.array_intersect(x, y)) / n).otherwise(0.0)
-    return F.when(root(a) == root(b), 1.0).otherwise(share)
+
+    def share(x: Column, y: Column) -> Column:
+        n = F.size(x) + F.size(y)
+        return F.when(n > 0, 2.0 * F.size(F.array_intersect(x, y)) / n).otherwise(0.0)
+
+    distinct = lambda fp: F.array_distinct(leaves(fp))
+    return F.when(root(a) == root(b), 1.0).otherwise(_once(distinct(a), lambda x: _once(distinct(b), lambda y: share(x, y))))
 
 
 def _alone(nodes: DataFrame) -> DataFrame:

@@ -183,3 +183,64 @@ def test_entry_and_summary(spark):
     assert e.entry(spark).count() > 0
     docs = [json.loads(r.summary) for r in e.queries()["incident_summary"](spark, "/root/testdata/sf0.001").collect()]
     assert docs and all(len(d["deviations"]) == 3 for d in docs)
+
+
+def test_settings_from_yaml(tmp_path):
+    from tidemark import config
+
+    (tmp_path / "a.yaml").write_text("kpis:\n  load: {direction: lower_is_worse, clip: [0, 5]}\n  errors: {}\nwindow: {size: 3}\ndetector: {alpha: 0.5}\n")
+    got = config.load(tmp_path / "a.yaml")
+    assert got.names == ["load", "errors"] and got.kpis[0].clip == (0, 5) and got.kpis[0].direction == "lower_is_worse"
+    assert (got.window.size, got.window.stride, got.detector.alpha, got.detector.persistence) == (3, 1, 0.5, 5)
+    (tmp_path / "b.yaml").write_text("kpis:\n  load: {direction: sideways}\n")
+    with pytest.raises(ValueError):
+        config.load(tmp_path / "b.yaml")
+
+
+def test_clip_epoch_and_traps(spark):
+    from tidemark.operators import validate
+
+    df = spark.createDataFrame([(-1.0, 0, "", 0), (0.5, 1500, "surge", 0), (9.0, None, "burst", 1)], "v double, ms long, scenario string, label int")
+    rows = df.select(scalars.clip(F.col("v"), 0, 1).alias("v"), F.unix_millis(scalars.from_epoch_ms(F.col("ms"))).alias("ms"), validate.trap().alias("trap")).collect()
+    assert [tuple(r) for r in rows] == [(0.0, 0, False), (0.5, 1500, True), (1.0, None, False)]
+    assert tuple(validate.label_totals(df.withColumn("e", F.lit(1)), ["e"]).first()) == (1, 3, 1, 1, pytest.approx(100 / 3))
+
+
+def test_across_leaves_nan_out(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", float("nan")), ("b", float("nan"))], "k string, x double")
+    got = {r.k: tuple(r)[1:] for r in evaluate.across(df, ["x"], ["k"]).collect()}
+    assert got == {"a": (2.0, 1.0, 1.0, 3.0), "b": (None, None, None, None)}
+
+
+def test_delays_of_each_scenario(spark):
+    df = series(spark, [0] * 7, label=[1, 1, 0, 1, 1, 0, 1], scenario=["x", "x", "", "x", "x", "", "x"], alert=[0, 1, 0, 1, 0, 0, 0])
+    r = evaluate.per_scenario(df, ["cell"], minutes=5.0).first()
+    assert (r.total, r.hit, r.delays_min, r.mean_delay_min) == (3, 2, [0.0, 5.0], 2.5)
+
+
+def test_broker_rows_with_and_without_key(spark, tmp_path):
+    df = spark.createDataFrame([(7, None), (8, 1.5)], "id int, v double")
+    assert [tuple(r) for r in files.kafka_rows(df, "id").orderBy("key").collect()] == [("7", '{"id":7,"v":null}'), ("8", '{"id":8,"v":1.5}')]
+    assert files.kafka_rows(df).columns == ["value"]
+    df.write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        files.kafka_sink(files.stream_parquet(spark, str(tmp_path / "p"), df.schema), "localhost:1", "t")
+
+
+def test_stream_of_csv_into_the_sink(spark, tmp_path):
+    """Files come one by one; keys repeat between files, and the last file has a column more in the sink."""
+    schema = files.kpi_schema(["load"], "cell")
+    for n in range(3):
+        rows = [(T0 + timedelta(hours=h), "a", float(n), 0, None) for h in (n, n + 1)]
+        files.write_csv(spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path / f"in/f={n}"))
+    sink = KeyedSink(spark, str(tmp_path / "sink"), ["cell", "ts"], ["load"])
+    stream = files.stream_csv(spark, str(tmp_path / "in/*"), schema).withColumn("produced_at", F.current_timestamp())
+    run = stream.writeStream.foreachBatch(sink.each_batch).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sink.rows().select("ts").distinct().count() == sink.rows().count() == 4
+    assert {r.scenario for r in sink.rows().collect()} == {""}
+    lag = sink.latency_ms().first()
+    assert lag.n == 4 and 0 <= lag.p50 <= lag.p95 <= lag.max
+    later = spark.createDataFrame([(T0 + timedelta(hours=9), "a", 1.0, "x")], "ts timestamp_ntz, cell string, load double, note string")
+    assert sink.write(later, 99) == (1, 0)
+    assert sorted(str(r.note) for r in sink.rows().collect()) == ["None"] * 4 + ["x"]

@@ -79,6 +79,11 @@ def elapsed_ms(a: Column, b: Column) -> Column:
     return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1000
 
 
+def from_epoch_ms(ms: Column) -> Column:
+    """The instant of milliseconds since 1970 in UTC; null stays null."""
+    return F.timestamp_millis(ms.cast("long"))
+
+
 def murmur2(data: bytes) -> int:
     """Kafka's public 32-bit murmur2 of a key."""
     m, mask = 0x5BD1E995, 0xFFFFFFFF

@@ -48,8 +48,8 @@ def evaluate(df: DataFrame, entity: list[str], alert: str = "alert", order: str
 
 
 def per_scenario(df: DataFrame, entity: list[str], alert: str = "alert", order: str = "rn", minutes: float = 1.0) -> DataFrame:
-    """(entity, scenario, total, hit, mean_delay_min) of labelled events."""
-    return event_hits(df, entity, alert, order, minutes).where("is_anomaly").groupBy(*entity, "scenario").agg(F.count("*").alias("total"), F.count_if("hit").alias("hit"), F.avg("delay_min").alias("mean_delay_min"))
+    """(entity, scenario, total, hit, mean_delay_min, delays_min) of labelled events; events without a hit have no delay."""
+    return event_hits(df, entity, alert, order, minutes).where("is_anomaly").groupBy(*entity, "scenario").agg(F.count("*").alias("total"), F.count_if("hit").alias("hit"), F.avg("delay_min").alias("mean_delay_min"), F.sort_array(F.collect_list("delay_min")).alias("delays_min"))
 
 
 def false_by_location(df: DataFrame, entity: list[str], alert: str = "alert", order: str = "rn") -> DataFrame:

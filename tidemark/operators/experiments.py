@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DetectorSettings
@@ -18,14 +18,17 @@ def threshold_sweep(rows: DataFrame, train: DataFrame, kpis: list[str], base: De
 
     The grid is a small literal table; rows grow by its size only after scoring.
     """
-    from pyspark.sql import Window
-
     by = Window.partitionBy(*entity).orderBy("rn")
     z = scored(rows, train, kpis, base, entity)
     z = z.select(*entity, "rn", "ts", "label", "scenario", *[ewma(F.col(f"raw_{k}"), base.alpha, by).alias(f"z_{k}") for k in kpis])
     grid = F.array(*[F.struct(F.lit(float(t)).alias("z_threshold"), F.lit(int(p)).alias("persistence")) for t in thresholds for p in persistences])
     g = z.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
     keys = [*entity, "z_threshold", "persistence"]
+    return evaluate(g.withColumn("alert", _fires(kpis, keys, persistences).cast("int")), keys, minutes=minutes)
+
+
+def _fires(kpis: list[str], keys: list[str], persistences: list[int]) -> Column:
+    """Whether any z_<kpi> has been over the row's z_threshold for as many rows as its persistence asks."""
     order = Window.partitionBy(*keys).orderBy("rn")
     fires = []
     for k in kpis:
@@ -35,7 +38,25 @@ def threshold_sweep(rows: DataFrame, train: DataFrame, kpis: list[str], base: De
     alert = fires[0]
     for f in fires[1:]:
         alert = alert | f
-    return evaluate(g.withColumn("alert", alert.cast("int")), keys, minutes=minutes)
+    return alert
+
+
+def settings_sweep(rows: DataFrame, train: DataFrame, kpis: list[str], settings: list[DetectorSettings], entity: list[str], minutes: float) -> DataFrame:
+    """(entity, alpha, z_threshold, persistence, metrics) of each setting once, however often it is listed.
+
+    The settings share bucket_minutes and min_samples: raw scores are computed once and smoothed once for each alpha.
+    """
+    if len({(s.bucket_minutes, s.min_samples) for s in settings}) != 1:
+        raise ValueError("the settings of one sweep share bucket_minutes and min_samples")
+    by = Window.partitionBy(*entity).orderBy("rn")
+    alphas = sorted({s.alpha for s in settings})
+    z = scored(rows, train, kpis, settings[0], entity)
+    z = z.select(*entity, "rn", "ts", "label", "scenario", *[ewma(F.col(f"raw_{k}"), a, by).alias(f"z_{k}_{i}") for k in kpis for i, a in enumerate(alphas)])
+    each = dict.fromkeys((s.alpha, s.z_threshold, s.persistence) for s in settings)
+    cells = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(t)).alias("z_threshold"), F.lit(int(p)).alias("persistence"), *[F.col(f"z_{k}_{alphas.index(a)}").alias(f"z_{k}") for k in kpis]) for a, t, p in each])
+    g = z.select(*entity, "rn", "ts", "label", "scenario", F.explode(cells).alias("g")).select("*", "g.*").drop("g")
+    keys = [*entity, "alpha", "z_threshold", "persistence"]
+    return evaluate(g.withColumn("alert", _fires(kpis, keys, sorted({s.persistence for s in settings})).cast("int")), keys, minutes=minutes)
 
 
 def variants(base: DetectorSettings, **lists) -> list[DetectorSettings]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import bad_sign
@@ -31,6 +31,16 @@ def separation(deviation: DataFrame, load: list[str], by: list[str]) -> DataFram
     return out.withColumn("ok", F.coalesce(F.col("least_load") > F.col("most_quality"), F.lit(False)))
 
 
+def trap(label: str = "label", scenario: str = "scenario") -> Column:
+    """Rows of a named scenario that is no anomaly."""
+    return F.coalesce((F.col(scenario) != "") & (F.col(label) == 0), F.lit(False))
+
+
+def label_totals(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_rows, n_anomaly, n_trap, anomaly_pct): labelled rows, and rows of scenarios that are no anomaly."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if(F.col("label") == 1).alias("n_anomaly"), F.count_if(trap()).alias("n_trap"), (F.avg("label") * 100).alias("anomaly_pct"))
+
+
 def warmup_purity(df: DataFrame, warmup_rows: int, by: list[str], order: str = "rn") -> DataFrame:
     """(by, label_mean, n_scenario_rows) of the warm-up rows."""
     return df.where(F.col(order) <= warmup_rows).groupBy(*by).agg(F.avg("label").alias("label_mean"), F.count_if(F.col("scenario") != "").alias("n_scenario_rows"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators.evaluate import NORMAL
-from tidemark.plans.queries import PERSISTENCES, THRESHOLDS
+from tidemark.plans.queries import ALPHAS, PERSISTENCES, THRESHOLDS
 
 KPIS = ("load", "errors", "avg_value")
 each = lambda f, sep=", ": sep.join(f.format(k=k) for k in KPIS)
@@ -99,7 +99,16 @@ _GRID = "grid AS (SELECT z_threshold::DOUBLE AS z_threshold, persistence::INT AS
 _FIRE = " OR ".join(f"coalesce(CASE persistence " + " ".join(f"WHEN {p} THEN sum((abs(z_{k}) > z_threshold)::INT) OVER (PARTITION BY cell, z_threshold, persistence ORDER BY rn ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) = {p}" for p in PERSISTENCES) + " END, false)" for k in KPIS)
 _SWEPT = f"swept AS (SELECT cell, rn, ts, label, scenario, z_threshold, persistence, ({_FIRE})::INT AS alert FROM ew, grid)"
 
+_SETTINGS = "settings AS (SELECT DISTINCT alpha::DOUBLE AS alpha, z_threshold::DOUBLE AS z_threshold, persistence::INT AS persistence FROM (VALUES " + ", ".join([*(f"({a}, 1.0, 2)" for a in ALPHAS), *(f"(0.4, {t}, 2)" for t in THRESHOLDS), *(f"(0.4, 1.0, {p})" for p in PERSISTENCES)]) + ") v(alpha, z_threshold, persistence))"
+_KEYS = "cell, alpha, z_threshold, persistence"
+_SMOOTH = f"smooth AS (SELECT rn, ts, label, scenario, {_KEYS}, " + each("list_reduce(list(raw_{k}) OVER (PARTITION BY cell, alpha, z_threshold, persistence ORDER BY rn ROWS BETWEEN 130 PRECEDING AND CURRENT ROW), lambda a, x: x * alpha + a * (1 - alpha)) AS z_{k}") + " FROM z, settings)"
+_ONE_AT_A_TIME = f"swept AS (SELECT rn, ts, label, scenario, {_KEYS}, ({_FIRE.replace('cell, z_threshold, persistence', _KEYS)})::INT AS alert FROM smooth)"
+_SPREAD = ", ".join(f"round({f}(CASE WHEN NOT isnan({c}) THEN {c} END), 6) AS {c}_{n}" for c in ("precision", "recall", "mttd_min") for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max")))
+
 ORACLES = {
+    "sweep_one_at_a_time": sql(_eval("swept", 60, _KEYS), _SETTINGS, _SMOOTH, _ONE_AT_A_TIME),
+    "metrics_across_cells": sql(f"SELECT cell % 2 AS half, {_SPREAD} FROM ({_eval('det', 60)}) GROUP BY 1"),
+    "label_totals": sql("SELECT cell, count(*) AS n_rows, count(*) FILTER (label = 1) AS n_anomaly, count(*) FILTER (scenario <> '' AND label = 0) AS n_trap, round(avg(label) * 100, 6) AS anomaly_pct FROM kpi GROUP BY 1"),
     "win_mean_by_user": _win("user_id", 5, 1, "avg(value)"),
     "win_max_stride2": _win("user_id", 5, 2, "max(value)"),
     "win_p95_event_type": _win("event_type", 5, 1, "quantile_cont(value, 0.95)"),

@@ -20,7 +20,7 @@ from tidemark.streaming.windows import keyed_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-THRESHOLDS, PERSISTENCES = [0.8, 1.0, 1.5, 2.0], [1, 2, 3]
+THRESHOLDS, PERSISTENCES, ALPHAS = [0.8, 1.0, 1.5, 2.0], [1, 2, 3], [0.3, 0.4, 0.6]
 DIRECTIONS = {"load": "higher_is_worse", "errors": "higher_is_worse", "avg_value": "lower_is_worse"}
 
 
@@ -148,7 +148,13 @@ def evaluate_metrics(spark, sf_dir):
 
 @query
 def evaluate_per_scenario(spark, sf_dir):
-    return rounded(V.per_scenario(detected(spark, sf_dir), ENTITY, minutes=60.0))
+    return rounded(V.per_scenario(detected(spark, sf_dir), ENTITY, minutes=60.0).drop("delays_min"))
+
+
+@query
+def metrics_across_cells(spark, sf_dir):
+    """Spread of the metrics over the entities of each half, as over seeds."""
+    return rounded(V.across(V.evaluate(detected(spark, sf_dir), ENTITY, minutes=60.0).withColumn("half", F.col("cell") % 2), ["precision", "recall", "mttd_min"], ["half"]))
 
 
 @query
@@ -325,6 +331,18 @@ def param_sweep_eval(spark, sf_dir):
     return rounded(experiments.threshold_sweep(test, train, KPIS, SETTINGS, THRESHOLDS, PERSISTENCES, ENTITY, 60.0))
 
 
+@query
+def sweep_one_at_a_time(spark, sf_dir):
+    train, test = parts(spark, sf_dir)
+    settings = experiments.variants(SETTINGS, alpha=ALPHAS, z_threshold=THRESHOLDS, persistence=PERSISTENCES)
+    return rounded(experiments.settings_sweep(test, train, KPIS, settings, ENTITY, 60.0))
+
+
+@query
+def label_totals(spark, sf_dir):
+    return rounded(validate.label_totals(kpi_hourly(spark, sf_dir), ENTITY))
+
+
 @query
 def clip_saturation(spark, sf_dir):
     return validate.saturation(kpi_hourly(spark, sf_dir), {"load": (0.0, 5.0), "errors": (0.0, 2.0), "avg_value": (0.0, 100.0)}, ENTITY)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 
 def kpi_schema(kpis: list[str], key: str | None = None) -> T.StructType:
@@ -45,8 +46,25 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, schema: T.Struct
     return raw.select("partition", "offset", F.col("timestamp").alias("produced_at"), decode(F.col("value"), schema).alias("r")).select("partition", "offset", "produced_at", "r.*")
 
 
-def kafka_sink(df: DataFrame, servers: str, topic: str, key: str) -> None:
-    df.select(F.col(key).cast("string").alias("key"), encode(df).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+def kafka_rows(df: DataFrame, key: str | None = None) -> DataFrame:
+    """value, the record as JSON, after key where one is named; without a key the broker spreads the records."""
+    keys = [F.col(key).cast("string").alias("key")] if key else []
+    return df.select(*keys, encode(df).alias("value"))
+
+
+def kafka_sink(df: DataFrame, servers: str, topic: str, key: str | None = None, checkpoint: str | None = None) -> StreamingQuery | None:
+    """Write df to the topic; a stream needs a checkpoint folder, and is returned started."""
+    rows, options = kafka_rows(df, key), {"kafka.bootstrap.servers": servers, "topic": topic}
+    if not df.isStreaming:
+        return rows.write.format("kafka").options(**options).save()
+    if checkpoint is None:
+        raise ValueError("a stream needs a checkpoint folder")
+    return rows.writeStream.format("kafka").options(**options, checkpointLocation=checkpoint).start()
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, in place of what was there; read_csv reads them back."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def open_source(spark: SparkSession, mode: str, schema: T.StructType, **where: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tokens, shards, rules, fingerprints, licenses, classifier and mixing."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -249,6 +250,22 @@ def test_licenses(spark):
     assert got == [(2, "mit-grant", 5, n - 4), (3, "all-rights-reserved", 0, 20), (3, "all-rights-reserved", 23, 43)]
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_licenses_with_any_words_changed_that_coverage_allows(least):
+    """Every choice of changed words in short templates, and many in long ones."""
+    rng = random.Random(5)
+    given = {**license_scan.TEMPLATES, "one": "Unlicense", "two": "Public domain", **{f"n{n}": " ".join(f"w{n}x{i}" for i in range(n)) for n in range(3, 30)}}
+    index = license_scan.Index(given, least)
+    for name, text in given.items():
+        words = license_scan.terms(text)[0]
+        n = len(words)
+        e = max(e for e in range(n) if n - e >= least * n)
+        for some in itertools.islice(itertools.combinations(range(n), e), 200) if n < 10 else [rng.sample(range(n), e) for _ in range(100)] + [range(2, n, 3)[:e], range(1, n, 2)[:e]]:
+            new = [f"zz{i}" if i in some else w for i, w in enumerate(words)]
+            found = index.scan("aa bb cc " + " ".join(new) + " dd ee", least)
+            assert any(r[0] == name and r[1] >= n - e for r in found), (name, some)
+
+
 def test_licenses_of_the_table_equal_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     found = {(r.id, r.template) for r in license_scan.scan_licenses(docs).collect()}

@@ -1,8 +1,10 @@
 """License scans: winnowed template fingerprints in an inverted index, then banded alignment.
 
 The index maps the winnowed k-gram hashes of all templates to (template, word). Every k-gram of a text is
-looked up in it, so any K + WINDOW - 1 words in a row that a text shares with a template are met; a template too
-short for a window keeps all its k-grams. A hit makes a candidate region around its diagonal, which a banded
+looked up in it, so any K + WINDOW - 1 words in a row that a text shares with a template are met. A notice that
+has the asked share of its template's words may have others changed or left out: where so many changes could
+break every winnowed k-gram, the index also takes one more disjoint k-gram than there may be changes, so one of
+them is whole. (A word put between two words breaks a k-gram too, but counts as no change.) A hit makes a candidate region around its diagonal, which a banded
 alignment of words then confirms: it reports the words matched, the share of the template that they cover,
 and the span of the text.
 
@@ -62,17 +64,21 @@ def _code(word: str) -> int:
     return h & _MASK
 
 
+def grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each word on."""
+    n = max(0, len(codes) - k + 1)
+    g = np.full(n, k, np.uint64)
+    for j in range(k):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+    return g ^ (g >> np.uint64(29))
+
+
 def winnow(words: list[str]) -> list[tuple[int, int]]:
     """(hash, word) of the least k-gram of every window of k-grams, the rightmost of equals; one for short texts."""
     if not words:
         return []
-    c = np.array([_code(w) for w in words], np.uint64)
-    k = min(K, len(c))
-    n = len(c) - k + 1
-    g = np.zeros(n, np.uint64)
-    for j in range(k):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + c[j : j + n]
-    g ^= g >> np.uint64(29)
+    g = grams(np.array([_code(w) for w in words], np.uint64), min(K, len(words)))
+    n = len(g)
     w = min(WINDOW, n)
     wins = np.lib.stride_tricks.sliding_window_view(g, w)
     at = np.arange(n - w + 1) + (w - 1 - wins[:, ::-1].argmin(1))
@@ -80,36 +86,50 @@ def winnow(words: list[str]) -> list[tuple[int, int]]:
     return list(zip(g[at].tolist(), at.tolist(), strict=True))
 
 
+def breaking(places: list[int], k: int) -> int:
+    """The fewest changed words that break all k-grams at these places."""
+    n, last = 0, -1
+    for i in sorted(places):
+        if i > last:
+            n, last = n + 1, i + k - 1
+    return n
+
+
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints, by length of the k-gram."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = COVERAGE):
         self.words = {k: terms(t)[0] for k, t in templates.items()}
         if sum(map(len, self.words.values())) > MOST_TEMPLATE_WORDS:
             raise ValueError(f"templates of over {MOST_TEMPLATE_WORDS} words in all are not for a broadcast index")
-        self.at: dict[int, list[tuple[str, int]]] = {}
+        self.at: dict[int, dict[int, list[tuple[str, int]]]] = {}
         for name, words in self.words.items():
-            n = max(1, len(words) - K + 1)
-            marks = winnow(words) if n >= WINDOW else [(h, i) for i in range(n) for h, _ in winnow(words[i : i + K])]
-            for h, i in marks:
-                self.at.setdefault(h, []).append((name, i))
+            n = len(words)
+            if not n:
+                continue
+            k = min(K, n)
+            marks = {(k, i): h for h, i in winnow(words)}
+            changes = max((e for e in range(n) if n - e >= least * n), default=0)
+            if breaking([i for _, i in marks], k) <= changes:
+                k = max(1, min(K, n // (changes + 1)))
+                g = grams(np.array([_code(w) for w in words], np.uint64), k)
+                marks |= {(k, i): int(g[i]) for i in (j * (n - k) // max(1, changes) for j in range(changes + 1))}
+            for (k, i), h in marks.items():
+                self.at.setdefault(k, {}).setdefault(h, []).append((name, i))
+        self.hashes = {k: np.array(sorted(v), np.uint64) for k, v in self.at.items()}
 
     def scan(self, text: str, least: float) -> list[tuple[str, int, int, float, int, int]]:
         """(template, matched words, template words, coverage, first character, end) of every region found."""
         words, spans = terms(text)
         hits: dict[str, list[tuple[int, int]]] = {}
-        k = min(K, len(words))
         if not words:
             return []
         c = np.array([_code(w) for w in words], np.uint64)
-        n = len(c) - k + 1
-        g = np.zeros(n, np.uint64)
-        for j in range(k):
-            g = g * np.uint64(0x9E3779B97F4A7C15) + c[j : j + n]
-        g ^= g >> np.uint64(29)
-        for i in np.flatnonzero(np.isin(g, self.hashes())):
-            for name, j in self.at[int(g[i])]:
-                hits.setdefault(name, []).append((int(i), j))
+        for k, known in self.hashes.items():
+            g = grams(c, k)
+            for i in np.flatnonzero(np.isin(g, known)):
+                for name, j in self.at[k][int(g[i])]:
+                    hits.setdefault(name, []).append((int(i), j))
         out = []
         for name, pairs in hits.items():
             t = self.words[name]
@@ -125,11 +145,6 @@ class Index:
                     out.append((name, matched, len(t), matched / len(t), spans[a + first][0], spans[a + last][1]))
         return sorted(set(out), key=lambda r: (r[4], r[0]))
 
-    def hashes(self) -> np.ndarray:
-        if not hasattr(self, "_hashes"):
-            self._hashes = np.array(sorted(self.at), np.uint64)
-        return self._hashes
-
 
 def align(template: list[str], words: list[str], shift: int) -> tuple[int, int, int]:
     """Most words matched in order within BAND words of the diagonal, and the first and last word matched.
@@ -162,12 +177,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     twice in a text gives two rows; rows that repeat an id are scanned each. Other columns are not read.
     """
     given = templates or TEMPLATES
-    Index(given)
+    Index(given, coverage)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "template", "matched_words", "template_words", "coverage", "first_char", "end_char"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(given)
+        index = Index(given, coverage)
         for b in batches:
             place, found = [], []
             for i, text in enumerate(b.column(1).to_pylist()):

@@ -1,7 +1,8 @@
-"""Dedup operators against brute force: planted cases, odd rows, and the given tables."""
+"""Dedup operators against brute force: planted cases and odd rows."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,37 @@ def test_near_dedup_of_repeated_ids_and_nulls(spark):
     df = spark.createDataFrame([(5, text, 0, ""), (5, text + " more", 0, ""), (7, text, 0, ""), (7, "else " * 9, 0, ""), (None, text, 0, ""), (9, None, 0, "")], FIELDS)
     got = sorted((r.id or -1, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
     assert got == [(-1, 56, None, True), (5, 56, 5, True), (5, 57, 5, True), (7, 5 - 4, 5, False), (7, 56, 5, False), (9, 0, 9, True)]
+
+
+def test_no_pair_that_shares_a_band_is_lost_inside_tasks(spark):
+    """Several thousand pairs over the threshold, each a component of its own, given with every band they share."""
+    rng = np.random.default_rng(5)
+    n, size, common = 4000, 140, 123  # similarity 123 / 157
+    sets = rng.integers(0, 2**64, (n, 2 * size - common), dtype=np.uint64)
+    flat = np.concatenate((sets[:, :size], sets[:, size - common :]), 1).reshape(2 * n, size)
+    regs = near_dedup.registers(flat.ravel(), np.arange(2 * n + 1) * size, near_dedup.WIDE)
+    keys = near_dedup.band_keys(regs[:, : near_dedup.M]).view(np.int64)
+    wide = near_dedup.wide_rows(regs)
+    shared = keys[0::2] == keys[1::2]
+    assert shared.any(1).all()
+    rows = [(int(keys[i, b]), int(b), i, i, size, wide[i]) for p, b in zip(*np.nonzero(shared), strict=True) for i in (2 * int(p), 2 * int(p) + 1)]
+    members = spark.createDataFrame(rows, "key long, band int, id long, label long, n_shingles long, wide binary")
+    assert sorted((r.a, r.b) for r in near_dedup._across(members, 0.75).collect()) == [(2 * p + 1, 2 * p) for p in range(n)]
+
+
+def test_recall_on_thousands_of_documents_with_opened_bands(spark):
+    """Families whose members are drawn so that many pairs lie about the threshold."""
+    rng = random.Random(8)
+    rows = []
+    for f in range(60):
+        base = [f"f{f}w{i}" for i in range(120)]
+        for _ in range(50):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**7)}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in rows], FIELDS)
+    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
+    want = near_dedup.op10_brute(rows)
+    assert sum(got[i] == want[i] for i in want) >= 0.999 * len(want)

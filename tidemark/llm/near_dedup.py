@@ -10,10 +10,11 @@ A set's sketch holds, for each of M independent exponential hashes, floor(1 - lo
    sizes. An estimate SLACK below the threshold is about five standard deviations away; the rest are
    verified on their full sets.
 4. Connected components. Bands whose members are still in different components are then opened. For their members
-   the sketch is continued from M to WIDE registers, one byte of each. Inside a task, members of different
-   components are estimated against each other by these, and only the pairs that may be links leave it, once for
-   all bands they share. So no link is lost for not being to the least document, and the pairs of a group of
-   near copies are never written out. A member of a band's most common component travels once for the band.
+   the sketch is continued from M to WIDE registers: the M whole ones, and one byte of each further one. Inside a
+   task, members of different components are estimated against each other by these, and only the pairs that may be
+   links leave it, in the first of the bands they share, which the whole registers tell. So no link is lost for not
+   being to the least document, and the pairs of a group of near copies are never written out. A member of a band's
+   most common component travels once for the band.
 
 Two texts at the threshold share no band with a probability of 6e-9 (50 bands of 4 registers).
 """
@@ -210,30 +211,28 @@ def _open_bands(labels: DataFrame) -> DataFrame:
     return found.mapInArrow(pick, "key long, band int, id long, label long, n_shingles long, regs binary")
 
 
-def _low_bytes(regs: np.ndarray) -> np.ndarray:
-    return (regs & 0xFF).astype(np.uint8)
+WIDE_BYTES = 2 * M + WIDE - M
+
+
+def wide_rows(regs: np.ndarray) -> list[bytes]:
+    """Of rows of WIDE registers: the first M whole, two bytes each, then the low byte of every further one."""
+    return [a.tobytes() + b.tobytes() for a, b in zip(regs[:, :M].astype(np.uint16), (regs[:, M:] & 0xFF).astype(np.uint8), strict=True)]
 
 
 def _widened(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """members with `wide`: a byte of each of WIDE registers; of the M known ones where rows share an id."""
+    """members with `wide`, as wide_rows has it; the M known registers alone where rows share an id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 b = batch.slice(a, 1000)
-                wide = _low_bytes(registers(*shingle_sets(b.column(1), size), WIDE))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in wide], pa.binary())], names=["id", "wide"])
-
-    def narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low = [_low_bytes(np.frombuffer(r, np.uint16)).tobytes() if w is None else w for r, w in zip(b.column("regs").to_pylist(), b.column("wide").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in MEMBER[:-1]), pa.array(low, pa.binary())], names=list(MEMBER))
+                wide = wide_rows(registers(*shingle_sets(b.column(1), size), WIDE))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary())], names=["id", "wide"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wide = texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, wide binary")
     wide = cut(wide.groupBy("id").agg(F.when(F.count("*") == 1, F.first("wide")).alias("wide")))
-    joined = members.join(wide, "id").select(*MEMBER[:-1], "regs", "wide")
-    return joined.mapInArrow(narrow, "key long, band int, id long, label long, n_shingles long, wide binary")
+    return members.join(wide, "id").select(*MEMBER[:-1], F.coalesce("wide", "regs").alias("wide"))
 
 
 MEMBER = ("key", "band", "id", "label", "n_shingles", "wide")
@@ -263,9 +262,10 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
         """Of whole groups, which are consecutive."""
         key, tile, own, band, ids, label, size = (t.column(c).to_numpy() for c in ("key", "tile", "own", "band", "id", "label", "n_shingles"))
         kept = t.column("wide").to_pylist()
-        known = np.array([len(w) == WIDE for w in kept], bool)
-        wide = np.frombuffer(b"".join([w.ljust(WIDE, b"\0") for w in kept]), np.uint8).reshape(len(ids), WIDE)
-        few = np.ascontiguousarray(wide[:, :M])
+        known = np.array([len(w) == WIDE_BYTES for w in kept], bool)
+        wide = np.frombuffer(b"".join([w.ljust(WIDE_BYTES, b"\0") for w in kept]), np.uint8).reshape(len(ids), WIDE_BYTES)
+        few = np.ascontiguousarray(wide[:, : 2 * M]).view(np.uint16)
+        low = np.concatenate(((few & 0xFF).astype(np.uint8), wide[:, 2 * M :]), 1)
         guest = t.column("guest").to_numpy()
         new = np.ones(len(ids), bool)
         new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
@@ -282,7 +282,7 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
                 may = np.flatnonzero(eq.mean(1) >= similarity - SLACK - 0.05)
                 first = eq[may].reshape(len(may), M // BAND, BAND).all(2).argmax(1)
                 j = j[may[first == band[i]]]
-                share = (wide[j] == wide[i]).mean(1)
+                share = (low[j] == low[i]).mean(1)
                 j = j[((share - 1 / 256) / (1 - 1 / 256) >= similarity - WIDE_SLACK) | ~known[j] | ~known[i]]
                 out.append(np.stack([np.full(len(j), ids[i]), ids[j]], 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)

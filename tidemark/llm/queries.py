@@ -7,6 +7,7 @@ from tidemark.llm.license_scan import op6_query
 from tidemark.llm.merkle import op4_query
 from tidemark.llm.mixing import op8_query
 from tidemark.llm.near_dedup import op10_query
+from tidemark.llm.periodic_runs import op11_query
 from tidemark.llm.quality_classifier import op9_query
 from tidemark.llm.quality_rules import op2_query
 from tidemark.llm.substring_dedup import op5_query
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_mixing": op8_query,
     "op9_quality_classifier": op9_query,
     "op10_near_dedup": op10_query,
+    "op11_periodic_runs": op11_query,
 }
 ORACLES: dict[str, str] = {}

@@ -10,6 +10,7 @@ from tidemark.llm.near_dedup import op10_query
 from tidemark.llm.periodic_runs import op11_query
 from tidemark.llm.quality_classifier import op9_query
 from tidemark.llm.quality_rules import op2_query
+from tidemark.llm.sentence_pieces import op12_query
 from tidemark.llm.substring_dedup import op5_query
 from tidemark.llm.suffix_dedup import op1_query
 from tidemark.llm.token_shards import op3_query
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_quality_classifier": op9_query,
     "op10_near_dedup": op10_query,
     "op11_periodic_runs": op11_query,
+    "op12_sentence_pieces": op12_query,
 }
 ORACLES: dict[str, str] = {}

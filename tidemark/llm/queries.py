@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe_automaton import op7_query
+from tidemark.llm.hard_negatives import OP13_SQL, op13_query
 from tidemark.llm.license_scan import op6_query
 from tidemark.llm.merkle import op4_query
 from tidemark.llm.mixing import op8_query
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_near_dedup": op10_query,
     "op11_periodic_runs": op11_query,
     "op12_sentence_pieces": op12_query,
+    "op13_hard_negatives": op13_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_hard_negatives": OP13_SQL}

@@ -128,7 +128,7 @@ def test_no_pair_that_shares_a_band_is_lost_inside_tasks(spark):
     assert shared.any(1).all()
     rows = [(int(keys[i, b]), int(b), i, i, size, wide[i]) for p, b in zip(*np.nonzero(shared), strict=True) for i in (2 * int(p), 2 * int(p) + 1)]
     members = spark.createDataFrame(rows, "key long, band int, id long, label long, n_shingles long, wide binary")
-    assert sorted((r.a, r.b) for r in near_dedup._across(members, 0.75).collect()) == [(2 * p + 1, 2 * p) for p in range(n)]
+    assert sorted((r.a, r.b) for r in near_dedup._across(near_dedup._dealt(members), 0.75).collect()) == [(2 * p + 1, 2 * p) for p in range(n)]
 
 
 def test_recall_on_thousands_of_documents_with_opened_bands(spark):
@@ -147,3 +147,32 @@ def test_recall_on_thousands_of_documents_with_opened_bands(spark):
     got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
     want = near_dedup.op10_brute(rows)
     assert sum(got[i] == want[i] for i in want) >= 0.999 * len(want)
+
+
+def test_open_bands_with_shared_ids(spark):
+    """As above, with rows that share ids: their links add up."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([2, 6, 7, 8])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    plain = near_dedup.op10_brute(rows)
+    shared = [(i if i < 50 else i - 50, t) for i, t in rows]
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in shared], FIELDS)
+    got = {}
+    for r in near_dedup.near_duplicates(df).collect():
+        got.setdefault(r.id, set()).add(r.component_id)
+    root = {i: i for i in range(50)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, c, _) in plain.items():
+        a, b = find(i % 50), find(c % 50)
+        root[max(a, b)] = min(a, b)
+    assert got == {i: {find(i)} for i in range(50)}

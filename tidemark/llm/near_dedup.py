@@ -182,17 +182,17 @@ def _star(found: DataFrame, n: int) -> DataFrame:
 
 
 def _open_bands(labels: DataFrame) -> DataFrame:
-    """(key, band, id, label, n_shingles, regs) of members of bands whose members have different labels."""
+    """(key, band, id, label, n_shingles) of members of bands whose members have different labels."""
 
     def keyed(payload: bytes, n: int):
         t = unpack(payload)
         label, regs = t.column("component_id").to_numpy(), t.column("regs").to_pylist()
         k = band_keys(np.frombuffer(b"".join(regs), np.uint16).reshape(len(label), M))
         each = np.repeat(label, k.shape[1])
-        return t, label, regs, k, Keys(k.ravel(), n, least=each, most=each)
+        return t, label, k, Keys(k.ravel(), n, least=each, most=each)
 
     def send(block: int, payload: bytes, got: dict, n: int) -> Iterator[pa.RecordBatch]:
-        yield keyed(payload, n)[4].rows(block)
+        yield keyed(payload, n)[3].rows(block)
 
     found = ask(blocks_of(labels), send)
     n = buckets(labels.sparkSession)
@@ -200,15 +200,15 @@ def _open_bands(labels: DataFrame) -> DataFrame:
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                t, label, regs, k, keys = keyed(row["payload"], n)
+                t, label, k, keys = keyed(row["payload"], n)
                 differ, _, _ = keys.replies(row["r1"])
                 i, j = np.nonzero((differ | (keys.least != keys.most))[keys.of].reshape(k.shape))
                 ids, size = t.column("id").to_numpy(), t.column("n_shingles").to_numpy()
                 for a in range(0, len(i), 5000):
                     x, y = i[a : a + 5000], j[a : a + 5000]
-                    yield pa.RecordBatch.from_arrays([pa.array(k[x, y].view(np.int64)), pa.array(y, pa.int32()), pa.array(ids[x]), pa.array(label[x]), pa.array(size[x]), pa.array([regs[q] for q in x], pa.binary())], names=["key", "band", "id", "label", "n_shingles", "regs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k[x, y].view(np.int64)), pa.array(y, pa.int32()), pa.array(ids[x]), pa.array(label[x]), pa.array(size[x])], names=["key", "band", "id", "label", "n_shingles"])
 
-    return found.mapInArrow(pick, "key long, band int, id long, label long, n_shingles long, regs binary")
+    return found.mapInArrow(pick, "key long, band int, id long, label long, n_shingles long")
 
 
 WIDE_BYTES = 2 * M + WIDE - M
@@ -219,8 +219,8 @@ def wide_rows(regs: np.ndarray) -> list[bytes]:
     return [a.tobytes() + b.tobytes() for a, b in zip(regs[:, :M].astype(np.uint16), (regs[:, M:] & 0xFF).astype(np.uint8), strict=True)]
 
 
-def _widened(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """members with `wide`, as wide_rows has it; the M known registers alone where rows share an id."""
+def _widened(dealt: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """dealt with `wide`, as wide_rows has it; rows that share an id have the M known registers of each of them alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,13 +229,23 @@ def _widened(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
                 wide = wide_rows(registers(*shingle_sets(b.column(1), size), WIDE))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary())], names=["id", "wide"])
 
+    def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                regs = b.column("regs").to_pylist()
+                k = band_keys(np.frombuffer(b"".join(regs), np.uint16).reshape(b.num_rows, M))
+                i = np.repeat(np.arange(b.num_rows), k.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64).ravel()), b.column("id").take(pa.array(i)), pa.array([regs[x] for x in i], pa.binary())], names=["key", "id", "wide"])
+
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wide = texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, wide binary")
+    wide = texts.join(dealt.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, wide binary")
     wide = cut(wide.groupBy("id").agg(F.when(F.count("*") == 1, F.first("wide")).alias("wide")))
-    return members.join(wide, "id").select(*MEMBER[:-1], F.coalesce("wide", "regs").alias("wide"))
-
-
-MEMBER = ("key", "band", "id", "label", "n_shingles", "wide")
+    out = dealt.join(wide.where("wide is not null"), "id")
+    shared = wide.where("wide is null").select("id")
+    if not shared.isEmpty():
+        rows = labels.join(shared, "id").select("id", "regs").mapInArrow(known, "key long, id long, wide binary")
+        out = out.unionByName(dealt.join(rows, ["key", "id"]))
+    return out
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -251,12 +261,12 @@ def _dealt(members: DataFrame) -> DataFrame:
     known = members.join(big, "key", "left").withColumn("own", F.pmod(F.xxhash64("id"), tiles).cast("int"))
     guest = F.coalesce(F.col("label") != F.col("host"), F.lit(True))
     known = known.withColumn("guest", guest).withColumn("tile", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array("own"))))
-    return known.select("tile", "guest", "own", *MEMBER)
+    return known.select("tile", "guest", "own", *members.columns)
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
+def _across(dealt: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of members of one band, in different components, whose estimate does not rule them out."""
-    sorted_ = _dealt(members).repartition(shuffle_partitions(members.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
+    sorted_ = dealt.repartition(shuffle_partitions(dealt.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         """Of whole groups, which are consecutive."""
@@ -373,7 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     label = components(links, reps.select("id").distinct())
     members = cut(_open_bands(reps.join(label, "id")))
-    more = cut(_across(_widened(members, one, id_col, text_col, size), percent / 100))
+    more = cut(_across(_widened(_dealt(members), reps, one, id_col, text_col, size), percent / 100))
     if not more.isEmpty():
         extra = cut(_verified(more, one, id_col, text_col, size, percent))
         if not extra.isEmpty():

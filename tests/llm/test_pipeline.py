@@ -60,9 +60,8 @@ def test_null_and_repeated_ids(spark):
 
     rows = [row(None, fine[0]), row(None, fine[1]), row(3, fine[2]), row(3, fine[3])]
     keyed = make(rows).withColumn("key", corpus_pipeline.row_key())
-    rates = corpus_pipeline.mix(keyed, spark.read.parquet(f"{SF}/labels.parquet"), row_col="key", whole="high").withColumnRenamed("id", "key")
-    clean = F.col("posterior_high") >= F.greatest("posterior_low", "posterior_toxic")
-    counts = rates.select("key", F.greatest(corpus_pipeline.copies(F.col("rate"), F.col("key")), clean.cast("int")).alias("n"))
+    rates = corpus_pipeline.mix(keyed, spark.read.parquet(f"{SF}/labels.parquet"), row_col="key", whole="high", most=2).withColumnRenamed("id", "key")
+    counts = rates.select("key", corpus_pipeline.copies(F.col("rate"), F.col("key")).alias("n"))
     wanted = {(r.doc_id, r.text): r.n for r in keyed.join(counts, "key").collect() if r.n}
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, make(rows), SF).collect())
     assert got == wanted and {i for i, _ in got} >= {None}
@@ -77,3 +76,33 @@ def test_passages_remove_cut_characters_alone(spark):
     assert got == {1: (rows[0][1], 64), 2: (left, len(left)), 3: (rows[2][1], 12)}
     raw = "ab\u20accd".encode()
     assert whole_characters(raw[:3] + raw[4:], [[3, 4]]) == "abcd"
+
+
+def test_mixing_is_bounded_and_meets_reachable_targets(spark):
+    """What follows the quality rules has little low-quality text: no document is repeated to make up for it."""
+    big = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    keyed = corpus_pipeline.quality(spark, docs, big).withColumn("key", corpus_pipeline.row_key())
+    rows = corpus_pipeline.mix(keyed, spark.read.parquet(f"{big}/labels.parquet"), row_col="key", whole="high", most=corpus_pipeline.MOST_COPIES).collect()
+    total = sum(r.n_tokens * r.rate for r in rows)
+    for d in ("high", "low", "toxic"):
+        share = sum(r.n_tokens * r.rate * r[f"posterior_{d}"] for r in rows) / total
+        assert abs(share - rows[0][f"target_{d}"]) < 1e-3 and abs(share - rows[0][f"share_{d}"]) < 1e-6
+    assert all(0 <= r.rate <= corpus_pipeline.MOST_COPIES for r in rows)
+    assert all(r.rate >= 1 for r in rows if r.posterior_high >= max(r.posterior_low, r.posterior_toxic))
+    assert all(r.rate <= 1 + 1e-9 for r in rows if r.posterior_low + r.posterior_toxic > 0.9)
+
+
+def test_null_texts_long_texts_and_extra_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fine = corpus_pipeline.quality(spark, docs, SF).where("lang = 'en'").orderBy("doc_id").first().text
+    long = " ".join(f"{w}{i}" if i % 7 == 0 else w for i, w in enumerate((fine.split() * 200)[:30_000]))
+    rows = [(1, None, None, None, None, "k"), (2, fine, "en", "x", len(fine), "k"), (3, long, "en", "x", len(long), "k")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        got = {r.doc_id for r in out.collect()}
+        assert (1 in got) == (name not in ("quality_rules",)) or name == "mixing", name
+        assert {2} <= got or name == "mixing", name
+        if name != "bpe_tokens":
+            assert out.columns == list(corpus_pipeline.COLUMNS)

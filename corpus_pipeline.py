@@ -5,6 +5,8 @@ and reads it again as the next one's docs. All but the last return the columns o
 documents need no doc_id of their own: every stage decides for each row. Where one document of several stays, or
 keeps a passage, it is the one with the least doc_id; rows with a null doc_id come after all others, and rows that
 share one come in the order in which they are stored. Equal rows get the same verdict and the same number of copies.
+The columns of documents must be there; others are dropped. A null text fails the quality rules, and counts as an empty
+one in the other stages, where it stays null. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from tidemark.llm.runtime import checkpoint_ready
 from tidemark.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MOST_COPIES = 2
 ORACLE_SQL = None  # the vocabularies and models of the stages are not in SQL; tests hold them to brute force
 
 
@@ -71,12 +74,15 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its rate asks for; a document that is most likely clean has one at least."""
+    """As many copies of each document as its rate asks for, MOST_COPIES at most.
+
+    A document that is most likely clean has one at least. Others are thinned out where their domain has more than its
+    target share; they are never repeated. Rows with a null text have no tokens, and a rate as the model has it for
+    an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     keyed = docs.select(*COLUMNS, row_key().alias("key"))
-    clean = F.col("posterior_high") >= F.greatest("posterior_low", "posterior_toxic")
-    n = F.greatest(copies(F.col("rate"), F.col("id")), clean.cast("int")).alias("n_copies")
-    rates = mix(keyed, labels, row_col="key", whole="high").select(F.col("id").alias("key"), n)
+    rates = mix(keyed, labels, row_col="key", whole="high", most=MOST_COPIES).select(F.col("id").alias("key"), copies(F.col("rate"), F.col("id")).alias("n_copies"))
     mixed = keyed.join(rates.groupBy("key").agg(F.max("n_copies").alias("n_copies")), "key")
     return mixed.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*COLUMNS)
 

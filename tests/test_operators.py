@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DetectorSettings, KpiSpec, WindowSettings
 from tidemark.functions import scalars
-from tidemark.operators import detect, evaluate, islands
+from tidemark.operators import detect, evaluate, islands, ranges, report
 from tidemark.operators.windows import expected_windows, sliding
 from tidemark.sources import files, store
 from tidemark.streaming.sink import KeyedSink
@@ -63,17 +63,113 @@ def test_expected_windows(spark):
     assert [r.w for r in got] == [0, 0, 1, 30236]
 
 
-def test_ewma_golden_nan_and_small_alpha(spark):
-    by = Window.partitionBy("cell").orderBy("rn")
+def smooth(df, alpha):
+    return [r.z for r in ranges.smoothed(df, {"z": F.col("v")}, alpha, ["cell"], ["rn"]).orderBy("rn").collect()]
+
+
+def test_ewma_golden_nan_and_null(spark):
     want = [3.0, 2.6, 2.88, 2.504, 3.0032, 4.20256, 3.762048, 4.2096384]
     df = series(spark, V)
-    assert [r.z for r in df.select("rn", detect.ewma(F.col("v"), 0.2, by).alias("z")).orderBy("rn").collect()] == pytest.approx(want)
-    assert [r.smooth for r in detect.ewma_grouped(df, "v", 0.2, ["cell"], ["rn"]).orderBy("rn").collect()] == pytest.approx(want)
-    assert [r.z for r in df.select("rn", detect.ewma(F.col("v"), 1.0, by).alias("z")).orderBy("rn").collect()] == [float(v) for v in V]
-    spoiled = series(spark, [1, float("nan"), 2]).select("rn", detect.ewma(F.col("v"), 0.2, by).alias("z")).orderBy("rn").collect()
-    assert spoiled[0].z == 1.0 and math.isnan(spoiled[1].z) and math.isnan(spoiled[2].z)
+    assert smooth(df, 0.2) == pytest.approx(want)
+    assert [r.smooth_v for r in ranges.smoothed_ranges(df, ["v"], 0.2, ["cell"], ["rn"], 3).orderBy("rn").collect()] == pytest.approx(want)
+    assert smooth(df, 1.0) == [float(v) for v in V]
+    for odd in (float("nan"), None):
+        spoiled = smooth(series(spark, [1, odd, 2]), 0.2)
+        assert spoiled[0] == 1.0 and math.isnan(spoiled[1]) and math.isnan(spoiled[2])
+
+
+@pytest.mark.parametrize(("alpha", "n"), [(0.001, 100_000), (0.4, 3000), (0.9, 700)])
+def test_ewma_of_many_rows_is_the_recurrence(spark, alpha, n):
+    """Also over many chunks, with a value that is not a number in the middle of one."""
+    df = spark.range(n).select(F.lit(1).alias("cell"), (F.col("id") + 1).alias("rn"), (F.sin(F.col("id") * 0.7) * 50 + F.col("id") % 13).alias("v"))
+    want, acc = [], None
+    for v in [r.v for r in df.orderBy("rn").collect()]:
+        acc = v if acc is None else alpha * v + (1 - alpha) * acc
+        want.append(acc)
+    spread = ranges.smoothed_ranges(df, ["v"], alpha, ["cell"], ["rn"], 7)
+    assert [r.smooth_v for r in spread.orderBy("rn").collect()] == pytest.approx(want, rel=1e-12, abs=1e-12)
+    assert smooth(df, alpha) == pytest.approx(want, rel=1e-12, abs=1e-12)
+    if n == 700:
+        spoiled = df.withColumn("v", F.when(F.col("rn") == 200, F.lit(float("nan"))).otherwise(F.col("v")))
+        for got in (smooth(spoiled, alpha), [r.smooth_v for r in ranges.smoothed_ranges(spoiled, ["v"], alpha, ["cell"], ["rn"], 7).orderBy("rn").collect()]):
+            assert got[:199] == pytest.approx(want[:199]) and all(math.isnan(x) for x in got[199:])
+
+
+def rows_of(df, digits=9):
+    return sorted((tuple(round(x, digits) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize(("size", "stride", "how"), [(5, 1, "mean"), (3, 7, "max"), (60, 1, "p95"), (1, 1, "mean"), (7, 2, "mean")])
+def test_windows_over_ranges_equal_those_over_entities(spark, size, stride, how):
+    """One entity has most rows, others have a few in ranges far apart; times repeat."""
+    rng = random.Random(size)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice("abcdef"), T0 + timedelta(minutes=rng.randrange(400)), i, rng.random()) for i in range(600)] + [(None, T0, 601, 1.0), ("late", None, 602, 2.0), ("late", T0, 603, 3.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, i int, v double")
+    for parts in (1, 9, 200):
+        got = ranges.sliding(df, ["v"], size, stride, how, ["k"], ["ts", "i"], parts=parts)
+        assert rows_of(got) == rows_of(sliding(df, ["v"], size, stride, how, ["k"], ["ts", "i"]))
+
+
+def test_hot_entity_is_spread(spark):
+    df = spark.range(20_000).select(F.lit("one").alias("k"), F.col("id"), (F.col("id") % 7).cast("double").alias("v"))
+    rows, _ = ranges.with_halo(df, ["k"], ["id"], 59, 10)
+    n = {r["_to"]: (r.n, r.own) for r in rows.groupBy("_to").agg(F.count("*").alias("n"), F.count_if("_own").alias("own")).collect()}
+    assert len(n) == 10 and max(x for x, _ in n.values()) < 2400 and sum(x for x, _ in n.values()) == 20_000 + 9 * 59 and sum(x for _, x in n.values()) == 20_000
+    assert [r.rn for r in ranges.placed(df, ["k"], ["id"], 0, 10).orderBy("id").limit(5).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_ranges_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "k string, i long, v double")
+    assert ranges.sliding(empty, ["v"], 3, 1, "mean", ["k"], ["i"]).count() == 0
+    assert ranges.smoothed_ranges(empty, ["v"], 0.5, ["k"], ["i"]).count() == 0
+    one = spark.createDataFrame([("a", 1, 2.0)], "k string, i long, v double")
+    assert [r.before_v for r in ranges.before(one, ["v"], ["k"], ["i"]).collect()] == [None]
     with pytest.raises(ValueError):
-        detect.ewma(F.col("v"), 0.01, by)
+        ranges.sliding(one, ["v"], 3, 1, "mean", ["k"], ["k"])
+
+
+def test_an_event_is_an_anomaly_as_a_whole(spark):
+    """The alert on a row without label of an event with one is no false alert."""
+    df = series(spark, [0] * 5, scenario=["", "a", "a", "a", ""], label=[0, 1, 0, 0, 0], alert=[0, 0, 0, 1, 0])
+    r = evaluate.evaluate(df, ["cell"]).first()
+    assert (r.tp, r.fn, r.fp, r.mttd_min) == (1, 0, 0, 2.0)
+    assert evaluate.false_by_location(df, ["cell"]).count() == 0
+    longer = series(spark, [0] * 7, scenario=["", "a", "a", "b", "b", "", ""], label=[0, 0, 1, 0, 0, 0, 0], alert=[0, 1, 0, 1, 1, 1, 0])
+    got = {x.location: x.n_false for x in evaluate.false_by_location(longer, ["cell"]).collect()}
+    assert got == {"b": 1} and evaluate.evaluate(longer, ["cell"]).first().fp == 1
+
+
+def test_baseline_within_one_frame_equals_that_of_two(spark):
+    rng = random.Random(9)
+    v = [rng.choice([1.0, 2.0, rng.random()]) for _ in range(120)]
+    df = series(spark, v)
+    settings = DetectorSettings(bucket_minutes=60, min_samples=3, warmup_rows=80)
+    train, test = detect.split(df, 80)
+    assert rows_of(detect.scored_after(df, ["v"], settings, ["cell"])) == rows_of(detect.scored(test, train, ["v"], settings, ["cell"]))
+    both = detect.detect_after(df, ["v"], settings, ["cell"], naive_z=1.0)
+    assert rows_of(both.select("rn", F.col("naive_alert").alias("alert"))) == rows_of(detect.detect_naive(test, train, ["v"], 1.0, ["cell"]).select("rn", "alert"))
+    assert rows_of(both.select("rn", "z_v", "alert", "trigger")) == rows_of(detect.detect(test, train, ["v"], settings, ["cell"]).select("rn", "z_v", "alert", "trigger"))
+
+
+def test_summary_of_a_segment(spark):
+    """Half-open segment, the scenario asked for, ties of triggers, and entities without a segment."""
+    v = [1, 2, 3, 10, 20, 30, 1, 2, 9, 9]
+    df = series(spark, v, scenario=["", "", "", "x", "x", "x", "", "", "y", "y"], label=[0] * 10, alert=[0, 1, 0, 1, 1, 0, 0, 0, 0, 0], trigger=["", "v", "", "v", "v,w", "", "", "", "", ""]).withColumn("w", F.col("v") * 2)
+    doc = json.loads(report.summary(df, ["v", "w"], ["cell"], 3.0).first().summary)
+    assert (doc["n_rows"], doc["n_alerts"], doc["first_alert"][:16], doc["z_threshold"]) == (2, 2, "2024-01-01T03:00", 3.0)
+    assert doc["triggers"] == [{"trigger": "v", "n": 1}, {"trigger": "v,w", "n": 1}] and doc["fired"] == ["v", "w"] and doc["not_fired"] == []
+    assert [d["kpi"] for d in doc["deviations"]] == ["v", "w"] and doc["deviations"][0]["segment_mean"] == 15.0 and doc["deviations"][0]["normal_mean"] == 1.8 and doc["deviations"][0]["fired"]
+    other = json.loads(report.summary(df, ["v", "w"], ["cell"], 3.0, scenario="y").first().summary)
+    assert (other["n_rows"], other["n_alerts"], other["triggers"], other["not_fired"]) == (1, 0, [], ["v", "w"]) and "first_alert" not in other
+    assert report.summary(df, ["v", "w"], ["cell"], 3.0, scenario="z").count() == 0
+
+
+@pytest.mark.parametrize(("name", "scans"), [("evaluate_metrics", 4), ("fp_by_location", 4), ("param_sweep_eval", 4), ("fp_reduction", 4), ("kpi_deviation_rank", 4), ("incident_summary", 8)])
+def test_evaluation_reads_events_few_times(spark, name, scans):
+    from tidemark.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert 0 < plan.count("FileScan") <= scans
 
 
 def test_persistence_golden(spark):
@@ -177,12 +273,12 @@ def test_store_and_files(spark, tmp_path):
     assert sorted(one.collect()) == sorted(df.collect())
 
 
-def test_entry_and_summary(spark):
+def test_entry_and_incidents(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
-    docs = [json.loads(r.summary) for r in e.queries()["incident_summary"](spark, "/root/testdata/sf0.001").collect()]
-    assert docs and all(len(d["deviations"]) == 3 for d in docs)
+    rows = e.queries()["incident_summary"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and len(rows) == 3 * len({r.cell for r in rows})
 
 
 def test_settings_from_yaml(tmp_path):

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from tidemark.config import DetectorSettings
 from tidemark.functions.scalars import bucket_key, over, trigger, zscore
 from tidemark.operators.islands import persisted
-
-LONGEST_FOLD = 500
+from tidemark.operators.ranges import smoothed
 
 
 def split(df: DataFrame, warmup_rows: int, order: str = "rn") -> tuple[DataFrame, DataFrame]:
@@ -31,75 +26,82 @@ def global_stats(train: DataFrame, kpis: list[str], entity: list[str]) -> DataFr
     return train.groupBy(*entity).agg(*[x for k in kpis for x in (F.avg(k).alias(f"g_mu_{k}"), F.stddev_pop(k).alias(f"g_sd_{k}"))])
 
 
-def scored(rows: DataFrame, train: DataFrame, kpis: list[str], settings: DetectorSettings, entity: list[str]) -> DataFrame:
-    """rows with bucket and raw_<kpi>: z-scores against the bucket, or the whole training part.
-
-    A bucket counts for a KPI if it has min_samples rows that are not all equal. Join sides grow with the
-    number of entities, so the choice of broadcasting them is left to the size seen at run time.
-    """
-    stats = bucket_stats(train, kpis, settings.bucket_minutes, entity)
-    whole = global_stats(train, kpis, entity)
-    out = rows.withColumn("bucket", bucket_key(F.col("ts"), settings.bucket_minutes))
-    out = out.join(stats, [*entity, "bucket"], "left").join(whole, entity, "left")
+def _raw(kpis: list[str], settings: DetectorSettings) -> list[Column]:
+    """raw_<kpi>: z-scores against the bucket, or the whole training part. A bucket counts for a KPI if it has min_samples rows that are not all equal."""
     z = []
     for k in kpis:
         own = (F.col("n") >= settings.min_samples) & F.col(f"varies_{k}")
         mu = F.when(own, F.col(f"mu_{k}")).otherwise(F.col(f"g_mu_{k}"))
         sd = F.when(own, F.col(f"sd_{k}")).otherwise(F.col(f"g_sd_{k}"))
         z.append(zscore(F.col(k), mu, sd).alias(f"raw_{k}"))
-    return out.select(*rows.columns, "bucket", *z)
+    return z
 
 
-def fold_length(alpha: float, digits: float = 1e-18) -> int:
-    """Rows after which a weight is below `digits`."""
-    return 0 if alpha >= 1 else math.ceil(math.log(digits) / math.log(1 - alpha))
+def scored(rows: DataFrame, train: DataFrame, kpis: list[str], settings: DetectorSettings, entity: list[str]) -> DataFrame:
+    """rows with bucket and raw_<kpi>, learned from another frame.
+
+    Join sides grow with the number of entities, so the choice of broadcasting them is left to the size seen at run time.
+    """
+    stats = bucket_stats(train, kpis, settings.bucket_minutes, entity)
+    whole = global_stats(train, kpis, entity)
+    out = rows.withColumn("bucket", bucket_key(F.col("ts"), settings.bucket_minutes))
+    out = out.join(stats, [*entity, "bucket"], "left").join(whole, entity, "left")
+    return out.select(*rows.columns, "bucket", *_raw(kpis, settings))
 
 
-def ewma(value: Column, alpha: float, by: WindowSpec) -> Column:
-    """Exponential smoothing that starts at the first value; NaN stays NaN from then on.
+def scored_after(frame: DataFrame, kpis: list[str], settings: DetectorSettings, entity: list[str], naive: bool = False, order: str = "rn") -> DataFrame:
+    """As scored, for the rows after the first warmup_rows of each entity, learned from those; the frame is read once.
 
-    The fold reads as many rows back as can matter in a double; for small alpha use ewma_grouped.
+    The moments are windows over the entity and its buckets, which need no other partitioning than the entity's own.
+    With `naive`, m_<kpi> and s_<kpi> come along: mean and sample deviation of the training part.
     """
-    k = fold_length(alpha)
-    if k == 0:
-        return value
-    if k > LONGEST_FOLD:
-        raise ValueError("alpha is too small for a fold over rows; use ewma_grouped")
-    rows = F.collect_list(value).over(by.rowsBetween(-k, 0))
-    smooth = F.aggregate(F.slice(rows, 2, k + 1), F.element_at(rows, 1), lambda a, x: x * alpha + a * (1 - alpha))
-    spoiled = F.max(F.isnan(value).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    return F.when(spoiled, F.lit(float("nan"))).otherwise(smooth)
-
+    early = F.col(order) <= settings.warmup_rows
+    rows = frame.withColumn("bucket", bucket_key(F.col("ts"), settings.bucket_minutes))
+    own, whole = Window.partitionBy(*entity, "bucket"), Window.partitionBy(*entity)
+    seen = {k: F.when(early, F.col(k)) for k in kpis}
+    stats = [F.count(F.when(early, 1)).over(own).alias("n")]
+    for k, v in seen.items():
+        stats += [F.avg(v).over(own).alias(f"mu_{k}"), F.stddev_pop(v).over(own).alias(f"sd_{k}"), (F.min(v).over(own) < F.max(v).over(own)).alias(f"varies_{k}")]
+        stats += [F.avg(v).over(whole).alias(f"g_mu_{k}"), F.stddev_pop(v).over(whole).alias(f"g_sd_{k}")]
+        stats += [F.stddev_samp(v).over(whole).alias(f"s_{k}")] if naive else []
+    out = rows.select("*", *stats).where(~early).withColumn(order, F.col(order) - settings.warmup_rows)
+    more = [x for k in kpis for x in (F.col(f"g_mu_{k}").alias(f"m_{k}"), F.col(f"s_{k}"))] if naive else []
+    return out.select(*frame.columns, "bucket", *_raw(kpis, settings), *more)
 
-def ewma_grouped(df: DataFrame, value: str, alpha: float, entity: list[str], order: list[str], name: str = "smooth") -> DataFrame:
-    """df with the same smoothing for any alpha; an entity is held by one task at a time."""
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, acc = [], None
-        for v in pdf[value]:
-            acc = v if acc is None else alpha * v + (1 - alpha) * acc
-            out.append(acc)
-        return pdf.assign(**{name: out})
+def _any(flags: list[Column]) -> Column:
+    flags = [f.cast("int") for f in flags]
+    return F.greatest(*flags) if len(flags) > 1 else flags[0]
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{name} double"])
-    return df.groupBy(*entity).applyInPandas(smooth, fields)
 
+def alerts(scores: DataFrame, kpis: list[str], settings: DetectorSettings, entity: list[str], order: str = "rn", naive_z: float | None = None) -> DataFrame:
+    """Scored rows with z_<kpi> (smoothed) in place of raw_<kpi>, alert (0 or 1) and trigger, the KPIs that fire, in the order given.
 
-def detect(rows: DataFrame, train: DataFrame, kpis: list[str], settings: DetectorSettings, entity: list[str], order: str = "rn") -> DataFrame:
-    """rows with z_<kpi> (smoothed), alert (0 or 1) and trigger, the KPIs that fire, in the order given."""
+    With naive_z, naive_alert too: any KPI beyond so many sample deviations of the training part, without season.
+    """
     by = Window.partitionBy(*entity).orderBy(order)
-    out = scored(rows, train, kpis, settings, entity)
-    out = out.select(*rows.columns, *[ewma(F.col(f"raw_{k}"), settings.alpha, by).alias(f"z_{k}") for k in kpis])
+    out = smoothed(scores, {f"z_{k}": F.col(f"raw_{k}") for k in kpis}, settings.alpha, entity, [order])
     out = out.select("*", *[persisted(over(F.col(f"z_{k}"), settings.z_threshold), settings.persistence, by).alias(f"_f_{k}") for k in kpis])
     flags = {k: F.col(f"_f_{k}") for k in kpis}
-    any_ = F.greatest(*[f.cast("int") for f in flags.values()]) if len(flags) > 1 else next(iter(flags.values())).cast("int")
-    return out.withColumn("alert", any_).withColumn("trigger", trigger(flags)).drop(*[f"_f_{k}" for k in kpis])
+    out = out.withColumn("alert", _any(list(flags.values()))).withColumn("trigger", trigger(flags))
+    if naive_z is not None:
+        out = out.withColumn("naive_alert", _any([over(zscore(F.col(k), F.col(f"m_{k}"), F.col(f"s_{k}")), naive_z) for k in kpis]))
+    gone = {"bucket", *(f"{x}_{k}" for x in ("_f", "raw", "m", "s") for k in kpis)}
+    return out.select(*[c for c in out.columns if c not in gone])
+
+
+def detect(rows: DataFrame, train: DataFrame, kpis: list[str], settings: DetectorSettings, entity: list[str], order: str = "rn") -> DataFrame:
+    """rows with z_<kpi>, alert and trigger, by a baseline learned from another frame."""
+    return alerts(scored(rows, train, kpis, settings, entity), kpis, settings, entity, order)
+
+
+def detect_after(frame: DataFrame, kpis: list[str], settings: DetectorSettings, entity: list[str], naive_z: float | None = None, order: str = "rn") -> DataFrame:
+    """The rows after the warm-up with z_<kpi>, alert and trigger, and naive_alert with naive_z; the frame is read once."""
+    return alerts(scored_after(frame, kpis, settings, entity, naive_z is not None, order), kpis, settings, entity, order, naive_z)
 
 
 def detect_naive(rows: DataFrame, train: DataFrame, kpis: list[str], z_threshold: float, entity: list[str]) -> DataFrame:
     """rows with alert: any KPI beyond z_threshold sample deviations of the training part, without season."""
     stats = train.groupBy(*entity).agg(*[x for k in kpis for x in (F.avg(k).alias(f"_m_{k}"), F.stddev_samp(k).alias(f"_s_{k}"))])
-    flags = [over(zscore(F.col(k), F.col(f"_m_{k}"), F.col(f"_s_{k}")), z_threshold).cast("int") for k in kpis]
-    any_ = F.greatest(*flags) if len(flags) > 1 else flags[0]
-    return rows.join(stats, entity, "left").select(*rows.columns, any_.alias("alert"))
+    flags = [over(zscore(F.col(k), F.col(f"_m_{k}"), F.col(f"_s_{k}")), z_threshold) for k in kpis]
+    return rows.join(stats, entity, "left").select(*rows.columns, _any(flags).alias("alert"))

@@ -6,19 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
-from tidemark.operators.islands import event_hits, run_ids
+from tidemark.operators.islands import event_hits
 
-NORMAL = "정상 구간"
+NORMAL = "정상 구간"  # fixed value: the text for the normal period
+
+
+def marked(df: DataFrame, entity: list[str], alert: str = "alert", order: str = "rn") -> DataFrame:
+    """df with run_id and event_id, the numbers of a row's alert run and event (null in none), and covered.
+
+    An event is a stretch of one non-empty scenario. It is an anomaly as a whole if any of its rows has a label: covered
+    holds on all rows of such events.
+    """
+    by = Window.partitionBy(*entity).orderBy(order)
+    on, name = F.coalesce(F.col(alert).cast("boolean"), F.lit(False)), F.coalesce(F.col("scenario"), F.lit(""))
+    rows = df.select("*", (on & ~F.coalesce(F.lag(on).over(by), F.lit(False))).cast("int").alias("_run"), ((name != F.lag(name, 1, "").over(by)) & (name != "")).cast("int").alias("_event"))
+    rows = rows.withColumn("run_id", F.when(on, F.sum("_run").over(by))).withColumn("event_id", F.when(name != "", F.sum("_event").over(by)))
+    labelled = F.max("label").over(Window.partitionBy(*entity, "event_id")) > 0
+    return rows.withColumn("covered", F.coalesce(F.col("event_id").isNotNull() & labelled, F.lit(False))).drop("_run", "_event")
 
 
 def alert_runs(df: DataFrame, entity: list[str], alert: str = "alert", order: str = "rn") -> DataFrame:
-    """(entity, run_id, start_rn, end_rn, is_false, location): a run that meets no labelled row is false.
+    """(entity, run_id, start_rn, end_rn, is_false, location): a run of which no row lies in an anomaly event is false.
 
     location: the distinct scenarios that the run overlaps, sorted and joined by commas, or the normal period.
     """
-    found = run_ids(df, alert, entity, [order])
     names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("scenario") != "", F.col("scenario")))), ",")
-    out = found.groupBy(*entity, "run_id").agg((F.min(order) - 1).alias("start_rn"), F.max(order).alias("end_rn"), (F.max("label") == 0).alias("is_false"), names.alias("_names"))
+    out = marked(df, entity, alert, order).where("run_id is not null").groupBy(*entity, "run_id").agg((F.min(order) - 1).alias("start_rn"), F.max(order).alias("end_rn"), (~F.max("covered")).alias("is_false"), names.alias("_names"))
     return out.select(*entity, "run_id", "start_rn", "end_rn", "is_false", F.when(F.col("_names") == "", F.lit(NORMAL)).otherwise(F.col("_names")).alias("location"))
 
 
@@ -30,23 +43,27 @@ def scores(tp: Column, fn: Column, fp: Column) -> list[Column]:
 def evaluate(df: DataFrame, entity: list[str], alert: str = "alert", order: str = "rn", minutes: float = 1.0) -> DataFrame:
     """A row for each entity: tp, fn, fp, precision, recall, f1 and mean minutes to detection (NaN without a hit).
 
-    df is read once: alert runs and labelled events are numbered in one window pass, and every row counts for its run
-    and for its event in one aggregate by unit.
+    df is read once: alert runs and events are numbered in one window pass, and every row counts for its run and for its
+    event in one aggregate by unit. A run is false if no row of it lies in an anomaly event, whatever the row's own label.
     """
-    by = Window.partitionBy(*entity).orderBy(order)
-    on, name = F.coalesce(F.col(alert).cast("boolean"), F.lit(False)), F.coalesce(F.col("scenario"), F.lit(""))
-    starts = {"run": on & ~F.coalesce(F.lag(on).over(by), F.lit(False)), "event": (name != F.lag(name, 1, "").over(by)) & (name != "")}
-    rows = df.select(*entity, F.col(order).alias("_at"), on.alias("_run"), (name != "").alias("_event"), F.col("label").alias("_label"), *[c.cast("int").alias(f"_{k}_starts") for k, c in starts.items()])
-    number = lambda k: F.struct(F.lit(k).alias("kind"), F.when(F.col(f"_{k}"), F.sum(f"_{k}_starts").over(Window.partitionBy(*entity).orderBy("_at"))).alias("id"))
-    rows = rows.select("*", F.array(number("run"), number("event")).alias("_units")).withColumn("_unit", F.explode("_units"))
-    units = rows.groupBy(*entity, "_unit").agg(F.max("_label").alias("label"), F.min(F.when(F.col("_run"), F.col("_at"))).alias("hit"), F.min("_at").alias("first"))
+    rows = marked(df, entity, alert, order).select(*entity, F.col(order).alias("_at"), "run_id", "event_id", "covered")
+    unit = lambda k: F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("id"))
+    rows = rows.select("*", F.explode(F.array(unit("run"), unit("event"))).alias("_unit"))
+    units = rows.groupBy(*entity, "_unit").agg(F.max("covered").alias("covered"), F.min(F.when(F.col("run_id").isNotNull(), F.col("_at"))).alias("hit"), F.min("_at").alias("first"))
     there, event = F.col("_unit.id").isNotNull(), F.col("_unit.kind") == "event"
-    wanted, hit = there & event & (F.col("label") > 0), F.col("hit").isNotNull()
+    wanted, hit = there & event & F.col("covered"), F.col("hit").isNotNull()
     delay = F.when(wanted, (F.col("hit") - F.col("first")) * F.lit(float(minutes)))
-    out = units.groupBy(*entity).agg(F.count_if(wanted & hit).alias("tp"), F.count_if(wanted & ~hit).alias("fn"), F.count_if(there & ~event & (F.col("label") == 0)).alias("fp"), F.avg(delay).alias("_mttd"))
+    out = units.groupBy(*entity).agg(F.count_if(wanted & hit).alias("tp"), F.count_if(wanted & ~hit).alias("fn"), F.count_if(there & ~event & ~F.col("covered")).alias("fp"), F.avg(delay).alias("_mttd"))
     return out.select(*entity, "tp", "fn", "fp", *scores(F.col("tp"), F.col("fn"), F.col("fp")), F.coalesce("_mttd", F.lit(float("nan"))).alias("mttd_min"))
 
 
+def both_detectors(df: DataFrame, detectors: dict[str, str]) -> DataFrame:
+    """Rows once for each detector, with its name in `detector` and its alerts in `alert`."""
+    each = F.array(*[F.struct(F.lit(n).alias("detector"), F.col(c).cast("int").alias("_a")) for n, c in detectors.items()])
+    out = df.withColumn("_d", F.explode(each))
+    return out.drop("alert").select(*[c for c in df.columns if c != "alert"], "_d.detector", F.col("_d._a").alias("alert"))
+
+
 def per_scenario(df: DataFrame, entity: list[str], alert: str = "alert", order: str = "rn", minutes: float = 1.0) -> DataFrame:
     """(entity, scenario, total, hit, mean_delay_min, delays_min) of labelled events; events without a hit have no delay."""
     return event_hits(df, entity, alert, order, minutes).where("is_anomaly").groupBy(*entity, "scenario").agg(F.count("*").alias("total"), F.count_if("hit").alias("hit"), F.avg("delay_min").alias("mean_delay_min"), F.sort_array(F.collect_list("delay_min")).alias("delays_min"))

@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DetectorSettings
 from tidemark.functions.scalars import over
-from tidemark.operators.detect import ewma, scored
 from tidemark.operators.evaluate import evaluate
+from tidemark.operators.ranges import smoothed
 
 
-def threshold_sweep(rows: DataFrame, train: DataFrame, kpis: list[str], base: DetectorSettings, thresholds: list[float], persistences: list[int], entity: list[str], minutes: float) -> DataFrame:
-    """(entity, z_threshold, persistence, metrics): scores are computed once, then met with the grid.
+def threshold_sweep(scores: DataFrame, kpis: list[str], base: DetectorSettings, thresholds: list[float], persistences: list[int], entity: list[str], minutes: float) -> DataFrame:
+    """(entity, z_threshold, persistence, metrics) of scored rows, which are smoothed once, then met with the grid.
 
     The grid is a small literal table; rows grow by its size only after scoring.
     """
-    by = Window.partitionBy(*entity).orderBy("rn")
-    z = scored(rows, train, kpis, base, entity)
-    z = z.select(*entity, "rn", "ts", "label", "scenario", *[ewma(F.col(f"raw_{k}"), base.alpha, by).alias(f"z_{k}") for k in kpis])
+    z = smoothed(scores, {f"z_{k}": F.col(f"raw_{k}") for k in kpis}, base.alpha, entity, ["rn"])
+    z = z.select(*entity, "rn", "ts", "label", "scenario", *[f"z_{k}" for k in kpis])
     grid = F.array(*[F.struct(F.lit(float(t)).alias("z_threshold"), F.lit(int(p)).alias("persistence")) for t in thresholds for p in persistences])
     g = z.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
     keys = [*entity, "z_threshold", "persistence"]
@@ -41,17 +40,18 @@ def _fires(kpis: list[str], keys: list[str], persistences: list[int]) -> Column:
     return alert
 
 
-def settings_sweep(rows: DataFrame, train: DataFrame, kpis: list[str], settings: list[DetectorSettings], entity: list[str], minutes: float) -> DataFrame:
-    """(entity, alpha, z_threshold, persistence, metrics) of each setting once, however often it is listed.
+def settings_sweep(scores: DataFrame, kpis: list[str], settings: list[DetectorSettings], entity: list[str], minutes: float) -> DataFrame:
+    """(entity, alpha, z_threshold, persistence, metrics) of scored rows for each setting once, however often it is listed.
 
-    The settings share bucket_minutes and min_samples: raw scores are computed once and smoothed once for each alpha.
+    The settings share bucket_minutes and min_samples, by which the rows are scored; they are smoothed once for each alpha.
     """
     if len({(s.bucket_minutes, s.min_samples) for s in settings}) != 1:
         raise ValueError("the settings of one sweep share bucket_minutes and min_samples")
-    by = Window.partitionBy(*entity).orderBy("rn")
     alphas = sorted({s.alpha for s in settings})
-    z = scored(rows, train, kpis, settings[0], entity)
-    z = z.select(*entity, "rn", "ts", "label", "scenario", *[ewma(F.col(f"raw_{k}"), a, by).alias(f"z_{k}_{i}") for k in kpis for i, a in enumerate(alphas)])
+    z = scores
+    for i, a in enumerate(alphas):
+        z = smoothed(z, {f"z_{k}_{i}": F.col(f"raw_{k}") for k in kpis}, a, entity, ["rn"])
+    z = z.select(*entity, "rn", "ts", "label", "scenario", *[f"z_{k}_{i}" for k in kpis for i in range(len(alphas))])
     each = dict.fromkeys((s.alpha, s.z_threshold, s.persistence) for s in settings)
     cells = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(t)).alias("z_threshold"), F.lit(int(p)).alias("persistence"), *[F.col(f"z_{k}_{alphas.index(a)}").alias(f"z_{k}") for k in kpis]) for a, t, p in each])
     g = z.select(*entity, "rn", "ts", "label", "scenario", F.explode(cells).alias("g")).select("*", "g.*").drop("g")

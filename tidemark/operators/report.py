@@ -33,9 +33,15 @@ def top_triggers(alerts: DataFrame, by: list[str], n: int = 5) -> DataFrame:
     return count.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def deviations(segment: DataFrame, normal: DataFrame, kpis: list[str], by: list[str]) -> DataFrame:
-    """(by, kpi, position, avg_dev, max_dev, rank): distances from normal in deviations, the furthest first."""
-    both = segment.join(normal, by)
+def segment_and_normal(rows: DataFrame, kpis: list[str], by: list[str]) -> DataFrame:
+    """segment_stats of the rows with `inside` and normal_stats of all rows, in one aggregate; groups without such rows are left out."""
+    here, normal = (lambda c: F.when(F.col("inside"), F.col(c))), (lambda c: F.when(F.col("scenario") == "", F.col(c)))
+    each = [f(v(k)).alias(f"{n}_{k}") for k in kpis for n, f, v in (("avg", F.avg, here), ("max", F.max, here), ("min", F.min, here), ("mean", F.avg, normal), ("std", F.stddev_samp, normal))]
+    return rows.groupBy(*by).agg(F.count_if("inside").alias("n_rows"), F.count_if(F.col("scenario") == "").alias("_normal"), *each).where("n_rows > 0 and _normal > 0").drop("_normal")
+
+
+def deviations(both: DataFrame, kpis: list[str], by: list[str]) -> DataFrame:
+    """(by, kpi, position, avg_dev, max_dev, rank) of segment_and_normal: distances from normal in deviations, the furthest first."""
     each = []
     for i, k in enumerate(kpis):
         m, sd = F.col(f"mean_{k}"), guarded(F.col(f"std_{k}"))
@@ -44,23 +50,59 @@ def deviations(segment: DataFrame, normal: DataFrame, kpis: list[str], by: list[
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs(F.round("max_dev", 9))), "position")))
 
 
-def fired(top: DataFrame, kpis: list[str], by: list[str]) -> DataFrame:
-    """(by, fired, not_fired) from the top triggers alone."""
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("trigger", ",")))))
-    return top.groupBy(*by).agg(names.alias("fired")).withColumn("not_fired", F.array_sort(F.array_except(F.array(*map(F.lit, kpis)), F.col("fired"))))
+def in_best_segment(df: DataFrame, entity: list[str], scenario: str | None = None, order: str = "rn", alert: str = "alert") -> DataFrame:
+    """df with start_ts and end_ts of the entity's segment with most alerts (the first of equals), and inside, whether the row is in [start_ts, end_ts).
+
+    A segment is a stretch under any scenario, or under the one given. All is windows over the entity; nothing is joined.
+    """
+    by = Window.partitionBy(*entity).orderBy(order)
+    on = F.col("scenario") == scenario if scenario is not None else F.col("scenario") != ""
+    on = F.coalesce(on, F.lit(False))
+    rows = df.withColumn("_on", on).withColumn("_edge", (on & ~F.coalesce(F.lag(on).over(by), F.lit(False))).cast("int"))
+    rows = rows.withColumn("_seg", F.when(F.col("_on"), F.sum("_edge").over(by)))
+    one = Window.partitionBy(*entity, "_seg")
+    found = F.when(F.col("_on"), F.struct(F.sum(alert).over(one).alias("n"), (-F.min(order).over(one)).alias("from"), F.min("ts").over(one).alias("start_ts"), F.max("ts").over(one).alias("end_ts")))
+    rows = rows.withColumn("_found", found).withColumn("_best", F.max("_found").over(Window.partitionBy(*entity)))
+    inside = F.coalesce(in_segment(F.col("_best.start_ts"), F.col("_best.end_ts")), F.lit(False))
+    return rows.select(*df.columns, F.col("_best.start_ts").alias("start_ts"), F.col("_best.end_ts").alias("end_ts"), inside.alias("inside"))
+
+
+def summary(frame: DataFrame, kpis: list[str], entity: list[str], z_threshold: float, scenario: str | None = None, most: int = 5) -> DataFrame:
+    """(entity, summary): one JSON document for the segment of every entity with one, from rows with alert and trigger.
+
+    Rows of the segment, alerts and the first of them, the most frequent triggers (ties by their text), and for every
+    KPI the means, the distances from normal in sample deviations and whether it fired, the furthest from normal first;
+    the threshold, and the KPIs that fired and that did not, by the triggers listed. The frame is read once, in one
+    aggregate by entity.
+    """
+    rows = in_best_segment(frame, entity, scenario).where("start_ts is not null")
+    told = F.col("inside") & (F.col("trigger") != "")
+    rows = rows.withColumn("_n", F.count(F.when(told, 1)).over(Window.partitionBy(*entity, "trigger")))
+    here, normal = (lambda c: F.when(F.col("inside"), F.col(c))), (lambda c: F.when(F.col("scenario") == "", F.col(c)))
+    aggregates = [F.count_if("inside").alias("n_rows"), F.coalesce(F.sum(here("alert")), F.lit(0)).cast("long").alias("n_alerts"), F.min(F.when(F.col("inside") & (F.col("alert") == 1), F.col("ts"))).alias("first_alert")]
+    aggregates += [f(v(k)).alias(f"{n}_{k}") for k in kpis for n, f, v in (("avg", F.avg, here), ("max", F.max, here), ("min", F.min, here), ("mean", F.avg, normal), ("std", F.stddev_samp, normal))]
+    counted = F.collect_set(F.when(told, F.struct((-F.col("_n")).alias("less"), "trigger")))  # one for each set of KPIs that fired together
+    out = rows.groupBy(*entity, "start_ts", "end_ts").agg(*aggregates, counted.alias("_triggers"))
+    out = out.withColumn("triggers", F.transform(F.slice(F.array_sort("_triggers"), 1, most), lambda t: F.struct(t["trigger"].alias("trigger"), (-t["less"]).alias("n"))))
+    out = out.withColumn("fired", F.array_sort(F.array_distinct(F.flatten(F.transform("triggers", lambda t: F.split(t["trigger"], ","))))))
+    each = []
+    for i, k in enumerate(kpis):
+        m, sd = F.col(f"mean_{k}"), guarded(F.col(f"std_{k}"))
+        far = F.round(larger((F.col(f"max_{k}") - m) / sd, (F.col(f"min_{k}") - m) / sd), 2)
+        each.append(F.struct((-F.abs(far)).alias("less"), F.lit(i).alias("position"), F.lit(k).alias("kpi"), F.round(m, 3).alias("normal_mean"), F.round(f"avg_{k}", 3).alias("segment_mean"), F.round((F.col(f"avg_{k}") - m) / sd, 2).alias("avg_dev"), far.alias("max_dev"), F.array_contains("fired", k).alias("fired")))
+    deviations = F.transform(F.array_sort(F.array(*each)), lambda d: d.dropFields("less", "position"))
+    doc = F.struct("start_ts", "end_ts", "n_rows", "n_alerts", "first_alert", "triggers", deviations.alias("deviations"), F.lit(float(z_threshold)).alias("z_threshold"), "fired", F.array_sort(F.array_except(F.array(*map(F.lit, kpis)), F.col("fired"))).alias("not_fired"))
+    return out.select(*entity, F.to_json(doc).alias("summary"))
+
+
+SUMMARY = "start_ts timestamp_ntz, end_ts timestamp_ntz, n_rows long, n_alerts long, first_alert timestamp_ntz, triggers array<struct<trigger:string,n:long>>, deviations array<struct<kpi:string,normal_mean:double,segment_mean:double,avg_dev:double,max_dev:double,fired:boolean>>, z_threshold double, fired array<string>, not_fired array<string>"
 
 
-def summary(metrics: DataFrame, alerts: DataFrame, segments: DataFrame, kpis: list[str], entity: list[str]) -> DataFrame:
-    """(entity, summary): one JSON document for the [start_ts, end_ts) segment of every entity."""
-    inside = lambda df: df.join(segments.select(*entity, "start_ts", "end_ts"), entity).where(in_segment(F.col("start_ts"), F.col("end_ts")))
-    seg, normal = segment_stats(inside(metrics), kpis, entity), normal_stats(metrics, kpis, entity)
-    dev = deviations(seg, normal, kpis, entity)
-    alert, top = alert_stats(inside(alerts), entity).withColumnRenamed("n_alerts", "alert_count"), top_triggers(inside(alerts), entity)
-    dev_doc = dev.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("rank", "kpi", F.round("avg_dev", 2).alias("avg_dev"), F.round("max_dev", 2).alias("max_dev")))).alias("deviations"))
-    top_doc = top.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("rank", "trigger", "n"))).alias("triggers"))
-    out = segments.select(*entity, "start_ts", "end_ts").join(alert, entity, "left").join(dev_doc, entity, "left").join(top_doc, entity, "left").join(fired(top, kpis, entity), entity, "left")
-    doc = F.to_json(F.struct(F.col("start_ts"), F.col("end_ts"), F.coalesce(F.col("alert_count"), F.lit(0)).alias("n_alerts"), "first_alert", "deviations", "triggers", "fired", "not_fired"))
-    return out.select(*entity, doc.alias("summary"))
+def fields(documents: DataFrame, entity: list[str]) -> DataFrame:
+    """A row for every KPI of every document, with the document's own fields; lists as text."""
+    parsed = documents.select(*entity, F.from_json("summary", SUMMARY).alias("d")).select(*entity, "d.*", F.posexplode("d.deviations").alias("rank", "k"))
+    triggers = F.array_join(F.transform("triggers", lambda t: F.concat(t["trigger"], F.lit(":"), t["n"].cast("string"))), " ")
+    return parsed.select(*entity, "start_ts", "end_ts", "n_rows", "n_alerts", "first_alert", triggers.alias("triggers"), (F.col("rank") + 1).alias("rank"), "k.kpi", "k.normal_mean", "k.segment_mean", "k.avg_dev", "k.max_dev", F.col("k.fired").alias("kpi_fired"), "z_threshold", F.array_join("fired", ",").alias("fired"), F.array_join("not_fired", ",").alias("not_fired"))
 
 
 def narrative(row: dict) -> str:

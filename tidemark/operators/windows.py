@@ -16,8 +16,9 @@ def numbered(df: DataFrame, entity: list[str], order: list[str], name: str = "rn
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*entity).orderBy(*order)))
 
 
-def sliding(df: DataFrame, values: list[str], size: int, stride: int = 1, how: str = "mean", entity: list[str] = (), order: list[str] = ("ts",), keep: list[str] = ()) -> DataFrame:
+def sliding(df: DataFrame, values: list[str], size: int, stride: int = 1, how: str = "mean", entity: list[str] = (), order: list[str] = ("ts",), keep: list[str] = (), number: str | None = None) -> DataFrame:
     """One row for each full window: aggregates of `values`; entity, order and `keep` columns of its last row.
+    With `number`, a column of this name has the 1-based number of the window in its entity.
 
     The first window ends at row max(size, stride), the next ones `stride` rows later each. Windows count
     rows: gaps in time do not matter. Entities with fewer rows give nothing.
@@ -29,7 +30,8 @@ def sliding(df: DataFrame, values: list[str], size: int, stride: int = 1, how: s
     out = df.select(*df.columns, F.row_number().over(by).alias("_rn"), *[agg(F.col(c)).over(frame).alias(f"_w_{c}") for c in values])
     out = out.where((F.col("_rn") >= first) & ((F.col("_rn") - first) % stride == 0))
     rest = [c for c in dict.fromkeys([*entity, *order, *keep]) if c not in values]
-    return out.select(*rest, *[F.col(f"_w_{c}").alias(c) for c in values])
+    at = [(F.floor((F.col("_rn") - first) / stride) + 1).cast("int").alias(number)] if number else []
+    return out.select(*rest, *[F.col(f"_w_{c}").alias(c) for c in values], *at)
 
 
 def expected_windows(rows: Column, size: int, stride: int) -> Column:

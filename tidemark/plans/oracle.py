@@ -7,9 +7,8 @@ from tidemark.plans.queries import ALPHAS, PERSISTENCES, THRESHOLDS
 
 KPIS = ("load", "errors", "avg_value")
 each = lambda f, sep=", ": sep.join(f.format(k=k) for k in KPIS)
-FOLD = 82  # rows after which 0.6 ** n is below 1e-18
 
-_EW = "list_reduce(list(raw_{k}) OVER (PARTITION BY cell ORDER BY rn ROWS BETWEEN %d PRECEDING AND CURRENT ROW), lambda a, x: x * 0.4::DOUBLE + a * 0.6::DOUBLE) AS z_{k}" % FOLD
+_EW = "list_reduce(list(raw_{k}) OVER (PARTITION BY cell ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: x * 0.4::DOUBLE + a * 0.6::DOUBLE) AS z_{k}"
 _HELD = "coalesce(sum(CASE WHEN abs(z_{k}) > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY cell ORDER BY rn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2, false) AS f_{k}"
 
 CTES = {
@@ -32,7 +31,7 @@ CTES = {
     "ns": f"SELECT cell, {each('avg({k}) AS m_{k}, stddev_samp({k}) AS s_{k}')} FROM train GROUP BY 1",
     "nai": "SELECT t.*, (" + each("abs((t.{k} - m_{k}) / CASE WHEN s_{k} > 0 THEN s_{k} ELSE 1.0 END) > 1.5", " OR ") + ")::INT AS alert FROM test t JOIN ns ON ns.cell = t.cell",
     "seg": "SELECT * EXCLUDE (run_id, k) FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n_alerts DESC, start_rn) AS k FROM (SELECT cell, run_id, min(rn) - 1 AS start_rn, max(rn) AS end_rn, min(ts) AS start_ts, max(ts) AS end_ts, sum(alert)::BIGINT AS n_alerts FROM (SELECT *, sum(edge) OVER (PARTITION BY cell ORDER BY rn) AS run_id FROM (SELECT *, (scenario <> '' AND lag(scenario, 1, '') OVER (PARTITION BY cell ORDER BY rn) = '')::INT AS edge FROM det)) WHERE scenario <> '' GROUP BY 1, 2)) WHERE k = 1",
-    "inseg": "SELECT d.* FROM det d JOIN seg s ON s.cell = d.cell WHERE d.ts >= s.start_ts AND d.ts < s.end_ts + INTERVAL 1 HOUR",
+    "inseg": "SELECT d.* FROM det d JOIN seg s ON s.cell = d.cell WHERE d.ts >= s.start_ts AND d.ts < s.end_ts",
     "log": "SELECT (user_id % 4)::INT AS partition, user_id AS key, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS \"offset\" FROM events",
 }
 
@@ -56,7 +55,8 @@ def _hits(source: str, minutes: float, keys: str = "cell") -> str:
 
 
 def _false(source: str, keys: str = "cell") -> str:
-    return f"SELECT {keys}, run_id, coalesce(nullif(array_to_string(list_sort(list_distinct(list(scenario) FILTER (scenario <> ''))), ','), ''), '{NORMAL}') AS location FROM ({_runs(source, keys=keys)}) GROUP BY {keys}, run_id HAVING max(label) = 0"
+    covered = f"(SELECT *, scenario <> '' AND max(label) OVER (PARTITION BY {keys}, stretch) > 0 AS covered FROM (SELECT *, sum(ch) OVER (PARTITION BY {keys} ORDER BY rn) AS stretch FROM (SELECT *, (scenario <> lag(scenario, 1, '') OVER (PARTITION BY {keys} ORDER BY rn))::INT AS ch FROM {source})))"
+    return f"SELECT {keys}, run_id, coalesce(nullif(array_to_string(list_sort(list_distinct(list(scenario) FILTER (scenario <> ''))), ','), ''), '{NORMAL}') AS location FROM ({_runs(covered, keys=keys)}) GROUP BY {keys}, run_id HAVING NOT bool_or(covered)"
 
 
 def _eval(source: str, minutes: float, keys: str = "cell") -> str:
@@ -81,6 +81,17 @@ _NRM = f"nrm AS (SELECT cell, {_NORMAL} FROM kpi WHERE scenario = '' GROUP BY 1)
 _SEGSTATS = "SELECT cell, count(*) AS n_rows, " + each("avg({k}) AS avg_{k}, max({k}) AS max_{k}, min({k}) AS min_{k}") + " FROM inseg GROUP BY 1"
 _SD = "CASE WHEN s_{k} > 0 THEN s_{k} ELSE 1.0 END"
 _DEV = " UNION ALL ".join(f"SELECT s.cell, '{k}' AS kpi, {i} AS position, (avg_{k} - m_{k}) / {_SD.format(k=k)} AS avg_dev, CASE WHEN abs((max_{k} - m_{k}) / {_SD.format(k=k)}) >= abs((min_{k} - m_{k}) / {_SD.format(k=k)}) THEN (max_{k} - m_{k}) / {_SD.format(k=k)} ELSE (min_{k} - m_{k}) / {_SD.format(k=k)} END AS max_dev FROM ss s JOIN dn ON dn.cell = s.cell" for i, k in enumerate(KPIS))
+_FIRED = (
+    "trig AS (SELECT cell, trigger, count(*) AS n, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, trigger) AS k FROM inseg WHERE trigger <> '' GROUP BY 1, 2 QUALIFY k <= 5), "
+    "fired AS (SELECT cell, string_agg(trigger || ':' || n, ' ' ORDER BY k) AS triggers, list_sort(list_distinct(flatten(list(string_split(trigger, ','))))) AS f FROM trig GROUP BY 1)"
+)
+_INCIDENT = (
+    "SELECT d.cell, s.start_ts, s.end_ts, ss.n_rows, (SELECT coalesce(sum(alert), 0)::BIGINT FROM inseg i WHERE i.cell = d.cell) AS n_alerts, (SELECT min(ts) FROM inseg i WHERE i.cell = d.cell AND alert = 1) AS first_alert, "
+    "coalesce(triggers, '') AS triggers, row_number() OVER (PARTITION BY d.cell ORDER BY abs(round(max_dev, 2)) DESC, position)::INT AS rank, kpi, round(CASE kpi " + " ".join(f"WHEN '{k}' THEN m_{k}" for k in KPIS) + " END, 3) AS normal_mean, "
+    "round(CASE kpi " + " ".join(f"WHEN '{k}' THEN avg_{k}" for k in KPIS) + " END, 3) AS segment_mean, round(avg_dev, 2) AS avg_dev, round(max_dev, 2) AS max_dev, coalesce(list_contains(f, kpi), false) AS kpi_fired, 1.0::DOUBLE AS z_threshold, "
+    "coalesce(array_to_string(f, ','), '') AS fired, array_to_string(list_sort(list_filter(['" + "', '".join(KPIS) + "'], lambda x: NOT coalesce(list_contains(f, x), false))), ',') AS not_fired "
+    "FROM dv d JOIN seg s ON s.cell = d.cell JOIN ss ON ss.cell = d.cell JOIN dn ON dn.cell = d.cell LEFT JOIN fired ON fired.cell = d.cell"
+)
 _EMIT = "em AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY \"offset\") AS rn FROM log)"
 
 
@@ -101,7 +112,7 @@ _SWEPT = f"swept AS (SELECT cell, rn, ts, label, scenario, z_threshold, persiste
 
 _SETTINGS = "settings AS (SELECT DISTINCT alpha::DOUBLE AS alpha, z_threshold::DOUBLE AS z_threshold, persistence::INT AS persistence FROM (VALUES " + ", ".join([*(f"({a}, 1.0, 2)" for a in ALPHAS), *(f"(0.4, {t}, 2)" for t in THRESHOLDS), *(f"(0.4, 1.0, {p})" for p in PERSISTENCES)]) + ") v(alpha, z_threshold, persistence))"
 _KEYS = "cell, alpha, z_threshold, persistence"
-_SMOOTH = f"smooth AS (SELECT rn, ts, label, scenario, {_KEYS}, " + each("list_reduce(list(raw_{k}) OVER (PARTITION BY cell, alpha, z_threshold, persistence ORDER BY rn ROWS BETWEEN 130 PRECEDING AND CURRENT ROW), lambda a, x: x * alpha + a * (1 - alpha)) AS z_{k}") + " FROM z, settings)"
+_SMOOTH = f"smooth AS (SELECT rn, ts, label, scenario, {_KEYS}, " + each("list_reduce(list(raw_{k}) OVER (PARTITION BY cell, alpha, z_threshold, persistence ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: x * alpha + a * (1 - alpha)) AS z_{k}") + " FROM z, settings)"
 _ONE_AT_A_TIME = f"swept AS (SELECT rn, ts, label, scenario, {_KEYS}, ({_FIRE.replace('cell, z_threshold, persistence', _KEYS)})::INT AS alert FROM smooth)"
 _SPREAD = ", ".join(f"round({f}(CASE WHEN NOT isnan({c}) THEN {c} END), 6) AS {c}_{n}" for c in ("precision", "recall", "mttd_min") for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max")))
 
@@ -115,6 +126,7 @@ ORACLES = {
     "win_gap_stride_gt_size": _win("user_id", 3, 7, "avg(value)"),
     "stream_windows_by_user": _win("user_id", 5, 1, "avg(value)"),
     "rolling_zscore_60": "SELECT event_type, event_id, round(CASE WHEN rn >= 60 AND s > 0 THEN (value - m) / s END, 6) AS z FROM (SELECT event_type, event_id, value, row_number() OVER w AS rn, avg(value) OVER f AS m, stddev_samp(value) OVER f AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id), f AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))",
+    "ewma_by_event_type": "WITH RECURSIVE o AS MATERIALIZED (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events), s AS (SELECT event_type, event_id, rn, value AS v FROM o WHERE rn = 1 UNION ALL SELECT o.event_type, o.event_id, o.rn, 0.01::DOUBLE * o.value + 0.99::DOUBLE * s.v FROM s JOIN o ON o.event_type = s.event_type AND o.rn = s.rn + 1) SELECT event_type, event_id, round(v, 6) AS smooth_value FROM s",
     "kpi_frame": sql("SELECT cell, ts, round(load, 6) AS load, round(errors, 6) AS errors, round(avg_value, 6) AS avg_value, label, scenario, rn FROM kpi"),
     "kpi_windows": sql("SELECT cell, ts, label, scenario, rn, " + each("round({k}, 6) AS {k}") + " FROM win"),
     "bucket_keys": "SELECT ((isodow(ts) >= 6)::INT * 48 + (hour(ts) * 60 + minute(ts)) // 30)::INT AS bucket, count(*) AS n FROM events GROUP BY 1",
@@ -129,6 +141,9 @@ ORACLES = {
     "scenario_events": sql(f"SELECT cell, event_id::BIGINT AS event_id, first(scenario) AS scenario, (min(rn) - 1)::INT AS start_rn, max(rn) AS end_rn, max(label) > 0 AS is_anomaly FROM ({_events('kpi')}) GROUP BY cell, event_id"),
     "event_hits_delay": sql(_hits("det", 60)),
     "evaluate_metrics": sql(_eval("det", 60)),
+    "evaluate_mixed_events": sql(_eval("mixed", 60), "mixed AS (SELECT * REPLACE ((scenario <> '' AND rn % 3 = 0)::INT AS label) FROM det)"),
+    "delays_by_scenario": sql(f"SELECT cell, scenario, (row_number() OVER (PARTITION BY cell, scenario ORDER BY delay_min) - 1)::INT AS place, delay_min FROM ({_hits('det', 60)}) WHERE is_anomaly AND delay_min IS NOT NULL"),
+    "incident_summary": sql(_INCIDENT, f"ss AS ({_SEGSTATS})", f"dn AS (SELECT cell, {_NORMAL} FROM det WHERE scenario = '' GROUP BY 1)", f"dv AS ({_DEV})", _FIRED),
     "evaluate_per_scenario": sql(f"SELECT cell, scenario, count(*) AS total, count(*) FILTER (hit) AS hit, round(avg(delay_min), 6) AS mean_delay_min FROM ({_hits('det', 60)}) WHERE is_anomaly GROUP BY 1, 2"),
     "fp_by_location": sql(f"SELECT cell, location, count(*) AS n_false FROM ({_false('det')}) GROUP BY 1, 2"),
     "fp_reduction": sql(f"SELECT cell, a.fp AS fp_proposed, b.fp AS fp_naive, round(CASE WHEN b.fp <> 0 THEN (1 - a.fp / b.fp::DOUBLE) * 100 ELSE 'nan'::DOUBLE END, 6) AS reduction_pct FROM ({_eval('det', 1)}) a JOIN ({_eval('nai', 1)}) b USING (cell)"),

@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import bucket_key, broker_partition, elapsed_ms, over
 from tidemark.operators import detect as D
 from tidemark.operators import evaluate as V
-from tidemark.operators import experiments, islands, reconcile, report, validate
-from tidemark.operators.windows import expected_windows, rolling_zscore, sliding
-from tidemark.plans.frames import ENTITY, KPIS, NAIVE_Z, SETTINGS, SIZE, WARMUP, detected, events, kpi_hourly, naive, parts, windowed
+from tidemark.operators import experiments, islands, ranges, reconcile, report, validate
+from tidemark.operators.windows import expected_windows, sliding
+from tidemark.plans.frames import ENTITY, KPIS, NAIVE_Z, SETTINGS, SIZE, WARMUP, compared, detected, events, kpi_hourly, naive, parts, scores, windowed
 from tidemark.streaming import replay
 from tidemark.streaming.sink import first_wins
 from tidemark.streaming.windows import keyed_windows
@@ -55,7 +55,9 @@ def win_max_stride2(spark, sf_dir):
 
 @query
 def win_p95_event_type(spark, sf_dir):
-    return _events_windows(spark, sf_dir, "event_type", 5, 1, "p95")
+    """Few entities, each of many rows: windows over ranges of time."""
+    ev = events(spark, sf_dir).select("event_type", "ts", "event_id", "value")
+    return rounded(ranges.sliding(ev, ["value"], 5, 1, "p95", ["event_type"], ["ts", "event_id"]))
 
 
 @query
@@ -66,7 +68,14 @@ def win_gap_stride_gt_size(spark, sf_dir):
 @query
 def rolling_zscore_60(spark, sf_dir):
     ev = events(spark, sf_dir).select("event_type", "ts", "event_id", "value")
-    return rolling_zscore(ev, "value", 60, ["event_type"], ["ts", "event_id"]).select("event_type", "event_id", r6("z", "z"))
+    return ranges.rolling_zscore(ev, "value", 60, ["event_type"], ["ts", "event_id"]).select("event_type", "event_id", r6("z", "z"))
+
+
+@query
+def ewma_by_event_type(spark, sf_dir):
+    """A slow average of few entities of many rows."""
+    ev = events(spark, sf_dir).select("event_type", "ts", "event_id", "value")
+    return rounded(ranges.smoothed_ranges(ev, ["value"], 0.01, ["event_type"], ["ts", "event_id"]).select("event_type", "event_id", "smooth_value"))
 
 
 @query
@@ -97,8 +106,7 @@ def baseline_global_stats(spark, sf_dir):
 
 @query
 def zscore_with_fallback(spark, sf_dir):
-    train, test = parts(spark, sf_dir)
-    return rounded(D.scored(test, train, KPIS, SETTINGS, ENTITY).select("cell", "rn", "bucket", *[f"raw_{k}" for k in KPIS]))
+    return rounded(scores(spark, sf_dir).select("cell", "rn", "bucket", *[f"raw_{k}" for k in KPIS]))
 
 
 @query
@@ -108,12 +116,8 @@ def ewma_z(spark, sf_dir):
 
 @query
 def persistence_runs(spark, sf_dir):
-    from pyspark.sql import Window
-
-    train, test = parts(spark, sf_dir)
-    z = D.scored(test, train, KPIS, SETTINGS, ENTITY)
     held = islands.persisted(over(F.round("raw_load", 9), 1.0), 3, Window.partitionBy("cell").orderBy("rn"))
-    return z.select("cell", "rn", held.cast("int").alias("held"))
+    return scores(spark, sf_dir).select("cell", "rn", held.cast("int").alias("held"))
 
 
 @query
@@ -146,6 +150,20 @@ def evaluate_metrics(spark, sf_dir):
     return rounded(V.evaluate(detected(spark, sf_dir), ENTITY, minutes=60.0))
 
 
+@query
+def evaluate_mixed_events(spark, sf_dir):
+    """Events in which every third row alone has a label count as anomalies as a whole."""
+    det = detected(spark, sf_dir).withColumn("label", ((F.col("scenario") != "") & (F.col("rn") % 3 == 0)).cast("int"))
+    return rounded(V.evaluate(det, ENTITY, minutes=60.0))
+
+
+@query
+def delays_by_scenario(spark, sf_dir):
+    """The minutes to detection of every event with a hit, in order of size."""
+    lists = V.per_scenario(detected(spark, sf_dir), ENTITY, minutes=60.0)
+    return lists.select("cell", "scenario", F.posexplode("delays_min").alias("place", "delay_min"))
+
+
 @query
 def evaluate_per_scenario(spark, sf_dir):
     return rounded(V.per_scenario(detected(spark, sf_dir), ENTITY, minutes=60.0).drop("delays_min"))
@@ -164,9 +182,9 @@ def fp_by_location(spark, sf_dir):
 
 @query
 def fp_reduction(spark, sf_dir):
-    a = V.evaluate(detected(spark, sf_dir), ENTITY).select("cell", F.col("fp").alias("fp_proposed"))
-    b = V.evaluate(naive(spark, sf_dir), ENTITY).select("cell", F.col("fp").alias("fp_naive"))
-    return rounded(a.join(b, "cell").withColumn("reduction_pct", V.reduction(F.col("fp_proposed"), F.col("fp_naive"))))
+    both = V.both_detectors(compared(spark, sf_dir), {"proposed": "alert", "naive": "naive_alert"})
+    fp = V.evaluate(both, ["cell", "detector"]).groupBy("cell").agg(*[F.max(F.when(F.col("detector") == d, F.col("fp"))).alias(f"fp_{d}") for d in ("proposed", "naive")])
+    return rounded(fp.withColumn("reduction_pct", V.reduction(F.col("fp_proposed"), F.col("fp_naive"))))
 
 
 @query
@@ -180,9 +198,8 @@ def scenario_alert_summary(spark, sf_dir):
 
 
 def _segment(spark, sf_dir):
-    det = detected(spark, sf_dir)
-    seg = islands.best_segment(det, ENTITY).select("cell", "start_ts", "end_ts")
-    return det, det.join(seg, "cell").where(report.in_segment(F.col("start_ts"), F.col("end_ts") + F.expr("interval 1 hour")))
+    """Rows of each cell's best segment, [start_ts, end_ts): its last row is out."""
+    return report.in_best_segment(detected(spark, sf_dir), ENTITY).where("inside")
 
 
 @query
@@ -192,7 +209,7 @@ def best_segment(spark, sf_dir):
 
 @query
 def segment_summary(spark, sf_dir):
-    return rounded(report.segment_stats(_segment(spark, sf_dir)[1], KPIS, ENTITY))
+    return rounded(report.segment_stats(_segment(spark, sf_dir), KPIS, ENTITY))
 
 
 @query
@@ -202,7 +219,7 @@ def normal_reference_stats(spark, sf_dir):
 
 @query
 def segment_alerts(spark, sf_dir):
-    return report.alert_stats(_segment(spark, sf_dir)[1], ENTITY)
+    return report.alert_stats(_segment(spark, sf_dir), ENTITY)
 
 
 @query
@@ -212,31 +229,27 @@ def top_triggers(spark, sf_dir):
 
 @query
 def kpi_deviation_rank(spark, sf_dir):
-    det, seg = _segment(spark, sf_dir)
-    return rounded(report.deviations(report.segment_stats(seg, KPIS, ENTITY), report.normal_stats(det, KPIS, ENTITY), KPIS, ENTITY))
+    stats = report.segment_and_normal(report.in_best_segment(detected(spark, sf_dir), ENTITY), KPIS, ENTITY)
+    return rounded(report.deviations(stats, KPIS, ENTITY))
 
 
 @query
 def incident_summary(spark, sf_dir):
-    det = detected(spark, sf_dir)
-    return report.summary(det, det, islands.best_segment(det, ENTITY), KPIS, ENTITY)
+    """The fields of every cell's document, a row for each KPI."""
+    return report.fields(report.summary(detected(spark, sf_dir), KPIS, ENTITY, SETTINGS.z_threshold), ENTITY)
 
 
 @query
 def naive_only_fp_longest(spark, sf_dir):
-    a = detected(spark, sf_dir).select("cell", "rn", "ts", "label", F.col("alert").alias("proposed"))
-    b = naive(spark, sf_dir).select("cell", "rn", F.col("alert").alias("naive"))
-    both = a.join(b, ["cell", "rn"]).withColumn("false_naive", (F.col("naive") == 1) & (F.col("label") == 0))
-    return islands.longest_run_without(both, "false_naive", "proposed", ENTITY)
+    both = compared(spark, sf_dir).withColumn("false_naive", (F.col("naive_alert") == 1) & (F.col("label") == 0))
+    return islands.longest_run_without(both, "false_naive", "alert", ENTITY)
 
 
 @query
 def latency_percentiles(spark, sf_dir):
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("part").orderBy("event_id")
     ev = events(spark, sf_dir).select((F.col("user_id") % 4).alias("part"), "event_id", "ts")
-    lag = ev.select("part", elapsed_ms(F.lead("ts").over(by), F.col("ts")).alias("ms")).where("ms is not null")
+    gaps = ranges.before(ev, ["ts"], ["part"], ["event_id"])
+    lag = gaps.select("part", elapsed_ms(F.col("ts"), F.col("before_ts")).alias("ms")).where("ms is not null")
     return rounded(lag.groupBy("part").agg(F.count("*").alias("n"), F.percentile("ms", F.lit(0.5)).alias("p50"), F.percentile("ms", F.lit(0.95)).alias("p95"), F.max("ms").alias("max_ms")))
 
 
@@ -297,8 +310,6 @@ def idempotent_upsert(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    from pyspark.sql import Window
-
     ev = events(spark, sf_dir).select((F.col("user_id") % 4).cast("int").alias("partition"), F.col("user_id").alias("key"), "event_id")
     offset = F.row_number().over(Window.partitionBy("partition").orderBy("event_id")) - 1
     return ev.select("partition", "key", offset.cast("long").alias("offset"))
@@ -322,20 +333,19 @@ def crash_loss_matrix(spark, sf_dir):
 @query
 def commit_regressions(spark, sf_dir):
     ev = events(spark, sf_dir).select((F.col("user_id") % 4).cast("int").alias("part"), "event_id", (F.col("event_id") - F.col("event_id") % 7 * 3).alias("position"))
-    return islands.regressions(ev, "part", "event_id", "position")
+    back = ranges.before(ev, ["position"], ["part"], ["event_id"])
+    return back.groupBy("part").agg(F.count_if(F.col("position") < F.col("before_position")).alias("n_regressions"))
 
 
 @query
 def param_sweep_eval(spark, sf_dir):
-    train, test = parts(spark, sf_dir)
-    return rounded(experiments.threshold_sweep(test, train, KPIS, SETTINGS, THRESHOLDS, PERSISTENCES, ENTITY, 60.0))
+    return rounded(experiments.threshold_sweep(scores(spark, sf_dir), KPIS, SETTINGS, THRESHOLDS, PERSISTENCES, ENTITY, 60.0))
 
 
 @query
 def sweep_one_at_a_time(spark, sf_dir):
-    train, test = parts(spark, sf_dir)
     settings = experiments.variants(SETTINGS, alpha=ALPHAS, z_threshold=THRESHOLDS, persistence=PERSISTENCES)
-    return rounded(experiments.settings_sweep(test, train, KPIS, settings, ENTITY, 60.0))
+    return rounded(experiments.settings_sweep(scores(spark, sf_dir), KPIS, settings, ENTITY, 60.0))
 
 
 @query

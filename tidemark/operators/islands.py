@@ -58,14 +58,20 @@ def longest_run_without(df: DataFrame, flag: str, other: str, entity: list[str],
     return found.where("_other = 0").withColumn("_k", F.row_number().over(best)).where("_k = 1").select(*entity, "start_rn", "end_rn", "n_rows")
 
 
-def best_segment(df: DataFrame, entity: list[str], order: str = "rn", alert: str = "alert") -> DataFrame:
-    """For each entity the stretch under any scenario with most alerts; the first of equals."""
-    marked = df.withColumn("_seg", F.col("scenario") != "")
+def best_segment(df: DataFrame, entity: list[str], order: str = "rn", alert: str = "alert", scenario: str | None = None) -> DataFrame:
+    """For each entity the stretch under any scenario, or the one given, with most alerts; the first of equals."""
+    marked = df.withColumn("_seg", F.col("scenario") == scenario if scenario is not None else F.col("scenario") != "")
     found = run_ids(marked, "_seg", entity, [order]).groupBy(*entity, "run_id").agg((F.min(order) - 1).alias("start_rn"), F.max(order).alias("end_rn"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.sum(alert).cast("long").alias("n_alerts"))
     best = Window.partitionBy(*entity).orderBy(F.desc("n_alerts"), "start_rn")
     return found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "run_id")
 
 
+def segments(df: DataFrame, entity: list[str], scenario: str | None = None, order: str = "rn") -> DataFrame:
+    """(entity, segment, start_rn, end_rn): all stretches under any scenario, or the one given; half-open in rows, counted from 1."""
+    marked = df.withColumn("_seg", F.col("scenario") == scenario if scenario is not None else F.col("scenario") != "")
+    return run_ids(marked, "_seg", entity, [order]).groupBy(*entity, F.col("run_id").alias("segment")).agg(F.min(order).alias("start_rn"), (F.max(order) + 1).alias("end_rn"))
+
+
 def regressions(df: DataFrame, partition: str, order: str, position: str) -> DataFrame:
     """(partition, n_regressions): how often a committed position falls below the one before."""
     by = Window.partitionBy(partition).orderBy(order)

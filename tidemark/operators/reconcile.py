@@ -42,3 +42,33 @@ def skew(df: DataFrame, key: str, partition: str, partitions: int) -> DataFrame:
     out = spine.join(n, partition, "left").fillna(0, ["n_keys", "n_rows"])
     ratio = out.agg((F.max("n_keys") / F.avg("n_keys")).alias("max_over_mean"))
     return out.crossJoin(F.broadcast(ratio))  # one row
+
+
+def _digests(df: DataFrame, keys: list[str], values: list[str], side: str, buckets: int) -> DataFrame:
+    row = F.xxhash64(*keys, *[x for v in values for x in (F.col(v).isNull(), F.col(v))]).cast("decimal(20,0)")
+    return df.groupBy(_bucket(keys, buckets).alias("bucket")).agg(F.count("*").alias(f"n_{side}"), F.sum(row).alias(f"sum_{side}"))
+
+
+def _bucket(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(F.lit("bucket"), *keys), F.lit(buckets)).cast("int")
+
+
+def differing(expected: DataFrame, got: DataFrame, keys: list[str], values: list[str], buckets: int = 1024) -> DataFrame:
+    """(keys, difference, e_<value>..., g_<value>...): rows that are missing, extra or mismatched, keys being unique on each side.
+
+    Each side is first summed up by hash bucket of the key: the number of rows and the sum of row hashes, which do not
+    depend on order. Only buckets whose sums differ are compared row by row, where values within a relative and absolute
+    1e-9 are equal, and so are two nulls and two NaN. Equal frames cost one aggregate each. The buckets' numbers are broadcast: `buckets` at most.
+    """
+    e, g = _digests(expected, keys, values, "e", buckets), _digests(got, keys, values, "g", buckets)
+    apart = e.join(g, "bucket", "full_outer").where(~(F.col("n_e").eqNullSafe(F.col("n_g")) & F.col("sum_e").eqNullSafe(F.col("sum_g")))).select("bucket")
+    inside = lambda df: df.withColumn("bucket", _bucket(keys, buckets)).join(F.broadcast(apart), "bucket", "left_semi")
+    e = inside(expected).select(*keys, *[F.col(v).alias(f"e_{v}") for v in values], F.lit(1).alias("_e"))
+    g = inside(got).select(*keys, *[F.col(v).alias(f"g_{v}") for v in values], F.lit(1).alias("_g"))
+    same = F.lit(True)
+    for v in values:
+        a, b = F.col(f"e_{v}"), F.col(f"g_{v}")
+        same = same & (a.eqNullSafe(b) | near(a, b) if dict(expected.dtypes)[v] in ("double", "float") else a.eqNullSafe(b))
+    kind = F.when(F.col("_g").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(~same, "mismatched")
+    out = e.join(g, keys, "full_outer").withColumn("difference", kind).where("difference is not null")
+    return out.select(*keys, "difference", *[f"{s}_{v}" for v in values for s in ("e", "g")])

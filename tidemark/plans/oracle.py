@@ -92,6 +92,8 @@ _INCIDENT = (
     "coalesce(array_to_string(f, ','), '') AS fired, array_to_string(list_sort(list_filter(['" + "', '".join(KPIS) + "'], lambda x: NOT coalesce(list_contains(f, x), false))), ',') AS not_fired "
     "FROM dv d JOIN seg s ON s.cell = d.cell JOIN ss ON ss.cell = d.cell JOIN dn ON dn.cell = d.cell LEFT JOIN fired ON fired.cell = d.cell"
 )
+_POINTS = "SELECT cell, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS r FROM (SELECT cell, count(*) FILTER (alert = 1 AND label = 1) AS tp, count(*) FILTER (alert = 1 AND label <> 1) AS fp, count(*) FILTER (alert <> 1 AND label = 1) AS fn FROM {t} GROUP BY 1))"
+_GOT = "got AS (SELECT user_id, event_id, value + CASE WHEN event_id % 101 = 0 THEN 0.5 ELSE 0.0 END AS value FROM events WHERE event_id % 97 <> 0 UNION ALL SELECT user_id, -event_id - 1, value FROM events WHERE event_id % 211 = 0)"
 _EMIT = "em AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY \"offset\") AS rn FROM log)"
 
 
@@ -147,7 +149,7 @@ ORACLES = {
     "evaluate_per_scenario": sql(f"SELECT cell, scenario, count(*) AS total, count(*) FILTER (hit) AS hit, round(avg(delay_min), 6) AS mean_delay_min FROM ({_hits('det', 60)}) WHERE is_anomaly GROUP BY 1, 2"),
     "fp_by_location": sql(f"SELECT cell, location, count(*) AS n_false FROM ({_false('det')}) GROUP BY 1, 2"),
     "fp_reduction": sql(f"SELECT cell, a.fp AS fp_proposed, b.fp AS fp_naive, round(CASE WHEN b.fp <> 0 THEN (1 - a.fp / b.fp::DOUBLE) * 100 ELSE 'nan'::DOUBLE END, 6) AS reduction_pct FROM ({_eval('det', 1)}) a JOIN ({_eval('nai', 1)}) b USING (cell)"),
-    "point_confusion": sql("SELECT cell, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS r FROM (SELECT cell, count(*) FILTER (alert = 1 AND label = 1) AS tp, count(*) FILTER (alert = 1 AND label <> 1) AS fp, count(*) FILTER (alert <> 1 AND label = 1) AS fn FROM nai GROUP BY 1))"),
+    "point_confusion": sql(_POINTS.format(t="nai")),
     "scenario_alert_summary": sql("SELECT cell, scenario, count(*) AS n_rows, sum(alert)::BIGINT AS n_alerts FROM det GROUP BY 1, 2"),
     "best_segment": sql("SELECT cell, start_rn::INT AS start_rn, end_rn, start_ts, end_ts, n_alerts FROM seg"),
     "segment_summary": sql("SELECT cell, n_rows, " + each("round(avg_{k}, 6) AS avg_{k}, round(max_{k}, 6) AS max_{k}, round(min_{k}, 6) AS min_{k}") + f" FROM ({_SEGSTATS})"),
@@ -156,13 +158,22 @@ ORACLES = {
     "top_triggers": sql("SELECT * FROM (SELECT cell, trigger, count(*) AS n, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, trigger)::INT AS rank FROM det WHERE trigger <> '' GROUP BY 1, 2) WHERE rank <= 3"),
     "kpi_deviation_rank": sql("SELECT cell, kpi, position, round(avg_dev, 6) AS avg_dev, round(max_dev, 6) AS max_dev, row_number() OVER (PARTITION BY cell ORDER BY abs(round(max_dev, 9)) DESC, position)::INT AS rank FROM dv", f"ss AS ({_SEGSTATS})", f"dn AS (SELECT cell, {_NORMAL} FROM det WHERE scenario = '' GROUP BY 1)", f"dv AS ({_DEV})"),
     "naive_only_fp_longest": sql("SELECT cell, start_rn, end_rn, n_rows FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n_rows DESC, start_rn) AS k FROM (SELECT cell, run_id, (min(rn) - 1)::INT AS start_rn, max(rn) AS end_rn, count(*) AS n_rows, max(proposed) AS o FROM (" + _runs("(SELECT d.cell, d.rn, d.alert AS proposed, (n.alert = 1 AND d.label = 0) AS fn_ FROM det d JOIN nai n ON n.cell = d.cell AND n.rn = d.rn)", "fn_") + ") GROUP BY 1, 2) WHERE o = 0) WHERE k = 1"),
+    "best_segment_of_scenario": sql("SELECT cell, (start_rn - 1)::INT AS start_rn, end_rn::INT AS end_rn, start_ts, end_ts, n_alerts FROM (SELECT cell, run_id, min(rn) AS start_rn, max(rn) AS end_rn, min(ts) AS start_ts, max(ts) AS end_ts, sum(alert)::BIGINT AS n_alerts FROM (" + _runs("det", "scenario = 'view_surge'") + ") GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY n_alerts DESC, start_rn) = 1"),
+    "rows_around_bursts": sql("SELECT d.cell, b.run_id::BIGINT AS segment, d.rn, (d.rn - b.lo)::INT AS place, d.alert FROM det d JOIN (SELECT cell, run_id, min(rn) AS lo, max(rn) AS hi FROM (" + _runs("det", "scenario = 'error_burst'") + ") GROUP BY 1, 2) b ON b.cell = d.cell AND d.rn BETWEEN b.lo - 2 AND b.hi + 2"),
+    "naive_only_fp_slice": sql("SELECT b.cell, b.rn, ts, round(load, 6) AS load, label, alert, naive_alert FROM both_ b JOIN longest l ON l.cell = b.cell AND b.rn BETWEEN l.lo - 3 AND l.hi + 3", "both_ AS (SELECT d.*, n.alert AS naive_alert FROM det d JOIN nai n ON n.cell = d.cell AND n.rn = d.rn)", "longest AS (SELECT cell, lo, hi FROM (SELECT cell, run_id, min(rn) AS lo, max(rn) AS hi, max(alert) AS o FROM (" + _runs("both_", "(naive_alert = 1 AND label = 0)") + ") GROUP BY 1, 2) WHERE o = 0 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY hi - lo DESC, lo) = 1)"),
+    "plot_series": sql("SELECT cell, pixel, min(ts) AS start, max(ts) AS \"end\", count(*) AS n_rows, " + ", ".join(f"round({f}, 6) AS {n}_{k}" for k in ("load", "avg_value") for n, f in (("min", f"min({k})"), ("max", f"max({k})"), ("first", f"arg_min({k}, rn)"), ("last", f"arg_max({k}, rn)"))) + ", sum(alert)::BIGINT AS n_alert, sum(naive)::BIGINT AS n_naive_alert FROM (SELECT d.*, n.alert AS naive, ((row_number() OVER (PARTITION BY d.cell ORDER BY d.rn) - 1) * 40 // count(*) OVER (PARTITION BY d.cell))::INT AS pixel FROM det d JOIN nai n ON n.cell = d.cell AND n.rn = d.rn) GROUP BY 1, 2"),
+    "plot_shading": sql(" UNION ALL ".join(f"SELECT cell, '{kind}' AS kind, (min(rn) - 1)::INT AS start_rn, max(rn) AS end_rn, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_rows FROM ({_runs('det', flag)}) GROUP BY cell, run_id" for kind, flag in (("alert", "(alert = 1)"), ("anomaly", "(label = 1)"), ("trap", "(scenario <> '' AND label = 0)")))),
+    "skeleton_confusion": sql(_POINTS.format(t="sk"), "sk AS (SELECT cell, label, coalesce(abs(round(z, 9)) > 1.5, false)::INT AS alert FROM (SELECT cell, label, CASE WHEN rn >= 24 AND s > 0 THEN (load - m) / s END AS z FROM (SELECT cell, label, load, rn, avg(load) OVER f AS m, stddev_samp(load) OVER f AS s FROM kpi WINDOW f AS (PARTITION BY cell ORDER BY rn ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))))"),
+    "latency_produced_to_ingested": "SELECT part, count(*) AS n, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(max(ms), 6) AS max FROM (SELECT user_id % 4 AS part, (epoch_us(date_trunc('hour', ts) + INTERVAL 1 HOUR) - epoch_us(ts)) / 1000.0::DOUBLE AS ms FROM events) GROUP BY 1",
+    "next_offset_by_partition": sql("SELECT partition, max(\"offset\") + 1 AS next_offset FROM log GROUP BY 1"),
+    "frame_diff_by_digest": f"WITH {_GOT} SELECT user_id, event_id, CASE WHEN g.here IS NULL THEN 'missing' WHEN e.here IS NULL THEN 'extra' ELSE 'mismatched' END AS difference, round(e.value, 6) AS e_value, round(g.value, 6) AS g_value FROM (SELECT *, 1 AS here FROM events) e FULL OUTER JOIN (SELECT *, 1 AS here FROM got) g USING (user_id, event_id) WHERE e.here IS NULL OR g.here IS NULL OR NOT abs(e.value - g.value) <= 1e-9 + 1e-9 * abs(g.value)",
     "latency_percentiles": "SELECT part, count(*) AS n, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(max(ms), 6) AS max_ms FROM (SELECT user_id % 4 AS part, (epoch_us(lead(ts) OVER (PARTITION BY user_id % 4 ORDER BY event_id)) - epoch_us(ts)) / 1000.0::DOUBLE AS ms FROM events) WHERE ms IS NOT NULL GROUP BY 1",
     "count_by_key": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
     "expected_windows_by_key": "SELECT user_id, n, CASE WHEN n < 5 THEN 0 ELSE (n - 5) // 2 + 1 END AS n_windows FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)",
     "windows_count_check": f"SELECT user_id, n_records, n_expected, coalesce(n_stored, 0) AS n_stored, n_expected = coalesce(n_stored, 0) AS ok FROM (SELECT user_id, count(*) AS n_records, CASE WHEN count(*) < 5 THEN 0 ELSE (count(*) - 5) // 2 + 1 END AS n_expected FROM events GROUP BY 1) LEFT JOIN (SELECT user_id, count(*) AS n_stored FROM ({_win('user_id', 5, 2, 'avg(value)')}) GROUP BY 1) USING (user_id)",
     "key_partition_audit": "SELECT event_type, count(DISTINCT user_id % 7 % 4) AS n_partitions, count(*) AS n_rows, count(DISTINCT user_id % 7 % 4) > 1 AS is_split FROM events GROUP BY 1",
     "partition_skew": "SELECT part, n_keys, n_rows, round(max(n_keys) OVER () / avg(n_keys) OVER (), 6) AS max_over_mean FROM (SELECT p::INT AS part, coalesce(n_keys, 0) AS n_keys, coalesce(n_rows, 0) AS n_rows FROM range(5) r(p) LEFT JOIN (SELECT user_id % 7 % 4 AS part, count(DISTINCT user_id) AS n_keys, count(*) AS n_rows FROM events GROUP BY 1) e ON e.part = r.p)",
-    "outer_diff_by_key": "WITH got AS (SELECT user_id, event_id, value + CASE WHEN event_id % 101 = 0 THEN 0.5 ELSE 0.0 END AS value FROM events WHERE event_id % 97 <> 0 UNION ALL SELECT user_id, -event_id - 1, value FROM events WHERE event_id % 211 = 0) SELECT user_id, count(e.event_id) AS n_expected, count(g.event_id) AS n_got, count(*) FILTER (g.event_id IS NULL) AS n_missing, count(*) FILTER (e.event_id IS NULL) AS n_extra, count(*) FILTER (e.event_id IS NOT NULL AND g.event_id IS NOT NULL AND abs(e.value - g.value) > 1e-9 + 1e-9 * abs(g.value)) AS n_mismatched FROM events e FULL OUTER JOIN got g USING (user_id, event_id) GROUP BY 1",
+    "outer_diff_by_key": f"WITH {_GOT} SELECT user_id, count(e.event_id) AS n_expected, count(g.event_id) AS n_got, count(*) FILTER (g.event_id IS NULL) AS n_missing, count(*) FILTER (e.event_id IS NULL) AS n_extra, count(*) FILTER (e.event_id IS NOT NULL AND g.event_id IS NOT NULL AND abs(e.value - g.value) > 1e-9 + 1e-9 * abs(g.value)) AS n_mismatched FROM events e FULL OUTER JOIN got g USING (user_id, event_id) GROUP BY 1",
     "idempotent_upsert": f"WITH {_ONE}, {_TWO}, s AS ({_FIRST.format(t='one')}), n AS (SELECT * FROM ({_FIRST.format(t='two')}) t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = t.user_id AND s.ts = t.ts)) SELECT user_id, batch, count(*) AS n, sum(cents)::BIGINT AS cents FROM (SELECT user_id, cents, 1 AS batch FROM s UNION ALL SELECT user_id, cents, 2 FROM n) GROUP BY 1, 2",
     "resume_positions": sql(_resume(2), _EMIT),
     "partition_resume": sql(f"SELECT partition, min(resume) AS resume FROM ({_resume(1)}) GROUP BY 1", _EMIT),

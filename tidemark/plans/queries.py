@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import bucket_key, broker_partition, elapsed_ms, over
 from tidemark.operators import detect as D
 from tidemark.operators import evaluate as V
-from tidemark.operators import experiments, islands, ranges, reconcile, report, validate
-from tidemark.operators.windows import expected_windows, sliding
+from tidemark.operators import experiments, intervals, islands, plots, ranges, reconcile, report, validate
+from tidemark.operators.windows import expected_windows, rolling_zscore, sliding
 from tidemark.plans.frames import ENTITY, KPIS, NAIVE_Z, SETTINGS, SIZE, WARMUP, compared, detected, events, kpi_hourly, naive, parts, scores, windowed
 from tidemark.streaming import replay
-from tidemark.streaming.sink import first_wins
+from tidemark.streaming.sink import first_wins, latency
 from tidemark.streaming.windows import keyed_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,6 +245,64 @@ def naive_only_fp_longest(spark, sf_dir):
     return islands.longest_run_without(both, "false_naive", "alert", ENTITY)
 
 
+@query
+def best_segment_of_scenario(spark, sf_dir):
+    return islands.best_segment(detected(spark, sf_dir), ENTITY, scenario="view_surge")
+
+
+@query
+def rows_around_bursts(spark, sf_dir):
+    """Every row with each burst of its cell that it lies in, or within two rows of."""
+    det = detected(spark, sf_dir)
+    near = intervals.around(det.select("cell", "rn", "alert"), islands.segments(det, ENTITY, "error_burst"), ENTITY, margin=2)
+    return near.select("cell", "segment", "rn", (F.col("rn") - F.col("start_rn")).alias("place"), "alert")
+
+
+@query
+def naive_only_fp_slice(spark, sf_dir):
+    """Both detectors on the rows of naive_only_fp_longest and three rows on either side, to plot."""
+    both = compared(spark, sf_dir).withColumn("false_naive", (F.col("naive_alert") == 1) & (F.col("label") == 0))
+    run = islands.longest_run_without(both, "false_naive", "alert", ENTITY).select("cell", (F.col("start_rn") + 1).alias("start_rn"), (F.col("end_rn") + 1).alias("end_rn"))
+    return rounded(intervals.around(both, run, ENTITY, margin=3).select("cell", "rn", "ts", "load", "label", "alert", "naive_alert"))
+
+
+@query
+def plot_series(spark, sf_dir):
+    return rounded(plots.thinned(compared(spark, sf_dir), ["load", "avg_value"], ENTITY, 40, flags=["alert", "naive_alert"]))
+
+
+@query
+def plot_shading(spark, sf_dir):
+    det = detected(spark, sf_dir).withColumn("anomaly", F.col("label") == 1).withColumn("trap", validate.trap())
+    return plots.shaded(det, ENTITY, {"alert": "alert", "anomaly": "anomaly", "trap": "trap"})
+
+
+@query
+def skeleton_confusion(spark, sf_dir):
+    """A rolling z-score of the load over a day, and its alerts against the labels row by row."""
+    z = rolling_zscore(kpi_hourly(spark, sf_dir), "load", 24, ENTITY, ["rn"])
+    return rounded(V.pointwise(z.withColumn("alert", over(F.round("z", 9), 1.5).cast("int")), "alert", ENTITY))
+
+
+@query
+def latency_produced_to_ingested(spark, sf_dir):
+    """Events are ingested when their hour is over."""
+    ev = events(spark, sf_dir).select((F.col("user_id") % 4).alias("part"), "ts", (F.date_trunc("hour", "ts") + F.expr("interval 1 hour")).alias("ingested_at"))
+    return rounded(latency(ev, elapsed_ms(F.col("ingested_at"), F.col("ts")), ["part"]))
+
+
+@query
+def next_offset_by_partition(spark, sf_dir):
+    """The offset from which each partition is read next."""
+    return _log(spark, sf_dir).groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+
+
+@query
+def frame_diff_by_digest(spark, sf_dir):
+    ev, got = _two_frames(spark, sf_dir)
+    return rounded(reconcile.differing(ev, got, ["user_id", "event_id"], ["value"]))
+
+
 @query
 def latency_percentiles(spark, sf_dir):
     ev = events(spark, sf_dir).select((F.col("user_id") % 4).alias("part"), "event_id", "ts")
@@ -289,11 +347,17 @@ def broker_partition_skew(spark, sf_dir):
     return reconcile.skew(ev, "user_id", "part", 4)
 
 
-@query
-def outer_diff_by_key(spark, sf_dir):
+def _two_frames(spark, sf_dir):
+    """Events, and events with some missing, some changed and some added."""
     ev = events(spark, sf_dir).select("user_id", "event_id", "value")
     got = ev.where("event_id % 97 <> 0").withColumn("value", F.when(F.col("event_id") % 101 == 0, F.col("value") + 0.5).otherwise(F.col("value")))
     got = got.union(ev.where("event_id % 211 = 0").select("user_id", (-F.col("event_id") - 1).alias("event_id"), "value"))
+    return ev, got
+
+
+@query
+def outer_diff_by_key(spark, sf_dir):
+    ev, got = _two_frames(spark, sf_dir)
     return reconcile.compare(ev, got, ["user_id", "event_id"], ["value"], ["user_id"])
 
 

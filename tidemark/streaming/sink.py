@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+BITS = 1 << 15  # of the filter of one file group; at 3,000 keys 3 % of other keys pass it
+SKETCH_K = 1600  # quantiles of latencies are within 0.25 % of the rank asked for, with 99 % confidence
+
 
 def first_wins(stored: DataFrame | None, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of the batch to add: the first of each key by `order`, where the store has none."""
@@ -13,44 +16,117 @@ def first_wins(stored: DataFrame | None, batch: DataFrame, keys: list[str], orde
     return new if stored is None else new.join(stored.select(*keys), keys, "left_anti")
 
 
+def positions(keys: list[str]) -> list[Column]:
+    """The two bits of a key in a filter."""
+    return [F.pmod(F.xxhash64(F.lit(i), *keys), F.lit(BITS)) for i in (1, 2)]
+
+
+def has_bit(filter_: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(filter_, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
 class KeyedSink:
-    """Parquet below `path`, a folder for each batch. Writing a batch again replaces its own folder.
+    """Parquet below path/rows, a folder for each batch and, in it, for each hash bucket of the keys.
 
-    A batch is compared with earlier batches only, so its replay does not take its own rows for stored ones.
-    Columns that appear later are null in earlier batches.
+    path/index has a row for each such folder: the least and the greatest of each key and a Bloom filter of the keys. A
+    batch is compared with those folders alone whose bounds and filter it meets, and only with earlier batches, so that
+    its replay does not take its own rows for stored ones; writing a batch again replaces what it wrote. Columns that
+    appear later are null in earlier batches. Choose `buckets` so that a batch has some thousand keys in each: with
+    more the filters let more folders through, which costs reads but changes nothing. Rows with a null key are kept as
+    often as they are written in different batches, as null equals nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
-        self.spark, self.path, self.keys, self.order = spark, path, keys, order
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = 16, produced: str = "produced_at"):
+        self.spark, self.path, self.keys, self.order, self.buckets, self.produced = spark, path, keys, order, buckets, produced
+        self.consulted: list[str] = []  # folders that the latest batch was compared with
 
-    def rows(self, before: int | None = None) -> DataFrame | None:
+    def _read(self, path: str, **options: str) -> DataFrame | None:
         from pyspark.errors import AnalysisException
 
         try:
-            df = self.spark.read.option("mergeSchema", "true").option("basePath", self.path).parquet(self.path)
+            return self.spark.read.options(mergeSchema="true", **options).parquet(path)
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
-        return df if before is None else df.where(F.col("batch_id") < before)
+
+    def rows(self, before: int | None = None) -> DataFrame | None:
+        df = self._read(f"{self.path}/rows")
+        if df is None:
+            return None
+        return (df if before is None else df.where(F.col("batch_id") < before)).drop("_bucket")
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _bounds(self) -> list[Column]:
+        return [f(k).alias(f"_{n}_{k}") for k in self.keys for n, f in (("lo", F.min), ("hi", F.max))]
+
+    def _folders(self, batch: DataFrame, batch_id: int) -> list[str]:
+        """Folders of earlier batches that may have a key of this one."""
+        index = self._read(f"{self.path}/index")
+        if index is None:
+            return []
+        own = batch.groupBy("_bucket").agg(*[f(k).alias(f"_own_{n}_{k}") for k in self.keys for n, f in (("lo", F.min), ("hi", F.max))])
+        meet = F.lit(True)
+        for k in self.keys:
+            meet = meet & (F.col(f"_lo_{k}") <= F.col(f"_own_hi_{k}")) & (F.col(f"_hi_{k}") >= F.col(f"_own_lo_{k}"))
+        near = index.where(F.col("batch_id") < batch_id).join(F.broadcast(own), "_bucket").where(meet).select("batch_id", "_bucket", "_filter")  # a row for each bucket
+        one, two = positions(self.keys)
+        probes = batch.select("_bucket", one.alias("_one"), two.alias("_two")).distinct()
+        hit = probes.join(near, "_bucket").where(has_bit(F.col("_filter"), F.col("_one")) & has_bit(F.col("_filter"), F.col("_two")))
+        return sorted(f"{self.path}/rows/batch_id={r['batch_id']}/_bucket={r['_bucket']}" for r in hit.select("batch_id", "_bucket").distinct().collect())
 
     def write(self, batch: DataFrame, batch_id: int) -> tuple[int, int]:
-        """(inserted, ignored)."""
-        total = batch.count()
-        if not total:
-            return 0, 0
-        out = f"{self.path}/batch_id={batch_id}"
-        new = first_wins(self.rows(before=batch_id), batch, self.keys, self.order).withColumn("ingested_at", F.current_timestamp())
-        new.write.mode("overwrite").parquet(out)
-        n = self.spark.read.parquet(out).count()
+        """(inserted, ignored), counted while the batch is read and written."""
+        received, inserted = Observation(), Observation()
+        batch = self._bucketed(batch).persist()
+        try:
+            self.consulted = self._folders(batch, batch_id)
+            stored = self.spark.read.option("basePath", f"{self.path}/rows").parquet(*self.consulted) if self.consulted else None
+            seen = batch.observe(received, F.count(F.lit(1)).alias("n"))
+            new = first_wins(stored, seen, self.keys, self.order).withColumn("ingested_at", F.current_timestamp())
+            out = f"{self.path}/rows/batch_id={batch_id}"
+            new.observe(inserted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("_bucket").parquet(out)
+            total, n = received.get["n"], inserted.get["n"]
+        finally:
+            batch.unpersist()
+        if n:
+            self._describe(self.spark.read.parquet(out), batch_id)
         return n, total - n
 
+    def _describe(self, written: DataFrame, batch_id: int) -> None:
+        """The index rows and the latency sketch of a batch; small, and of this batch alone."""
+        bits = written.withColumn("_at", F.explode(F.array(*positions(self.keys))))
+        index = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_filter"), *self._bounds())
+        index.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index/batch_id={batch_id}")
+        if self.produced in written.columns:
+            sketch = written.where(F.col(self.produced).isNotNull()).agg(F.kll_sketch_agg_double(self._lag(), F.lit(SKETCH_K)).alias("sketch"), F.max(self._lag()).alias("most"), F.count(F.lit(1)).alias("n"))
+            sketch.where("n > 0").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/latency/batch_id={batch_id}")
+
+    def _lag(self) -> Column:
+        return (F.unix_micros("ingested_at") - F.unix_micros(self.produced)) / 1000
+
     def each_batch(self, batch: DataFrame, batch_id: int) -> None:
         self.write(batch, batch_id)
 
     def count_by_key(self, key: str) -> DataFrame:
         return self.rows().groupBy(key).count().orderBy(key)
 
-    def latency_ms(self, produced: str = "produced_at") -> DataFrame:
-        lag = (F.unix_micros("ingested_at") - F.unix_micros(produced)) / 1000
-        return self.rows().where(F.col(produced).isNotNull()).select(lag.alias("ms")).agg(F.count("*").alias("n"), F.percentile("ms", F.lit(0.5)).alias("p50"), F.percentile("ms", F.lit(0.95)).alias("p95"), F.max("ms").alias("max"))
+    def latency_ms(self) -> DataFrame:
+        """(n, p50, p95, max) of milliseconds from produced to ingested, exactly: all rows are read."""
+        return latency(self.rows(), self._lag())
+
+    def latency_sketch(self, quantiles: list[float]) -> DataFrame:
+        """(n, max, q_<quantile>...) from the sketches stored with each batch; rows are not read. Null without any."""
+        sketches = self._read(f"{self.path}/latency")
+        if sketches is None:
+            return self.spark.createDataFrame([], "n long, max double, " + ", ".join(f"`q_{q}` double" for q in quantiles))
+        merged = sketches.agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("s"), F.sum("n").alias("n"), F.max("most").alias("max"))
+        return merged.select("n", "max", *[F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias(f"q_{q}") for q in quantiles])
+
+
+def latency(rows: DataFrame, lag_ms: Column, by: list[str] = ()) -> DataFrame:
+    """(by, n, p50, p95, max) of rows whose lag is known."""
+    return rows.select(*by, lag_ms.alias("ms")).where("ms is not null").groupBy(*by).agg(F.count("*").alias("n"), F.percentile("ms", F.lit(0.5)).alias("p50"), F.percentile("ms", F.lit(0.95)).alias("p95"), F.max("ms").alias("max"))

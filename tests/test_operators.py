@@ -15,7 +15,7 @@ from tidemark.operators import detect, evaluate, islands, ranges, report
 from tidemark.operators.windows import expected_windows, sliding
 from tidemark.sources import files, store
 from tidemark.streaming.sink import KeyedSink
-from tidemark.streaming.windows import keyed_windows
+from tidemark.streaming.windows import keyed_windows, state_store
 
 V = [3, 1, 4, 1, 5, 9, 2, 6]
 T0 = datetime(2024, 1, 1)
@@ -245,12 +245,14 @@ def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     batch = spark.createDataFrame(rows, fields)
     want = {(r.k, r.i): r.v for r in sliding(batch, ["v"], 5, 2, "mean", ["k"], ["i"]).collect()}
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = keyed_windows(stream, "k", ["i"], ["v"], 5, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    with state_store(spark):
+        q = keyed_windows(stream, "k", ["i"], ["v"], 5, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r.k, r.i): r.v for r in spark.read.schema(batch.schema).parquet(str(tmp_path / "out")).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
-    wide = keyed_windows(stream, "k", ["i"], ["v"], 3, 7, "p95").writeStream.format("parquet").option("path", str(tmp_path / "wide")).option("checkpointLocation", str(tmp_path / "wide_state")).trigger(availableNow=True).start()
+    with state_store(spark):
+        wide = keyed_windows(stream, "k", ["i"], ["v"], 3, 7, "p95").writeStream.format("parquet").option("path", str(tmp_path / "wide")).option("checkpointLocation", str(tmp_path / "wide_state")).trigger(availableNow=True).start()
     wide.awaitTermination()
     rows = lambda df: sorted((r.k, r.i, round(r.v, 6)) for r in df.collect())
     assert rows(spark.read.parquet(str(tmp_path / "wide"))) == rows(sliding(batch, ["v"], 3, 7, "p95", ["k"], ["i"]))

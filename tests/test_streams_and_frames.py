@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import intervals, plots, reconcile
 from tidemark.streaming.counters import Counters, counted
 from tidemark.streaming.sink import KeyedSink, has_bit, positions
-from tidemark.streaming.windows import keyed_windows
+from tidemark.streaming.windows import keyed_windows, state_store
 
 T0 = datetime(2024, 1, 1)
 FIELDS = "cell string, ts timestamp_ntz, v double"
@@ -73,7 +73,8 @@ def test_counters_of_a_stream(spark, tmp_path):
         stream = spark.readStream.schema(FIELDS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
         windows = counted(keyed_windows(counted(stream, "received", labelled=F.count_if(F.col("v") > 20)), "cell", ["ts"], ["v"], 5), "emitted")
         done = []
-        run = windows.writeStream.queryName("cells").foreachBatch(lambda df, i: done.append(sink.write(df, i))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        with state_store(spark):
+            run = windows.writeStream.queryName("cells").foreachBatch(lambda df, i: done.append(sink.write(df, i))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         run.awaitTermination()
         for _ in range(100):
             if counters.of("cells", "emitted") == 40 and counters.ended:
@@ -127,3 +128,29 @@ def test_shading(spark):
     df = spark.createDataFrame([("a", i + 1, T0 + timedelta(hours=i), x, y) for i, (x, y) in enumerate([(1, 0), (1, 1), (0, 1), (1, None)])], "k string, rn int, ts timestamp_ntz, x int, y int")
     got = sorted((r.kind, r.start_rn, r.end_rn, r.n_rows) for r in plots.shaded(df, ["k"], {"one": "x", "two": "y"}).collect())
     assert got == [("one", 0, 2, 2), ("one", 3, 4, 1), ("two", 1, 3, 2)]
+
+
+def test_state_of_a_hot_key_is_its_ring(spark, tmp_path):
+    """Many batches of one key: the windows of the batch operator, from a state of size - 1 rows; a restart goes on."""
+    rows = [(T0 + timedelta(hours=h), float(h * h % 17)) for h in range(120)]
+    fields, size = "ts timestamp_ntz, v double", 7
+    held = str(tmp_path / "in")
+    save = lambda n: spark.createDataFrame(rows[n * 20 : n * 20 + 20], fields).coalesce(1).write.parquet(f"{held}/f={n}")
+
+    def run():
+        stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(held).withColumn("k", F.lit("hot"))
+        with state_store(spark):
+            q = keyed_windows(stream, "k", ["ts"], ["v"], size).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for n in range(3):
+        save(n)
+    run()
+    for n in range(3, 6):
+        save(n)
+    run()
+    got = {r.ts: r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {rows[i][0]: sum(v for _, v in rows[i - size + 1 : i + 1]) / size for i in range(size - 1, 120)}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+    ring = spark.read.format("statestore").option("stateVarName", "ring").load(str(tmp_path / "state"))
+    assert ring.count() == size - 1

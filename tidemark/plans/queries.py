@@ -16,7 +16,7 @@ from tidemark.operators.windows import expected_windows, rolling_zscore, sliding
 from tidemark.plans.frames import ENTITY, KPIS, NAIVE_Z, SETTINGS, SIZE, WARMUP, compared, detected, events, kpi_hourly, naive, parts, scores, windowed
 from tidemark.streaming import replay
 from tidemark.streaming.sink import first_wins, latency
-from tidemark.streaming.windows import keyed_windows
+from tidemark.streaming.windows import keyed_windows, state_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -450,7 +450,8 @@ def stream_windows_by_user(spark, sf_dir):
 
         base = tempfile.mkdtemp(prefix="spark-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
-    run = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+    with state_store(spark):
+        run = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
     return rounded(spark.read.schema(out.schema).parquet(f"{folder}/rows"))
 

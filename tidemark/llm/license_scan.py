@@ -174,7 +174,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, template, matched_words, template_words, coverage, first_char, end_char) of every notice found.
 
     Spans are [first_char, end_char) code points. A null or empty text has no notices; a notice that occurs
-    twice in a text gives two rows; rows that repeat an id are scanned each. Other columns are not read.
+    twice in a text gives two rows; rows that repeat an id are scanned each, a null id stays null. Texts of any length
+    are scanned whole. Other columns are not read. An empty table gives an empty one.
     """
     given = templates or TEMPLATES
     Index(given, coverage)

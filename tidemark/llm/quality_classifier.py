@@ -132,7 +132,8 @@ def training_rows(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: s
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> np.ndarray:
     """The weights, learned from labelled rows that are not held out. Rows with a null label do not count.
 
-    Without any labelled row all weights are 0 and every score is 0.5.
+    Without any labelled row all weights are 0 and every score is 0.5. Rows that repeat, or share an id, count as often
+    as they occur in docs; rows without an id are not learned from. Texts of any length count whole.
     """
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     labelled = known.select(F.col(id_col).alias("id"), F.array(F.col(label_col).cast("int")).alias("y"))
@@ -140,7 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row. A null text is scored as an empty one: by the bias alone."""
+    """(id, score) of every row, in any order.
+
+    A null text is scored as an empty one: by the bias alone. Texts of any length count whole. Rows that repeat, or
+    share an id, are returned as often as they occur; a null id stays null. Other columns are not read. An empty table
+    gives an empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

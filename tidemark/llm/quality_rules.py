@@ -240,7 +240,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A null text has no words and fails the base rules. Rows with a null lang are held to the band of their
     script. A group in which no row passes the base rules has no band. Repeated rows count as often as they
-    occur; other columns are not read.
+    occur, in the quartiles too, and a measure at the end of its band is within it. Texts of any length are measured
+    whole. Other columns, whatever their names, are not read. An empty table gives an empty one.
     """
     by = F.coalesce(F.col(lang_col).cast("string"), script(F.coalesce(F.col(text_col), F.lit("")))).alias("band_group")
     measured = cut(measure(docs.select(F.col(id_col).alias("id"), by, F.col(text_col).alias("text")), "id", "text", **paths))

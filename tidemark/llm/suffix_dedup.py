@@ -1,8 +1,9 @@
-"""Suffix-array dedup of byte windows: a depth-limited most-significant-digit radix sort.
+"""Suffix dedup of byte windows: groups of suffixes refined pass by pass, as a depth-limited radix sort refines buckets.
 
-A suffix needs to be ordered only through its first WINDOW bytes: suffixes that stay equal that far are
-exactly the repeated windows. The sort goes digit by digit, and every pass drops the suffixes whose group
-has one document only, so each pass orders what is left of the pass before:
+Only whether two suffixes are equal through their first WINDOW bytes matters, not which comes first. So the digits of
+the passes are hashes of parts of the window, and suffixes are grouped by them, never put in the order of their bytes.
+Every pass drops the suffixes whose group has one document only. The last two passes hold windows equal whose 96-bit
+hashes are; bytes are not compared.
 
 1. first digit: the least-hashed GRAM bytes inside the window. It depends on the window alone, so equal
    windows share it, and neighbouring suffixes share one digit, which is sent once for all of them;

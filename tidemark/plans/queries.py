@@ -374,9 +374,9 @@ def idempotent_upsert(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
+    """Events as the log of four partitions; offsets are places, counted over ranges of the table."""
     ev = events(spark, sf_dir).select((F.col("user_id") % 4).cast("int").alias("partition"), F.col("user_id").alias("key"), "event_id")
-    offset = F.row_number().over(Window.partitionBy("partition").orderBy("event_id")) - 1
-    return ev.select("partition", "key", offset.cast("long").alias("offset"))
+    return ranges.placed(ev, ["partition"], ["event_id"]).select("partition", "key", (F.col("rn") - 1).alias("offset"))
 
 
 @query

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.config import DetectorSettings, KpiSpec, WindowSettings
+from tidemark.config import DetectorSettings, WindowSettings
 from tidemark.functions import scalars
 from tidemark.operators import detect, evaluate, islands, ranges, report
 from tidemark.operators.windows import expected_windows, sliding

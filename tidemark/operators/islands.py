@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.operators.ranges import before
+
 
 def persisted(flag: Column, n: int, by: WindowSpec) -> Column:
     """True from the n-th consecutive true row on; n <= 1 passes the flag through."""
@@ -73,6 +75,6 @@ def segments(df: DataFrame, entity: list[str], scenario: str | None = None, orde
 
 
 def regressions(df: DataFrame, partition: str, order: str, position: str) -> DataFrame:
-    """(partition, n_regressions): how often a committed position falls below the one before."""
-    by = Window.partitionBy(partition).orderBy(order)
-    return df.withColumn("_back", F.col(position) < F.lag(position).over(by)).groupBy(partition).agg(F.count_if("_back").alias("n_regressions"))
+    """(partition, n_regressions): how often a committed position falls below the one before; for partitions of any size."""
+    back = before(df, [position], [partition], [order])
+    return back.groupBy(partition).agg(F.count_if(F.col(position) < F.col(f"before_{position}")).alias("n_regressions"))

@@ -126,8 +126,8 @@ def test_no_pair_that_shares_a_band_is_lost_inside_tasks(spark):
     wide = near_dedup.wide_rows(regs)
     shared = keys[0::2] == keys[1::2]
     assert shared.any(1).all()
-    rows = [(int(keys[i, b]), int(b), i, i, size, wide[i]) for p, b in zip(*np.nonzero(shared), strict=True) for i in (2 * int(p), 2 * int(p) + 1)]
-    members = spark.createDataFrame(rows, "key long, band int, id long, label long, n_shingles long, wide binary")
+    rows = [(int(keys[i, b]), int(b), i, i, size, wide[i].tobytes(), True) for p, b in zip(*np.nonzero(shared), strict=True) for i in (2 * int(p), 2 * int(p) + 1)]
+    members = spark.createDataFrame(rows, "key long, band int, id long, label long, n_shingles long, wide binary, whole boolean")
     assert sorted((r.a, r.b) for r in near_dedup._across(near_dedup._dealt(members), 0.75).collect()) == [(2 * p + 1, 2 * p) for p in range(n)]
 
 

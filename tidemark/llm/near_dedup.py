@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.exchange import Keys, ask, blocks_of, buckets, unpack
-from tidemark.llm.runtime import checkpoint_ready, cut, drop_held, shuffle_partitions
+from tidemark.llm.runtime import checkpoint_ready, cut, drop_held, shuffle_partitions, trim
 from tidemark.llm.textops import BYTE_CODE, LOWER, U, gram_hashes, mix, slices, text_bytes, word_hashes, words
 
 M, WIDE, BAND, BASE, Q = 200, 1000, 4, 1.001, 65534
@@ -214,20 +214,37 @@ def _open_bands(labels: DataFrame) -> DataFrame:
 WIDE_BYTES = 2 * M + WIDE - M
 
 
-def wide_rows(regs: np.ndarray) -> list[bytes]:
-    """Of rows of WIDE registers: the first M whole, two bytes each, then the low byte of every further one."""
-    return [a.tobytes() + b.tobytes() for a, b in zip(regs[:, :M].astype(np.uint16), (regs[:, M:] & 0xFF).astype(np.uint8), strict=True)]
+def wide_rows(regs: np.ndarray) -> np.ndarray:
+    """WIDE_BYTES of every row of WIDE registers: the first M whole, two bytes each, then the low byte of each further one."""
+    return np.concatenate((np.ascontiguousarray(regs[:, :M]).view(np.uint8), (regs[:, M:] & 0xFF).astype(np.uint8)), 1)
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """A binary value of every row of bytes, without an object for each."""
+    n, size = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def row_bytes(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """The other way round, for values of one size."""
+    parts = []
+    for c in column.chunks:
+        at = int(np.frombuffer(c.buffers()[1], np.int32)[c.offset]) if len(c) else 0
+        parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at : at + len(c) * size] if len(c) else np.zeros(0, np.uint8))
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint8)).reshape(len(column), size)
 
 
 def _widened(dealt: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """dealt with `wide`, as wide_rows has it; rows that share an id have the M known registers of each of them alone."""
+    """dealt with `wide`, as wide_rows has it, and `whole`; false for rows that share an id, which have the M known registers alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 b = batch.slice(a, 1000)
-                wide = wide_rows(registers(*shingle_sets(b.column(1), size), WIDE))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary())], names=["id", "wide"])
+                wide = binary_rows(wide_rows(registers(*shingle_sets(b.column(1), size), WIDE)))
+                yield pa.RecordBatch.from_arrays([b.column(0), wide], names=["id", "wide"])
+        trim()
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,16 +252,16 @@ def _widened(dealt: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str,
                 regs = b.column("regs").to_pylist()
                 k = band_keys(np.frombuffer(b"".join(regs), np.uint16).reshape(b.num_rows, M))
                 i = np.repeat(np.arange(b.num_rows), k.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64).ravel()), b.column("id").take(pa.array(i)), pa.array([regs[x] for x in i], pa.binary())], names=["key", "id", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64).ravel()), b.column("id").take(pa.array(i)), pa.array([regs[x].ljust(WIDE_BYTES, b"\0") for x in i], pa.binary())], names=["key", "id", "wide"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wide = texts.join(dealt.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, wide binary")
     wide = cut(wide.groupBy("id").agg(F.when(F.count("*") == 1, F.first("wide")).alias("wide")))
-    out = dealt.join(wide.where("wide is not null"), "id")
+    out = dealt.join(wide.where("wide is not null"), "id").withColumn("whole", F.lit(True))
     shared = wide.where("wide is null").select("id")
     if not shared.isEmpty():
         rows = labels.join(shared, "id").select("id", "regs").mapInArrow(known, "key long, id long, wide binary")
-        out = out.unionByName(dealt.join(rows, ["key", "id"]))
+        out = out.unionByName(dealt.join(rows, ["key", "id"]).withColumn("whole", F.lit(False)))
     return out
 
 
@@ -271,9 +288,7 @@ def _across(dealt: DataFrame, similarity: float) -> DataFrame:
     def pairs(t: pa.Table) -> pa.RecordBatch:
         """Of whole groups, which are consecutive."""
         key, tile, own, band, ids, label, size = (t.column(c).to_numpy() for c in ("key", "tile", "own", "band", "id", "label", "n_shingles"))
-        kept = t.column("wide").to_pylist()
-        known = np.array([len(w) == WIDE_BYTES for w in kept], bool)
-        wide = np.frombuffer(b"".join([w.ljust(WIDE_BYTES, b"\0") for w in kept]), np.uint8).reshape(len(ids), WIDE_BYTES)
+        known, wide = t.column("whole").to_numpy(), row_bytes(t.column("wide"), WIDE_BYTES)
         few = np.ascontiguousarray(wide[:, : 2 * M]).view(np.uint16)
         low = np.concatenate(((few & 0xFF).astype(np.uint8), wide[:, 2 * M :]), 1)
         guest = t.column("guest").to_numpy()
@@ -310,6 +325,7 @@ def _across(dealt: DataFrame, similarity: float) -> DataFrame:
             held = t.slice(begin).combine_chunks()
         if held is not None and held.num_rows:
             yield pairs(held)
+        trim()
 
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
@@ -355,6 +371,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
                 inter = np.array([len(np.intersect1d(fa[ata[i] : ata[i + 1]], fb[atb[i] : atb[i + 1]], assume_unique=True)) for i in range(b.num_rows)], np.int64)
                 union = np.diff(ata) + np.diff(atb) - inter
                 yield b.filter(pa.array((100 * inter >= percent * union) & (union > 0))).select(["a", "b"])
+        trim()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -365,7 +382,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked where 100 * |A & B| >= percent * |A | B| on sets of `size`-word shingles; component_id
     is the least id reachable. An empty text, or null, has no shingles and no links. Rows with a null id are
     returned with n_shingles and are their own group (component_id null, kept true). Rows that repeat an id
-    are returned as often as they occur; their links add up. Other columns are not read.
+    are returned as often as they occur; their links add up. Texts of any length count whole. Other columns are not
+    read. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     checkpoint_ready(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable
@@ -81,3 +82,11 @@ def drop_held() -> None:
     if _HELD:
         _HELD.clear()
         gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give memory that this worker has freed back to the system: the operators after this one need it."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -33,8 +33,9 @@ class KeyedSink:
     batch is compared with those folders alone whose bounds and filter it meets, and only with earlier batches, so that
     its replay does not take its own rows for stored ones; writing a batch again replaces what it wrote. Columns that
     appear later are null in earlier batches. Choose `buckets` so that a batch has some thousand keys in each: with
-    more the filters let more folders through, which costs reads but changes nothing. Rows with a null key are kept as
-    often as they are written in different batches, as null equals nothing.
+    more the filters let more folders through, which costs reads but changes nothing. The index has `buckets` rows a
+    batch and is read whole. Rows with a null key are kept as often as they are written in different batches, as null
+    equals nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = 16, produced: str = "produced_at"):

@@ -164,6 +164,23 @@ def test_summary_of_a_segment(spark):
     assert report.summary(df, ["v", "w"], ["cell"], 3.0, scenario="z").count() == 0
 
 
+@pytest.fixture
+def whole_segment(spark, monkeypatch):
+    """A registered query on two cells, whose best segments have rows 3 to 5 and row 4; the last row of each is its furthest and has an alert."""
+    from tidemark.plans import queries
+
+    a = series(spark, [1.0, 2.0, 3.0, 4.0, 50.0, 2.0], scenario=["", "", "x", "x", "x", ""], label=[0] * 6, alert=[0, 0, 0, 1, 1, 0])
+    b = series(spark, [1.0, 2.0, 3.0, 70.0, 3.0, 2.0], scenario=["", "", "", "y", "", ""], label=[0] * 6, alert=[0, 0, 0, 1, 0, 0]).withColumn("cell", F.lit(2))
+    rows = a.unionByName(b).withColumns({"load": F.col("v"), "errors": F.col("v") * 2, "avg_value": -F.col("v")}).drop("v")
+    monkeypatch.setattr(queries, "detected", lambda spark, sf_dir: rows)
+    return lambda name: queries.QUERIES[name](spark, "").collect()
+
+
+def test_segment_summary_takes_every_row_of_the_segment(whole_segment):
+    got = {r.cell: (r.n_rows, r.avg_load, r.max_load, r.min_load) for r in whole_segment("segment_summary")}
+    assert got == {1: (3, 19.0, 50.0, 3.0), 2: (1, 70.0, 70.0, 70.0)}
+
+
 @pytest.mark.parametrize(("name", "scans"), [("evaluate_metrics", 4), ("fp_by_location", 4), ("param_sweep_eval", 4), ("fp_reduction", 4), ("kpi_deviation_rank", 4), ("incident_summary", 8)])
 def test_evaluation_reads_events_few_times(spark, name, scans):
     from tidemark.plans.queries import QUERIES

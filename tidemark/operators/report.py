@@ -50,10 +50,10 @@ def deviations(both: DataFrame, kpis: list[str], by: list[str]) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs(F.round("max_dev", 9))), "position")))
 
 
-def in_best_segment(df: DataFrame, entity: list[str], scenario: str | None = None, order: str = "rn", alert: str = "alert") -> DataFrame:
+def in_best_segment(df: DataFrame, entity: list[str], scenario: str | None = None, order: str = "rn", alert: str = "alert", last: bool = False) -> DataFrame:
     """df with start_ts and end_ts of the entity's segment with most alerts (the first of equals), and inside, whether the row is in [start_ts, end_ts).
 
-    A segment is a stretch under any scenario, or under the one given. All is windows over the entity; nothing is joined.
+    end_ts is the segment's last row, which is inside with `last` alone. A segment is a stretch under any scenario, or under the one given. All is windows over the entity; nothing is joined.
     """
     by = Window.partitionBy(*entity).orderBy(order)
     on = F.col("scenario") == scenario if scenario is not None else F.col("scenario") != ""
@@ -63,7 +63,8 @@ def in_best_segment(df: DataFrame, entity: list[str], scenario: str | None = Non
     one = Window.partitionBy(*entity, "_seg")
     found = F.when(F.col("_on"), F.struct(F.sum(alert).over(one).alias("n"), (-F.min(order).over(one)).alias("from"), F.min("ts").over(one).alias("start_ts"), F.max("ts").over(one).alias("end_ts")))
     rows = rows.withColumn("_found", found).withColumn("_best", F.max("_found").over(Window.partitionBy(*entity)))
-    inside = F.coalesce(in_segment(F.col("_best.start_ts"), F.col("_best.end_ts")), F.lit(False))
+    start, end = F.col("_best.start_ts"), F.col("_best.end_ts")
+    inside = F.coalesce(F.col("ts").between(start, end) if last else in_segment(start, end), F.lit(False))
     return rows.select(*df.columns, F.col("_best.start_ts").alias("start_ts"), F.col("_best.end_ts").alias("end_ts"), inside.alias("inside"))
 
 

@@ -36,9 +36,9 @@ CTES = {
 }
 
 
-def sql(final: str, *more: str) -> str:
-    """WITH all expressions, and any more of the form `name AS (...)`."""
-    return "WITH " + ", ".join([*(f"{k} AS ({v})" for k, v in CTES.items()), *more]) + " " + final
+def sql(final: str, *more: str, **instead: str) -> str:
+    """WITH all expressions, some of them replaced, and any more of the form `name AS (...)`."""
+    return "WITH " + ", ".join([*(f"{k} AS ({v})" for k, v in (CTES | instead).items()), *more]) + " " + final
 
 
 def _runs(source: str, flag: str = "alert = 1", keys: str = "cell") -> str:
@@ -79,6 +79,7 @@ _SIGN = {"load": "", "errors": "", "avg_value": "-1.0 * "}
 _BAD = "SELECT cell, scenario, kpi, deviation FROM (" + " UNION ALL ".join(f"SELECT k.cell, k.scenario, '{k}' AS kpi, max(CASE WHEN s_{k} > 0 THEN {_SIGN[k]}(k.{k} - m_{k}) / s_{k} END) AS deviation FROM kpi k JOIN nrm ON nrm.cell = k.cell WHERE k.scenario <> '' GROUP BY 1, 2" for k in KPIS) + ")"
 _NRM = f"nrm AS (SELECT cell, {_NORMAL} FROM kpi WHERE scenario = '' GROUP BY 1)"
 _SEGSTATS = "SELECT cell, count(*) AS n_rows, " + each("avg({k}) AS avg_{k}, max({k}) AS max_{k}, min({k}) AS min_{k}") + " FROM inseg GROUP BY 1"
+_WHOLE = "SELECT d.* FROM det d JOIN seg s ON s.cell = d.cell WHERE d.ts >= s.start_ts AND d.ts < s.end_ts + INTERVAL 1 HOUR"
 _SD = "CASE WHEN s_{k} > 0 THEN s_{k} ELSE 1.0 END"
 _DEV = " UNION ALL ".join(f"SELECT s.cell, '{k}' AS kpi, {i} AS position, (avg_{k} - m_{k}) / {_SD.format(k=k)} AS avg_dev, CASE WHEN abs((max_{k} - m_{k}) / {_SD.format(k=k)}) >= abs((min_{k} - m_{k}) / {_SD.format(k=k)}) THEN (max_{k} - m_{k}) / {_SD.format(k=k)} ELSE (min_{k} - m_{k}) / {_SD.format(k=k)} END AS max_dev FROM ss s JOIN dn ON dn.cell = s.cell" for i, k in enumerate(KPIS))
 _FIRED = (
@@ -152,7 +153,7 @@ ORACLES = {
     "point_confusion": sql(_POINTS.format(t="nai")),
     "scenario_alert_summary": sql("SELECT cell, scenario, count(*) AS n_rows, sum(alert)::BIGINT AS n_alerts FROM det GROUP BY 1, 2"),
     "best_segment": sql("SELECT cell, start_rn::INT AS start_rn, end_rn, start_ts, end_ts, n_alerts FROM seg"),
-    "segment_summary": sql("SELECT cell, n_rows, " + each("round(avg_{k}, 6) AS avg_{k}, round(max_{k}, 6) AS max_{k}, round(min_{k}, 6) AS min_{k}") + f" FROM ({_SEGSTATS})"),
+    "segment_summary": sql("SELECT cell, n_rows, " + each("round(avg_{k}, 6) AS avg_{k}, round(max_{k}, 6) AS max_{k}, round(min_{k}, 6) AS min_{k}") + f" FROM ({_SEGSTATS})", inseg=_WHOLE),
     "normal_reference_stats": sql("SELECT cell, " + each("round(avg({k}), 6) AS mean_{k}, round(stddev_samp({k}), 6) AS std_{k}") + " FROM det WHERE scenario = '' GROUP BY 1"),
     "segment_alerts": sql("SELECT cell, sum(alert)::BIGINT AS n_alerts, min(CASE WHEN alert = 1 THEN ts END) AS first_alert FROM inseg GROUP BY 1"),
     "top_triggers": sql("SELECT * FROM (SELECT cell, trigger, count(*) AS n, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, trigger)::INT AS rank FROM det WHERE trigger <> '' GROUP BY 1, 2) WHERE rank <= 3"),

@@ -209,7 +209,8 @@ def best_segment(spark, sf_dir):
 
 @query
 def segment_summary(spark, sf_dir):
-    return rounded(report.segment_stats(_segment(spark, sf_dir), KPIS, ENTITY))
+    rows = report.in_best_segment(detected(spark, sf_dir), ENTITY, last=True).where("inside")
+    return rounded(report.segment_stats(rows, KPIS, ENTITY))
 
 
 @query

@@ -181,6 +181,11 @@ def test_segment_summary_takes_every_row_of_the_segment(whole_segment):
     assert got == {1: (3, 19.0, 50.0, 3.0), 2: (1, 70.0, 70.0, 70.0)}
 
 
+def test_segment_alerts_counts_every_row_of_the_segment(whole_segment):
+    got = {r.cell: (r.n_alerts, r.first_alert) for r in whole_segment("segment_alerts")}
+    assert got == {1: (2, T0 + timedelta(hours=3)), 2: (1, T0 + timedelta(hours=3))}
+
+
 @pytest.mark.parametrize(("name", "scans"), [("evaluate_metrics", 4), ("fp_by_location", 4), ("param_sweep_eval", 4), ("fp_reduction", 4), ("kpi_deviation_rank", 4), ("incident_summary", 8)])
 def test_evaluation_reads_events_few_times(spark, name, scans):
     from tidemark.plans.queries import QUERIES

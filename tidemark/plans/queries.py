@@ -198,8 +198,8 @@ def scenario_alert_summary(spark, sf_dir):
 
 
 def _segment(spark, sf_dir):
-    """Rows of each cell's best segment, [start_ts, end_ts): its last row is out."""
-    return report.in_best_segment(detected(spark, sf_dir), ENTITY).where("inside")
+    """Rows of each cell's best segment, its last row among them."""
+    return report.in_best_segment(detected(spark, sf_dir), ENTITY, last=True).where("inside")
 
 
 @query
@@ -209,8 +209,7 @@ def best_segment(spark, sf_dir):
 
 @query
 def segment_summary(spark, sf_dir):
-    rows = report.in_best_segment(detected(spark, sf_dir), ENTITY, last=True).where("inside")
-    return rounded(report.segment_stats(rows, KPIS, ENTITY))
+    return rounded(report.segment_stats(_segment(spark, sf_dir), KPIS, ENTITY))
 
 
 @query

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -186,6 +187,15 @@ def test_segment_alerts_counts_every_row_of_the_segment(whole_segment):
     assert got == {1: (2, T0 + timedelta(hours=3)), 2: (1, T0 + timedelta(hours=3))}
 
 
+def test_kpi_deviation_rank_takes_every_row_of_the_segment(whole_segment):
+    got = {(r.cell, r.kpi): (r.avg_dev, r.max_dev) for r in whole_segment("kpi_deviation_rank")}
+    normal = {1: [1.0, 2.0, 2.0], 2: [1.0, 2.0, 3.0, 3.0, 2.0]}
+    sd, mean = {c: statistics.stdev(v) for c, v in normal.items()}, {c: statistics.mean(v) for c, v in normal.items()}
+    assert {k for _, k in got} == {"load", "errors", "avg_value"} and len(got) == 6
+    assert got[1, "load"] == pytest.approx(((19.0 - mean[1]) / sd[1], (50.0 - mean[1]) / sd[1]), abs=1e-5)
+    assert got[2, "load"] == pytest.approx(((70.0 - mean[2]) / sd[2],) * 2, abs=1e-5)
+
+
 @pytest.mark.parametrize(("name", "scans"), [("evaluate_metrics", 4), ("fp_by_location", 4), ("param_sweep_eval", 4), ("fp_reduction", 4), ("kpi_deviation_rank", 4), ("incident_summary", 8)])
 def test_evaluation_reads_events_few_times(spark, name, scans):
     from tidemark.plans.queries import QUERIES

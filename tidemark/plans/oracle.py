@@ -157,7 +157,7 @@ ORACLES = {
     "normal_reference_stats": sql("SELECT cell, " + each("round(avg({k}), 6) AS mean_{k}, round(stddev_samp({k}), 6) AS std_{k}") + " FROM det WHERE scenario = '' GROUP BY 1"),
     "segment_alerts": sql("SELECT cell, sum(alert)::BIGINT AS n_alerts, min(CASE WHEN alert = 1 THEN ts END) AS first_alert FROM inseg GROUP BY 1", inseg=_WHOLE),
     "top_triggers": sql("SELECT * FROM (SELECT cell, trigger, count(*) AS n, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, trigger)::INT AS rank FROM det WHERE trigger <> '' GROUP BY 1, 2) WHERE rank <= 3"),
-    "kpi_deviation_rank": sql("SELECT cell, kpi, position, round(avg_dev, 6) AS avg_dev, round(max_dev, 6) AS max_dev, row_number() OVER (PARTITION BY cell ORDER BY abs(round(max_dev, 9)) DESC, position)::INT AS rank FROM dv", f"ss AS ({_SEGSTATS})", f"dn AS (SELECT cell, {_NORMAL} FROM det WHERE scenario = '' GROUP BY 1)", f"dv AS ({_DEV})"),
+    "kpi_deviation_rank": sql("SELECT cell, kpi, position, round(avg_dev, 6) AS avg_dev, round(max_dev, 6) AS max_dev, row_number() OVER (PARTITION BY cell ORDER BY abs(round(max_dev, 9)) DESC, position)::INT AS rank FROM dv", f"ss AS ({_SEGSTATS})", f"dn AS (SELECT cell, {_NORMAL} FROM det WHERE scenario = '' GROUP BY 1)", f"dv AS ({_DEV})", inseg=_WHOLE),
     "naive_only_fp_longest": sql("SELECT cell, start_rn, end_rn, n_rows FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n_rows DESC, start_rn) AS k FROM (SELECT cell, run_id, (min(rn) - 1)::INT AS start_rn, max(rn) AS end_rn, count(*) AS n_rows, max(proposed) AS o FROM (" + _runs("(SELECT d.cell, d.rn, d.alert AS proposed, (n.alert = 1 AND d.label = 0) AS fn_ FROM det d JOIN nai n ON n.cell = d.cell AND n.rn = d.rn)", "fn_") + ") GROUP BY 1, 2) WHERE o = 0) WHERE k = 1"),
     "best_segment_of_scenario": sql("SELECT cell, (start_rn - 1)::INT AS start_rn, end_rn::INT AS end_rn, start_ts, end_ts, n_alerts FROM (SELECT cell, run_id, min(rn) AS start_rn, max(rn) AS end_rn, min(ts) AS start_ts, max(ts) AS end_ts, sum(alert)::BIGINT AS n_alerts FROM (" + _runs("det", "scenario = 'view_surge'") + ") GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY n_alerts DESC, start_rn) = 1"),
     "rows_around_bursts": sql("SELECT d.cell, b.run_id::BIGINT AS segment, d.rn, (d.rn - b.lo)::INT AS place, d.alert FROM det d JOIN (SELECT cell, run_id, min(rn) AS lo, max(rn) AS hi FROM (" + _runs("det", "scenario = 'error_burst'") + ") GROUP BY 1, 2) b ON b.cell = d.cell AND d.rn BETWEEN b.lo - 2 AND b.hi + 2"),

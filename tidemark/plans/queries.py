@@ -229,7 +229,7 @@ def top_triggers(spark, sf_dir):
 
 @query
 def kpi_deviation_rank(spark, sf_dir):
-    stats = report.segment_and_normal(report.in_best_segment(detected(spark, sf_dir), ENTITY), KPIS, ENTITY)
+    stats = report.segment_and_normal(report.in_best_segment(detected(spark, sf_dir), ENTITY, last=True), KPIS, ENTITY)
     return rounded(report.deviations(stats, KPIS, ENTITY))
 
 

@@ -352,3 +352,24 @@ def test_follow_equals_plain_loop():
             g = (p - y) * a
             plain[i] = [plain[i][0] + g - ((plain[i][1] + g * g) ** 0.5 - plain[i][1] ** 0.5) / q.ALPHA * b, plain[i][1] + g * g]
     assert np.allclose(z[0], [a for a, _ in plain]) and np.allclose(n[0], [b for _, b in plain])
+
+
+def test_packed_table_equals_the_library_while_pieces_are_dropped(monkeypatch):
+    """Words of all kinds, few of them kept, over many calls: known pieces in new words, line feeds, marks and letters beyond Latin."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import wordpieces
+
+    monkeypatch.setattr(wordpieces, "KEPT_PACKED", 60)
+    monkeypatch.setattr(wordpieces, "KEPT_PIECES", 40)
+    path = wordpieces.vocabulary_path()
+    library, rng = Tokenizer.from_file(path), random.Random(3)
+    some = ["Wort", "naïve,", "ÉCOLE's", "don't", "x\x1fy", "a\xa0b", "½kg", "12.5", "İstanbul", "Ⱥb", "слово", "é", "漢字", "<|endoftext|>", "<|x", "(foo)", "foo,", "\x85", "ſt", "...", "Größe42"]
+    for kind, size in (("H", 2), ("I", 4)):
+        table = wordpieces.PackedTable(path, kind)
+        for _ in range(60):
+            texts = [rng.choice([" ", "\n", "\t\r\n"]).join(rng.choice(some) + rng.choice(["", "", ".", str(rng.randrange(99))]) for _ in range(rng.randrange(12))) for _ in range(5)]
+            want = [b"".join(i.to_bytes(size, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
+            assert table.joined([t.encode() for t in texts]) == want

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import checkpoint_ready, cut, held, shuffle_partitions
 from tidemark.llm.textops import U, mix, text_bytes
-from tidemark.llm.wordpieces import WordTable, library_encoder, pieces_of, vocabulary_path
+from tidemark.llm.wordpieces import PackedTable, vocabulary_path
 
 MAGIC = b"TIDESHRD"
 GAMMA = 2
@@ -178,22 +177,24 @@ class Shard:
             yield k, x, held[x - base : y - base]
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, width: int) -> DataFrame:
-    """(key, n, ids) of every row: ids as the tokenizers library gives them, then the end id, packed."""
+def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, width: int, bounds: np.ndarray) -> DataFrame:
+    """(shard, key, n, ids) of every row: ids as the tokenizers library gives them, then the end id, packed; shard by the bounds of keys."""
     kind = np.uint16 if width == 2 else np.uint32
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held((path, f"library {width}"), lambda: WordTable(pieces_of(path), library_encoder(path), lambda ids: array("H" if width == 2 else "I", ids).tobytes()))
+        table = held((path, f"library {width}"), lambda: PackedTable(path, "H" if width == 2 else "I"))
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)
+                given = b.column(0).cast(pa.int64())
+                key = np.where(given.is_null().to_numpy(zero_copy_only=False), NULL_KEY, given.fill_null(0).to_numpy())
                 raw, at = text_bytes(b.column(1))
                 data = raw.tobytes()
-                out = [b"".join(parts) + end for parts in table.of([data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], names=["key", "n", "ids"])
+                out = [ids + end for ids in table.joined([data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, key, "left"), pa.int32()), pa.array(key), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], names=["shard", "key", "n", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "key long, n long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, "shard int, key long, n long, ids binary")
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1, shards: int | None = None) -> DataFrame:
@@ -213,11 +214,6 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
     bounds = np.unique(np.array(cuts or [], np.int64))
 
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), NULL_KEY, b.column(0).fill_null(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, key, "left"), pa.int32()), pa.array(key), b.column(1), b.column(2)], names=["shard", "key", "n", "ids"])
-
     def write(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         keys, ids = t.column("key").to_numpy(), t.column("ids").to_pylist()
@@ -232,7 +228,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         store.move(f"{base}/{draft}", f"{base}/{name}")
         return pa.table({"shard": pa.array([shard], pa.int32()), "file": [name], "least_key": pa.array([int(keys.min())], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([int(counts.sum())], pa.int64())})
 
-    rows = encoded(docs, id_col, text_col, path, end_id, width).mapInArrow(place, "shard int, key long, n long, ids binary")
+    rows = encoded(docs, id_col, text_col, path, end_id, width, bounds)
     done = cut(rows.groupBy("shard").applyInArrow(write, "shard int, file string, least_key long, n_docs long, n_ids long"))
     # one row for each shard: their number is a parameter
     before, starts = 0, []

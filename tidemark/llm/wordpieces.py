@@ -10,13 +10,19 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import accumulate, chain, compress
+from itertools import accumulate, chain, compress, repeat
+from operator import eq, is_
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = "word_bpe_49k.json"
 KEPT_WORDS = 200_000  # of each of two generations
+KEPT_PACKED = 400_000  # likewise, where a word's part is some packed ids
+KEPT_PIECES = 300_000  # likewise
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -37,9 +43,21 @@ LATIN_END = 0x250  # letters and digits below are the same in all Unicode versio
 _LETTERS = "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "L")
 _DIGITS = "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "N")
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \\x85\\xa0{_LETTERS}{_DIGITS}]+")
+_LATIN_WORDS = re.compile("\n|" + _LATIN.pattern)  # of words that a line feed parts
+_BEYOND = re.compile(f"[^\0-{chr(LATIN_END - 1)}]")
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def marks_of(special: dict[str, int]) -> tuple[bytes, ...]:
+    """The beginnings of special tokens: a word without any of them has no special token."""
+    return tuple({x[:2].encode() for x in special})
+
+
 def pieces_of(path: str) -> Callable[[list[bytes]], list[list[bytes | int]]]:
     """A function from words to their pieces, as bytes, by the vocabulary's own normaliser and splitter.
 
@@ -48,10 +66,9 @@ def pieces_of(path: str) -> Callable[[list[bytes]], list[list[bytes | int]]]:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    special = special_tokens(path)
     split_special = re.compile("(" + "|".join(re.escape(x) for x in special) + ")") if special else None
-    marks = tuple({x[:2].encode() for x in special})
+    marks = marks_of(special)
 
     def other(word: bytes) -> list[bytes | int]:
         text = word.decode()
@@ -92,12 +109,13 @@ class WordTable:
 
     def __init__(self, split: Callable[[list[bytes]], list[list[bytes | int]]], encode: Callable[[list[bytes]], list[list[int]]], make: Callable[[list[int]], object]):
         self.split, self.encode, self.make = split, encode, make
+        self.most = KEPT_WORDS
         self.now: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
 
     def learn(self, words: set[bytes]) -> None:
         """Take in words that this generation doesn't have."""
-        if len(self.now) + len(words) > KEPT_WORDS:
+        if len(self.now) + len(words) > self.most:
             self.old, self.now = self.now, {}
         unknown = []
         for w in words:
@@ -106,27 +124,35 @@ class WordTable:
                 unknown.append(w)
             else:
                 self.now[w] = got
-        split = self.split(unknown)
+        self.now.update(self.made(unknown))
+
+    def made(self, words: list[bytes]) -> Iterator[tuple[bytes, object]]:
+        """(word, part) of every word."""
+        split = self.split(words)
         pieces = [p for p in set(chain.from_iterable(split)) if type(p) is bytes]
         ids_of = dict(zip(pieces, self.encode(pieces), strict=True))
-        for w, s in zip(unknown, split, strict=True):
+        for w, s in zip(words, split, strict=True):
             if len(s) == 1 and type(s[0]) is bytes:
                 ids = ids_of[s[0]]
             else:
                 ids = [i for p in s for i in (ids_of[p] if type(p) is bytes else (p,))]
-            self.now[w] = self.make(ids)
+            yield w, self.make(ids)
+
+    def parts(self, words: list[bytes]) -> list:
+        parts = list(map(self.now.get, words))
+        missing = list(compress(range(len(parts)), map(is_, parts, repeat(None))))
+        if missing:
+            lacking = list(map(words.__getitem__, missing))
+            self.learn({*lacking})
+            for i, p in zip(missing, map(self.now.__getitem__, lacking), strict=True):
+                parts[i] = p
+        return parts
 
     def of(self, texts: list[bytes]) -> list[list]:
         """The parts of the words of every text."""
         with no_collector():
             split = [t.split() for t in texts]
-            words = list(chain.from_iterable(split))
-            parts = list(map(self.now.get, words))
-            missing = [i for i, p in enumerate(parts) if p is None]
-            if missing:
-                self.learn({words[i] for i in missing})
-                for i in missing:
-                    parts[i] = self.now[words[i]]
+            parts = self.parts(list(chain.from_iterable(split)))
             ends = list(accumulate(map(len, split)))
             return [list(filter(None, parts[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -155,3 +181,76 @@ def library_encoder(path: str) -> Callable[[list[bytes]], list[list[int]]]:
         return [t.id for t in model.tokenize(text)]
 
     return lambda pieces: list(map(ids, pieces))
+
+
+class PackedTable(WordTable):
+    """A WordTable of the tokenizers library's ids, packed as bytes: "H" (two an id) or "I" (four).
+
+    Words of Latin letters are split, and their ids packed, all at once; pieces are kept in two generations as words are, as
+    many new words have known pieces. Other words, and those that may hold a special token, go the way of any table.
+    """
+
+    def __init__(self, path: str, kind: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(pieces_of(path), library_encoder(path), lambda ids: array(kind, ids).tobytes())
+        self.most = KEPT_PACKED
+        self.kind = np.dtype(kind)
+        self.model = Tokenizer.from_file(path).model
+        self.marks = marks_of(special_tokens(path))
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def plain(self, word: bytes) -> bool:
+        text = word.decode()
+        return not (_BEYOND.search(text) or _BEYOND.search(text.lower()) or any(m in word for m in self.marks))
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        """Take in pieces that this generation doesn't have."""
+        if len(self.pieces) + len(pieces) > KEPT_PIECES:
+            self.old_pieces, self.pieces = self.pieces, {}
+        self.pieces["\n"] = b""
+        unknown = []
+        for p in pieces - {"\n"}:
+            got = self.old_pieces.get(p)
+            if got is None:
+                unknown.append(p)
+            else:
+                self.pieces[p] = got
+        shown = [p if p.isascii() and p.isprintable() else "".join(map(CHAR_OF.__getitem__, p.encode())) for p in unknown]
+        tokens = list(map(self.model.tokenize, shown))
+        data = np.array([t.id for ts in tokens for t in ts], self.kind).tobytes()
+        ends = list(accumulate(len(ts) * self.kind.itemsize for ts in tokens))
+        self.pieces.update(zip(unknown, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)], strict=True))
+
+    def made(self, words: list[bytes]) -> Iterator[tuple[bytes, object]]:
+        if not words:
+            return
+        whole = b"\n".join(words)
+        text = whole.decode()
+        low = text.lower()
+        if _BEYOND.search(text) or _BEYOND.search(low) or any(m in whole for m in self.marks):
+            plain = list(map(self.plain, words))
+            yield from super().made([w for w, p in zip(words, plain, strict=True) if not p])
+            words = list(compress(words, plain))
+            if not words:
+                return
+            low = b"\n".join(words).decode().lower()
+        found = _LATIN_WORDS.findall(low)
+        found.append("\n")
+        new = {p for p in {*found} if p not in self.pieces}
+        if new:
+            self.learn_pieces({*found} if len(self.pieces) + len(new) > KEPT_PIECES else new)
+        parts = list(map(self.pieces.__getitem__, found))
+        data = b"".join(parts)
+        sizes, last = accumulate(map(len, parts)), map(eq, found, repeat("\n"))
+        ends = list(compress(sizes, last))
+        yield from zip(words, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True)
+
+    def joined(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of every text, packed."""
+        with no_collector():
+            split = [t.split() for t in texts]
+            parts = self.parts(list(chain.from_iterable(split)))
+            ends = list(accumulate(map(len, split)))
+            return [b"".join(parts[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=False)]
